@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from latticeq.llm import exact_dedup, mixing
+from latticeq.llm import exact_dedup, jaccard_join, mixing
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op8_jaccard_join": jaccard_join.OP8_SQL,
 }
