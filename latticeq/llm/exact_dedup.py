@@ -47,14 +47,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.row_number().over(run.orderBy(best)).alias("__nth"),
         F.count(F.lit(1)).over(run).alias("__run_size"),
     )
-    runs = Workspace(docs.sparkSession, "exact").table(runs)
+    work = Workspace(docs.sparkSession, "exact")
+    runs = work.table(runs)
     pick = F.max("__id") if keep == "largest" else F.min("__id")
     groups = (
         runs.filter(F.col("__nth") == 1)
         .groupBy("text_sha256", "__bytes")
         .agg(pick.alias("keep_id"), F.sum("__run_size").alias("group_size"))
     )
-    out = runs.join(groups, ["text_sha256", "__bytes"], "left")
+    # written, so that both sides of the join are plain exchanges and a hot text's rows can be split among tasks
+    out = runs.join(work.table(groups), ["text_sha256", "__bytes"], "left")
     return out.select(
         F.col("__id").alias(id_col),
         "keep_id",
