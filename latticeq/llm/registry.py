@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from latticeq.llm import exact_dedup, jaccard_join, language, mixing, pii, secrets
+from latticeq.llm import exact_dedup, hmm, jaccard_join, language, mixing, pii, secrets
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language.op4_language_id,
     "op5_find_personal_data": pii.op5_find_personal_data,
     "op6_find_secrets": secrets.op6_find_secrets,
+    "op7_hmm_score": hmm.op7_hmm_score,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
