@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeq.llm.language import held_out
-from latticeq.llm.shared import Workspace
-from latticeq.llm.tokens import Tokenizer, pieces, text_buffer
+from latticeq.llm.shared import Workspace, broadcast
+from latticeq.llm.tokens import HashIndex, Tokenizer, pieces, text_buffer
 
 #: States, rounds of training, words with emissions of their own, words whose counts every task has.
 STATES, ROUNDS, OWN, KNOWN = 8, 3, 2046, 400_000
@@ -28,46 +28,6 @@ STATES, ROUNDS, OWN, KNOWN = 8, 3, 2046, 400_000
 STRETCH, TOGETHER, AT_A_TIME, UNITS = 1024, 6 << 20, 2_000_000, 1 << 16
 
 
-class HashIndex:
-    """Positions of 64-bit keys, looked up many at a time (open addressing)."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.bits = max(4, int(len(keys) * 3).bit_length())
-        self.slot = np.full(1 << self.bits, -1, np.int32)
-        self.key = np.zeros(1 << self.bits, np.uint64)
-        mask = (1 << self.bits) - 1
-        left, r = np.arange(len(keys)), 0
-        home = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(left):
-            at = home[left] + r & mask
-            free = self.slot[at] < 0
-            _, first = np.unique(at, return_index=True)
-            win = np.zeros(len(left), bool)
-            win[first] = True
-            win &= free
-            self.slot[at[win]] = left[win]
-            self.key[at[win]] = keys[left[win]]
-            left, r = left[~win], r + 1
-        self.reach = r
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Position of each key, -1 if absent."""
-        mask = (1 << self.bits) - 1
-        home = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        got = self.slot[home]
-        out = np.where((got >= 0) & (self.key[home] == keys), got, -1)
-        left = np.flatnonzero((got >= 0) & (out < 0))
-        for r in range(1, self.reach):
-            if not len(left):
-                break
-            at = home[left] + r & mask
-            got = self.slot[at]
-            hit = (got >= 0) & (self.key[at] == keys[left])
-            out[left[hit]] = got[hit]
-            left = left[(got >= 0) & ~hit]
-        return out
-
-
 class Lanes:
     """Sequences laid out by step: at each step the first so many lanes, longest first, have a symbol."""
 
@@ -306,7 +266,7 @@ def train(rows: DataFrame, work: Workspace, states: int = STATES, rounds: int =
     model = Model.initial(symbols, states)
     small = HashIndex(words[:own])
     for _ in range(rounds if ends else 0):
-        state = spark.sparkContext.broadcast((small, own, model))
+        state = broadcast(spark, (small, own, model))
         units = rows.mapInArrow(_expecting(state), "at long, units long").groupBy("at").agg(F.sum("units").alias("units")).toPandas()
         total = np.zeros(states + states**2 + len(symbols) * states)
         total[units["at"].to_numpy()] = units["units"].to_numpy() / UNITS
@@ -330,7 +290,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held.alias("held_out"), text)
     schema = f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, word long, times long"
-    made = work.table(rows.mapInArrow(_scoring(spark.sparkContext.broadcast(trained)), schema))
+    made = work.table(rows.mapInArrow(_scoring(broadcast(spark, trained)), schema))
     rare = made.filter("word IS NOT NULL").select("row", "word", "times").join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"),

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticeq.llm.shared import broadcast
 from latticeq.llm.tokens import pieces, text_buffer
 
 #: Bytes of context. Labelled documents a language is learned from, about (chosen by hash; their whole texts are read).
@@ -187,7 +188,7 @@ def identify_languages(docs: DataFrame, trees: ContextTrees, text_col: str = "te
     language by name. The text is only read; other columns pass through as they are.
     """
     spark: SparkSession = docs.sparkSession
-    model = spark.sparkContext.broadcast(trees)
+    model = broadcast(spark, trees)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.drop("lang_pred", "score").withColumns({"__text": text, "__letter": text.rlike(r"\p{L}")})
     kept = [f for f in rows.schema.fields if not f.name.startswith("__")]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeq.llm.shared import Workspace
+from latticeq.llm.shared import Workspace, broadcast
 from latticeq.llm.spans import join_spans
 from latticeq.llm.tokens import text_buffer
 
@@ -234,7 +234,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = Workspace(spark, "pii").table(rows.mapInArrow(_finding, f"id {kind}, {counts}, base string, nodes {_NODE}"))
     tally = found.filter(F.size("nodes") > 0).select("nodes").mapInArrow(_counting, "part string, shape string, x int, y int, n long")
     weights = Weights(tally.groupBy("part", "shape", "x", "y").agg(F.sum("n")).collect())
-    out = found.mapInArrow(_labelling(spark.sparkContext.broadcast(weights)), f"id {kind}, {counts}, base string, spans string")
+    out = found.mapInArrow(_labelling(broadcast(spark, weights)), f"id {kind}, {counts}, base string, spans string")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeq.llm.automaton import Automaton
+from latticeq.llm.shared import broadcast
 from latticeq.llm.spans import join_spans
 from latticeq.llm.tokens import pieces, text_buffer
 
@@ -85,7 +86,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``base`` joins the spans of the three base kinds, ``spans`` all of them (further kinds: github, slack, jwt, pem).
     Null text counts as empty; repeated rows come out repeated; other columns are ignored; offsets are code points.
     """
-    automaton = docs.sparkSession.sparkContext.broadcast(Automaton([r[2] for r in RULES]))
+    automaton = broadcast(docs.sparkSession, Automaton([r[2] for r in RULES]))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = rows.mapInArrow(_scanning(automaton), f"id {kind}, n_assign long, n_access long, n_hex long, base string, spans string")

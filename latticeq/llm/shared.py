@@ -6,9 +6,13 @@ A lineage that is read more than once, or grows in a loop, is cut by writing it
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +26,33 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package's modules to the executors, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_latticeq_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="latticeq-")  # the driver serves it until it ends
+    atexit.register(shutil.rmtree, folder, True)
+    name = f"{folder}/latticeq-modules.zip"
+    with zipfile.ZipFile(name, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(name)
+    context._latticeq_shipped = True
+
+
+def broadcast(spark: SparkSession, value):
+    """A broadcast of a value of this package's classes, which the executors can read."""
+    ship(spark)
+    return spark.sparkContext.broadcast(value)
+
+
 class Workspace:
     """Named Parquet tables of one operator call; ``drop`` frees those that later tables replace."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.made = 0

@@ -90,3 +90,43 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         total = total * np.uint64(0xD1342543DE82EF95) + words[k : k + n]
     return mix(total + np.uint64(width))
+
+
+class HashIndex:
+    """Positions of 64-bit keys, looked up many at a time (open addressing)."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.slot = np.full(1 << self.bits, -1, np.int32)
+        self.key = np.zeros(1 << self.bits, np.uint64)
+        mask = (1 << self.bits) - 1
+        left, r = np.arange(len(keys)), 0
+        home = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            at = home[left] + r & mask
+            free = self.slot[at] < 0
+            _, first = np.unique(at, return_index=True)
+            win = np.zeros(len(left), bool)
+            win[first] = True
+            win &= free
+            self.slot[at[win]] = left[win]
+            self.key[at[win]] = keys[left[win]]
+            left, r = left[~win], r + 1
+        self.reach = r
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 if absent."""
+        mask = (1 << self.bits) - 1
+        home = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        got = self.slot[home]
+        out = np.where((got >= 0) & (self.key[home] == keys), got, -1)
+        left = np.flatnonzero((got >= 0) & (out < 0))
+        for r in range(1, self.reach):
+            if not len(left):
+                break
+            at = home[left] + r & mask
+            got = self.slot[at]
+            hit = (got >= 0) & (self.key[at] == keys[left])
+            out[left[hit]] = got[hit]
+            left = left[(got >= 0) & ~hit]
+        return out
