@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from latticeq.llm import exact_dedup, hmm, jaccard_join, language, mixing, pii, secrets
+from latticeq.llm import exact_dedup, hmm, jaccard_join, language, mixing, pii, secrets, url_filter
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_find_secrets": secrets.op6_find_secrets,
     "op7_hmm_score": hmm.op7_hmm_score,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_filter_urls": url_filter.op9_filter_urls,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
