@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeq.llm.language import held_out
-from latticeq.llm.shared import Workspace, broadcast
+from latticeq.llm.shared import Workspace, broadcast, most_frequent
 from latticeq.llm.tokens import HashIndex, Tokenizer, pieces, text_buffer
 
 #: States, rounds of training, words with emissions of their own, words whose counts every task has.
@@ -259,7 +259,7 @@ def train(rows: DataFrame, work: Workspace, states: int = STATES, rounds: int =
     counts = work.table(rows.mapInArrow(_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
     totals = counts.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
     ends = rows.count()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toPandas()
+    top = most_frequent(counts, "word", "c", KNOWN)
     words, c = top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     own = min(OWN, len(words))
     symbols = np.concatenate([c[:own], [totals.tokens - c[:own].sum(), ends]]).astype(np.float64)

@@ -15,6 +15,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -48,6 +49,23 @@ def broadcast(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
+def most_frequent(counts: DataFrame, key: str, count: str, limit: int):
+    """At most ``limit`` rows (key, count) of the largest counts, as pandas, largest first, equal ones by key.
+
+    A histogram of the logarithm of the counts gives the least count to fetch, so that the driver gets no more than the
+    result; a bin that would go over the limit is left out whole.
+    """
+    scale = F.floor(F.log2(count) * 64)
+    bins = sorted(counts.groupBy(scale.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    least, total = None, 0
+    for b in bins:
+        if (total := total + b.n) > limit:
+            break
+        least = b.bin
+    chosen = counts.filter(scale >= least) if least is not None else counts.limit(0)
+    return chosen.select(key, count).toPandas().sort_values([count, key], ascending=[False, True], ignore_index=True)
+
+
 class Workspace:
     """Named Parquet tables of one operator call; ``drop`` frees those that later tables replace."""
 
