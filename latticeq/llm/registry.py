@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from latticeq.llm import decontaminate, exact_dedup, hmm, jaccard_join, language, mixing, pii, secrets, url_filter
+from latticeq.llm import decontaminate, exact_dedup, hmm, jaccard_join, language, line_dedup, mixing, pii, secrets, url_filter
 
 QUERIES = {
+    "op1_dedup_lines": line_dedup.op1_dedup_lines,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language.op4_language_id,
