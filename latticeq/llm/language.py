@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from latticeq.llm.shared import broadcast
 from latticeq.llm.tokens import pieces, text_buffer
@@ -160,11 +161,11 @@ def learn_languages(labelled: DataFrame, key: str, text_col: str = "text", lang_
     return ContextTrees(sorted(grams), grams, order)
 
 
-def _scoring(model):
+def _scoring(model, source: str):
     def run(batches):
         trees = model.value
         for batch in batches:
-            data, at = text_buffer(batch.column("__text"))
+            data, at = text_buffer(batch.column(source))
             bits = np.concatenate([trees.code_lengths(data, at[lo : hi + 1]) for lo, hi in pieces(at)]) if len(at) > 1 else np.zeros((0, len(trees.langs)))
             letters = batch.column("__letter").to_numpy(zero_copy_only=False).astype(bool)
             if trees.langs:
@@ -190,11 +191,13 @@ def identify_languages(docs: DataFrame, trees: ContextTrees, text_col: str = "te
     spark: SparkSession = docs.sparkSession
     model = broadcast(spark, trees)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.drop("lang_pred", "score").withColumns({"__text": text, "__letter": text.rlike(r"\p{L}")})
+    # a text column that passes through needs no copy
+    source = text_col if isinstance(docs.schema[text_col].dataType, StringType) and not text_col.startswith("__") else "__text"
+    rows = docs.drop("lang_pred", "score").withColumns({"__letter": text.rlike(r"\p{L}")} | ({} if source == text_col else {"__text": text}))
     kept = [f for f in rows.schema.fields if not f.name.startswith("__")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    rows = rows.select(*(f"`{f.name}`" for f in kept), "__text", "__letter")
-    return rows.mapInArrow(_scoring(model), f"{schema}, lang_pred string, score double")
+    rows = rows.select(*(f"`{f.name}`" for f in kept), "__letter", *(["__text"] if source == "__text" else []))
+    return rows.mapInArrow(_scoring(model, source), f"{schema}, lang_pred string, score double")
 
 
 def held_out(id_col: str, modulus: int):
