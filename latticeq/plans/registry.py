@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from latticeq.plans import relational, structural
+
+QUERIES: dict = relational.QUERIES | structural.QUERIES
+SQL: dict = relational.SQL | structural.SQL
