@@ -31,6 +31,8 @@ class ContextTrees:
     def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> None:
         """grams: for each language sorted codes of order + 1 bytes, the last one most significant byte first, and counts."""
         self.langs, self.order = langs, order
+        if not langs:
+            return
         used = sorted({int(b) for codes, _ in grams.values() for k in range(order + 1) for b in np.unique(codes >> np.uint64(8 * k) & np.uint64(255))})
         self.symbol = np.full(256, len(used), np.int32)  # every byte never seen: one symbol, its mass shared equally
         self.symbol[used] = np.arange(len(used))
@@ -48,8 +50,8 @@ class ContextTrees:
         probs = [np.stack([_step(base[None], d[order], c, np.zeros(len(c), np.int64), 1) for d, c in (tables[x] for x in langs)])]
         for depth in range(1, order + 1):
             keys = {x: _code(tables[x][0][order - depth : order], s) for x in langs}
-            every = np.concatenate([keys[x] for x in langs]) if langs else np.zeros(0, np.int64)
-            weight = np.concatenate([tables[x][1] for x in langs]) if langs else np.zeros(0)
+            every = np.concatenate([keys[x] for x in langs])
+            weight = np.concatenate([tables[x][1] for x in langs])
             found, at = np.unique(every, return_inverse=True)
             visits = np.bincount(at, weight, len(found))
             found = found[visits >= (VISITS if depth > 1 else 1)]
@@ -79,7 +81,7 @@ class ContextTrees:
         """Bits of each document under each language (documents: data[offsets[i]:offsets[i+1]])."""
         data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
         out = np.zeros((len(offsets) - 1, len(self.langs)))
-        if not len(data):
+        if not len(data) or not self.langs:
             return out
         sym = self.symbol[data]
         # before a text's first byte stand bytes never seen, so that its first contexts are short
