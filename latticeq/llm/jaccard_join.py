@@ -10,8 +10,12 @@ Links are needed only as components, so pairs inside one component are never all
 1. equal sets are one node; prefix members held by a single node go;
 2. within each prefix member's bucket every node is verified against one leader: as many pairs as rows;
 3. components of these links; buckets inside one component are done, as are buckets of two nodes;
-4. in the others, nodes of different components are paired, those that share min(l, l') members verified, and
-   components are taken again. Every pair over the threshold is thus linked, directly or through its component.
+4. in the large ones among the others, nodes outside the bucket's largest component are verified against a number of
+   leaders drawn by hash, and components are taken again: this joins dense groups of which few pairs had a leader;
+5. in what is still divided, nodes of different components are paired, those that share min(l, l') members verified,
+   and components are taken again. Every pair over the threshold is thus linked, directly or through its component.
+
+Before texts are fetched to verify a pair, the sets' parity bitmaps must not differ in more bits than the sets may.
 """
 
 from __future__ import annotations
@@ -25,14 +29,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeq.llm.components import components
-from latticeq.llm.shared import Workspace
-from latticeq.llm.tokens import Tokenizer, pieces, text_buffer, windows
+from latticeq.llm.shared import Workspace, broadcast, most_frequent
+from latticeq.llm.tokens import HashIndex, Tokenizer, pieces, text_buffer, windows
 
 #: Frequent shingles that are ordered by count (any others: by hash; this sets the cost, never the result), counts
 #: below which a task doesn't report a shingle, shingles a task counts at a time.
 FREQUENT, REPORTED, AT_A_TIME = 500_000, 3, 2_000_000
 #: Nodes of one bucket that share a leader, longest multi-match, ids that may be broadcast.
 BUCKET, MOST, BROADCAST_IDS = 4096, 8, 1_000_000
+#: Rounds of step 4 and leaders drawn in each, 64-bit words of a set's parity bitmap.
+ROUNDS, LEADERS, BITS = 2, 16, 16
+
+
+_POSTING = ("node", "n", "match", "pos")
 
 
 def shingle_sets(column: pa.Array, width: int):
@@ -50,6 +59,12 @@ def _node(members: np.ndarray, seed: int) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16, key=seed.to_bytes(4, "big")).digest()
 
 
+def _parity(members: np.ndarray) -> np.ndarray:
+    """Bitmap of which buckets hold an odd number of members: two of them differ in no more bits than the sets do."""
+    odd = np.bincount((members & np.uint64(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _first_long(sign: bytes) -> int:
     return int.from_bytes(sign[:8], "big", signed=True)
 
@@ -60,17 +75,20 @@ def _counting(width: int, seed: int):
         held: list[np.ndarray] = []
         many = 0
         for batch in batches:
-            sizes, signs = [], []
+            sizes, signs, bits = [], [], []
             for members in shingle_sets(batch.column("text"), width):
                 sizes.append(len(members))
                 signs.append(sign := _node(members, seed))
+                bits.append(_parity(members))
                 if len(members) and sign not in seen:
                     seen.add(sign)
                     held.append(members)
                     many += len(members)
+            flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * BITS), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("same"), pa.array(sizes, pa.int64()), pa.array([_first_long(x) for x in signs], pa.int64()), pa.array(signs, pa.binary()), pa.nulls(len(sizes), pa.int64())],
-                names=["id", "same", "n", "node", "sign", "many"],
+                [batch.column("id"), batch.column("same"), pa.array(sizes, pa.int64()), pa.array([_first_long(x) for x in signs], pa.int64()), pa.array(signs, pa.binary()), pa.nulls(len(sizes), pa.int64()), maps],
+                names=["id", "same", "n", "node", "sign", "many", "bits"],
             )
             if many >= AT_A_TIME:
                 yield counted(batch, held)
@@ -83,8 +101,8 @@ def _counting(width: int, seed: int):
         often = counts >= REPORTED
         k = int(often.sum())
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(k, batch.schema.field("id").type), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), pa.array(tokens[often].view(np.int64)), pa.nulls(k, pa.binary()), pa.array(counts[often])],
-            names=["id", "same", "n", "node", "sign", "many"],
+            [pa.nulls(k, batch.schema.field("id").type), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), pa.array(tokens[often].view(np.int64)), pa.nulls(k, pa.binary()), pa.array(counts[often]), pa.nulls(k, pa.list_(pa.int64()))],
+            names=["id", "same", "n", "node", "sign", "many", "bits"],
         )
 
     return run
@@ -107,24 +125,23 @@ def prefix(members: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndar
 
 def _prefixes(width: int, seed: int, least: int, frequent):
     def run(batches):
-        tokens, many = frequent.value
+        index, many = frequent.value
         seen: set[bytes] = set()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
             for members in shingle_sets(batch.column("text"), width):
                 if not len(members) or (sign := _node(members, seed)) in seen:
                     continue
                 seen.add(sign)
-                at = np.searchsorted(tokens, members)
-                at[at == len(tokens)] = 0
-                counts = np.where(tokens[at] == members, many[at], 0) if len(tokens) else np.zeros(len(members), np.int64)
+                at = index(members)
+                counts = np.where(at >= 0, many[at], 0) if len(many) else np.zeros(len(members), np.int64)
                 chosen, k = prefix(members, counts, least)
                 node, size = _first_long(sign), len(chosen)
                 buckets = counts[chosen] // BUCKET + 1
-                for part, x in zip(parts, (members[chosen].view(np.int64), node % buckets, buckets, np.full(size, node), np.full(size, len(members)), np.full(size, k))):
+                for part, x in zip(parts, (members[chosen].view(np.int64), node % buckets, buckets, np.full(size, node), np.full(size, len(members)), np.full(size, k), np.arange(size))):
                     part.append(x)
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in parts], names=["token", "salt", "salts", "node", "n", "match"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in parts], names=["token", "salt", "salts", "node", "n", "match", "pos"])
 
     return run
 
@@ -158,7 +175,7 @@ class _Join:
         """Sets of equal members as nodes, and the table of frequent shingles."""
         seed = 0
         while True:
-            schema = f"id {self.kind}, same long, n long, node long, sign binary, many long"
+            schema = f"id {self.kind}, same long, n long, node long, sign binary, many long, bits array<long>"
             made = self.work.table(self.docs.mapInArrow(_counting(self.width, seed), schema))
             clash = made.filter("n > 0").groupBy("node").agg(F.min("sign").alias("p"), F.max("sign").alias("q")).filter("p <> q")
             if clash.isEmpty():
@@ -166,34 +183,49 @@ class _Join:
             seed += 1
         self.seed, self.rows = seed, made.filter("n >= 0")
         top = made.filter("n < 0").groupBy("node").agg(F.sum("many").alias("many")).filter(F.col("many") >= 2 * REPORTED)
-        top = top.orderBy(F.desc("many"), "node").limit(FREQUENT).toPandas()
+        top = most_frequent(self.work.table(top), "node", "many", FREQUENT)
         tokens, many = top["node"].to_numpy(np.int64).view(np.uint64), top["many"].to_numpy(np.int64)
-        order = np.argsort(tokens)
-        self.frequent = self.spark.sparkContext.broadcast((tokens[order], many[order]))
+        self.frequent = broadcast(self.spark, (HashIndex(tokens), many))
         self.heads = self.rows.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "same")).alias("head"))
+        self.maps = self.work.table(self.rows.filter("n > 0 AND id IS NOT NULL").select("node", "n", "bits").dropDuplicates(["node"]))
 
     def buckets(self) -> DataFrame:
         """Prefix members that two nodes hold at least, each with the leader of its bucket."""
-        schema = "token long, salt long, salts long, node long, n long, match long"
+        schema = "token long, salt long, salts long, node long, n long, match long, pos long"
         rows = self.docs.filter("id IS NOT NULL").mapInArrow(_prefixes(self.width, self.seed, self.least, self.frequent), schema)
         bucket = Window.partitionBy("token", "salt")
-        held = rows.withColumns({"lead": F.min(F.struct("node", "n")).over(bucket), "last": F.max("node").over(bucket)})
-        return self.work.table(held.filter("last <> lead.node OR salts > 1").select("token", "salts", "node", "n", "match", "lead"))
+        held = rows.withColumns({"lead": F.min(F.struct(*_POSTING)).over(bucket), "last": F.max("node").over(bucket)})
+        return self.work.table(held.filter("last <> lead.node OR salts > 1").select("token", "salts", *_POSTING, "lead"))
+
+    def near(self, x: str, y: str):
+        """Whether a shared member can be among the first l shared ones of a pair over the threshold.
 
-    def near(self, n: str, m: str):
-        return 100 * F.least(n, m) >= self.least * F.greatest(n, m)
+        x and y are templates of column names. The pair has o = ceil(t (n + m) / (1 + t)) members in common at least;
+        n - o others come before the first of them, and n - o + l - 1 before the l-th.
+        """
+        n, m = F.col(x.format("n")), F.col(y.format("n"))
+        o = F.ceil(self.least * (n + m) / F.lit(100 + self.least) - F.lit(1e-9))
+        k = F.least(x.format("match"), y.format("match")) - 1
+        return (100 * F.least(n, m) >= self.least * F.greatest(n, m)) & (F.col(x.format("pos")) <= n - o + k) & (F.col(y.format("pos")) <= m - o + k)
+
+    def close(self, x: str, y: str):
+        """Whether the bitmaps of a pair differ in no more bits than sets over the threshold may."""
+        n, m, p, q = F.col(x.format("n")), F.col(y.format("n")), F.col(x.format("bits")), F.col(y.format("bits"))
+        o = F.ceil(self.least * (n + m) / F.lit(100 + self.least) - F.lit(1e-9))
+        return sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(BITS)), F.lit(0)) <= n + m - 2 * o
 
     def led(self, held: DataFrame) -> DataFrame:
         """Pairs of nodes with the leaders of their buckets, and of leaders of one member's buckets."""
-        pairs = held.filter("node <> lead.node").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
+        pairs = held.filter("node <> lead.node").filter(self.near("lead.{}", "{}")).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
         leads = held.filter("salts > 1").groupBy("token", "lead").agg(F.lit(1).alias("one"))
         tops = leads.groupBy("token").agg(F.min("lead").alias("top"))
-        across = leads.join(tops, "token").filter("lead.node <> top.node").select(F.col("top.node").alias("a"), F.col("lead.node").alias("b"), F.col("top.n").alias("na"), F.col("lead.n").alias("nb"))
-        return pairs.unionByName(across).filter(self.near("na", "nb")).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+        across = leads.join(tops, "token").filter("lead.node <> top.node").filter(self.near("top.{}", "lead.{}")).select(F.col("top.node").alias("a"), F.col("lead.node").alias("b"))
+        return pairs.unionByName(across).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those pairs that are over the threshold, by full comparison of their texts."""
-        pairs = self.work.table(pairs)
+        a, b = (self.maps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+        pairs = self.work.table(pairs.join(a, "a").join(b, "b").filter(self.close("{}_a", "{}_b")).select("a", "b"))
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         ids = self.work.table(ids.join(self.heads, "node").select("node", F.col("head.id").alias("id"), F.col("head.same").alias("same")))
         few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -204,37 +236,62 @@ class _Join:
         self.work.drop(texts)
         return links
 
-    def rest(self, held: DataFrame, labels: DataFrame) -> DataFrame:
+    def divided(self, held: DataFrame, labels: DataFrame) -> DataFrame:
+        """Buckets of three nodes or more that hold several components: rows with their own and the main label."""
+        named = held.join(labels, "node", "left").select("token", *_POSTING, F.coalesce("label", "node").alias("label"))
+        sizes = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"))
+        mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all"))
+        mixed = self.work.table(mixed.filter("kinds > 1 AND all > 2").select("token", F.col("main.label").alias("main"), "all"))
+        return self.work.table(named.join(mixed, "token"))
+
+    def still(self, divided: DataFrame) -> DataFrame:
+        """Rows of divided buckets, to be labelled anew."""
+        return divided.select("token", *_POSTING)
+
+    def drawn(self, divided: DataFrame, turn: int) -> DataFrame:
+        """Pairs of nodes outside the largest component with leaders, in large buckets."""
+        large = divided.filter(F.col("all") > LEADERS)
+        chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 40)) * F.col("all") < F.lit(LEADERS << 40)
+        leaders = large.filter(chance).select("token", *(F.col(c).alias(f"{c}_a") for c in (*_POSTING, "label")))
+        met = large.filter("label <> main").join(leaders, "token").filter("label <> label_a").filter(self.near("{}", "{}_a"))
+        return met.groupBy(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+
+    def rest(self, divided: DataFrame) -> DataFrame:
         """Pairs of nodes of different components that share enough prefix members.
 
         Of each member's nodes, those outside its largest component are paired with all.
         """
-        named = held.join(labels, "node", "left").select("token", "node", "n", "match", F.coalesce("label", "node").alias("label"))
-        sizes = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"))
-        mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all"))
-        mixed = self.work.table(mixed.filter("kinds > 1 AND all > 2").select("token", F.col("main.label").alias("main")))
-        named = self.work.table(named.join(mixed, "token"))
-        few = named.filter("label <> main").select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "match", "label")))
-        met = few.join(named, "token").filter("label <> label_a AND (label = main OR node_a < node)").filter(self.near("n", "n_a"))
+        divided = self.work.table(divided.join(self.maps.select("node", "bits"), "node"))
+        few = divided.filter("label <> main").select("token", *(F.col(c).alias(f"{c}_a") for c in (*_POSTING, "label", "bits")))
+        met = few.join(divided, "token").filter("label <> label_a AND (label = main OR node_a < node)").filter(self.near("{}", "{}_a")).filter(self.close("{}", "{}_a"))
         met = met.groupBy(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("match", "match_a")).alias("match"))
         return met.filter("shared >= match").select("a", "b")
 
     def run(self) -> DataFrame:
         self.classes()
         held = self.buckets()
-        led = self.work.table(self.led(held))
-        links = self.verify(led)
+        tried = self.work.table(self.led(held).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        links = self.verify(tried)
         labels = components(links, self.work)
-        tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = self.verify(self.rest(held, labels).join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            labels = components(links.unionByName(more), self.work)
-        self.work.drop(held)
+        for turn in range(ROUNDS + 1):
+            divided = self.divided(held, labels)
+            self.work.drop(held)
+            held = self.work.table(self.still(divided))  # what is settled stays so
+            pairs = self.drawn(divided, turn) if turn < ROUNDS else self.rest(divided)
+            pairs = self.work.table(pairs.join(tried, ["a", "b"], "left_anti"))
+            if pairs.isEmpty():
+                continue
+            more = self.verify(pairs)
+            tried = tried.unionByName(pairs)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = components(links, self.work)
+            self.work.drop(divided)
         rows = self.rows.filter("n > 0 AND id IS NOT NULL").join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
         rows = self.work.table(rows)
         firsts = rows.groupBy("label").agg(F.min("id").alias("component_id"))
         alone = self.rows.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
-        return rows.join(firsts, "label").select("id", "n", "component_id").unionByName(alone)
+        return rows.join(self.work.table(firsts), "label").select("id", "n", "component_id").unionByName(alone)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
