@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it: keeps nested expressions small."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def vec(x: Column, y: Column, z: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
 
@@ -38,7 +43,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """A vector of length 1 in the same direction; null for the zero vector."""
-    return F.when(dot(a, a) > 0, scale(a, 1 / norm(a)))
+    return let(a, lambda v: F.when(dot(v, v) > 0, scale(v, 1 / norm(v))))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -56,27 +61,31 @@ def angle(a: Column, b: Column) -> Column:
 
 def dihedral(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Torsion about b-c in radians, in (-pi, pi]."""
-    n1, n2 = cross(sub(b, a), sub(c, b)), cross(sub(c, b), sub(d, c))
-    return F.atan2(dot(cross(n1, n2), unit(sub(c, b))), dot(n1, n2))
+    steps = F.struct(sub(b, a).alias("u"), sub(c, b).alias("v"), sub(d, c).alias("w"))
+    normals = let(steps, lambda s: F.struct(cross(s.u, s.v).alias("m"), cross(s.v, s.w).alias("n"), unit(s.v).alias("v")))
+    return let(normals, lambda s: F.atan2(dot(cross(s.m, s.n), s.v), dot(s.m, s.n)))
 
 
 def frame(n: Column, ca: Column, c: Column) -> Column:
     """Residue frame: origin at CA, z = (C - CA) x (CA - N), y = (CA - N) - (C - CA), x = y x z, as unit vectors."""
-    in_, out = sub(ca, n), sub(c, ca)
-    z, y = unit(cross(out, in_)), unit(sub(in_, out))
-    return F.struct(ca.alias("o"), cross(y, z).alias("x"), y.alias("y"), z.alias("z"))
+    steps = F.struct(sub(ca, n).alias("i"), sub(c, ca).alias("o"), ca.alias("ca"))
+    axes = let(steps, lambda s: F.struct(unit(cross(s.o, s.i)).alias("z"), unit(sub(s.i, s.o)).alias("y"), s.ca.alias("ca")))
+    return let(axes, lambda s: F.struct(s.ca.alias("o"), cross(s.y, s.z).alias("x"), s.y.alias("y"), s.z.alias("z")))
 
 
 def in_frame(f: Column, p: Column) -> Column:
     """Coordinates of a point in a frame."""
-    d = sub(p, f.o)
-    return vec(dot(d, f.x), dot(d, f.y), dot(d, f.z))
+    return let(F.struct(f.alias("f"), sub(p, f.o).alias("d")), lambda s: vec(dot(s.d, s.f.x), dot(s.d, s.f.y), dot(s.d, s.f.z)))
 
 
 def relative_frame(f: Column, g: Column) -> Column:
     """Frame g seen from frame f."""
-    turn = lambda v: vec(dot(v, f.x), dot(v, f.y), dot(v, f.z))
-    return F.struct(in_frame(f, g.o).alias("o"), turn(g.x).alias("x"), turn(g.y).alias("y"), turn(g.z).alias("z"))
+
+    def seen(s: Column) -> Column:
+        turn = lambda v: vec(dot(v, s.f.x), dot(v, s.f.y), dot(v, s.f.z))
+        return F.struct(in_frame(s.f, s.g.o).alias("o"), turn(s.g.x).alias("x"), turn(s.g.y).alias("y"), turn(s.g.z).alias("z"))
+
+    return let(F.struct(f.alias("f"), g.alias("g")), seen)
 
 
 def circular(a: Column) -> Column:
@@ -103,7 +112,7 @@ def virtual_cb(f: Column) -> Column:
     """Virtual CB of a frame."""
     polar, azimuth = math.radians(CB_POLAR), math.radians(CB_AZIMUTH)
     local = (CB_R * math.sin(polar) * math.cos(azimuth), CB_R * math.sin(polar) * math.sin(azimuth), CB_R * math.cos(polar))
-    return add(f.o, add(add(scale(f.x, local[0]), scale(f.y, local[1])), scale(f.z, local[2])))
+    return let(f, lambda s: vec(*(s.o[k] + s.x[k] * local[0] + s.y[k] * local[1] + s.z[k] * local[2] for k in "xyz")))
 
 
 def ideal_cb(n: Column, ca: Column, c: Column) -> Column:
