@@ -37,8 +37,9 @@ from latticeq.llm.tokens import HashIndex, Tokenizer, pieces, text_buffer, windo
 FREQUENT, REPORTED, AT_A_TIME = 500_000, 3, 2_000_000
 #: Nodes of one bucket that share a leader, longest multi-match, ids that may be broadcast.
 BUCKET, MOST, BROADCAST_IDS = 4096, 8, 1_000_000
-#: Rounds of step 4 and leaders drawn in each, 64-bit words of a set's parity bitmap.
-ROUNDS, LEADERS, BITS = 2, 16, 16
+#: Rounds of step 4, leaders drawn in each, the share of buckets it uses (a pair that leaders may join shares many; step
+#: 5 has all), 64-bit words of a set's parity bitmap.
+ROUNDS, LEADERS, ONE_IN, BITS = 2, 16, 4, 16
 
 
 _POSTING = ("node", "n", "match", "pos")
@@ -250,7 +251,7 @@ class _Join:
 
     def drawn(self, divided: DataFrame, turn: int) -> DataFrame:
         """Pairs of nodes outside the largest component with leaders, in large buckets."""
-        large = divided.filter(F.col("all") > LEADERS)
+        large = divided.filter((F.col("all") > LEADERS) & (F.pmod(F.xxhash64("token", F.lit(turn)), F.lit(ONE_IN)) == 0))
         chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 40)) * F.col("all") < F.lit(LEADERS << 40)
         leaders = large.filter(chance).select("token", *(F.col(c).alias(f"{c}_a") for c in (*_POSTING, "label")))
         met = large.filter("label <> main").join(leaders, "token").filter("label <> label_a").filter(self.near("{}", "{}_a"))
