@@ -132,7 +132,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = runs.distinct().groupBy("id", "same").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", F.col("b") - 1))))).alias("__gone"))
     gone = work.table(gone.withColumnsRenamed({"id": "__id", "same": "__same"}))
     old = docs.drop("n_lines", "n_removed", "removed")
-    kept = old.withColumn("__key", F.xxhash64(body)).join(gone, (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__same")), "left")
+    # one plan at every size: what was found grows with the corpus, so it is never the broadcast side
+    kept = old.withColumn("__key", F.xxhash64(body)).join(gone.hint("merge"), (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__same")), "left")
     split = F.split(F.col(text_col).cast("string"), "\n", -1)
     left = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(left)
