@@ -11,7 +11,8 @@ Links are needed only as components, so pairs inside one component are never all
 2. within each prefix member's bucket every node is verified against one leader: as many pairs as rows;
 3. components of these links; buckets inside one component are done, as are buckets of two nodes;
 4. in the large ones among the others, nodes outside the bucket's largest component are verified against a number of
-   leaders drawn by hash, and components are taken again: this joins dense groups of which few pairs had a leader;
+   leaders drawn by hash, each node in its few buckets of least hash, and components are taken again: this joins dense
+   groups of which few pairs had a leader, with a number of pairs bounded by that of nodes;
 5. in what is still divided, nodes of different components are paired, those that share min(l, l') members verified,
    and components are taken again. Every pair over the threshold is thus linked, directly or through its component.
 
@@ -37,9 +38,9 @@ from latticeq.llm.tokens import HashIndex, Tokenizer, pieces, text_buffer, windo
 FREQUENT, REPORTED, AT_A_TIME = 500_000, 3, 2_000_000
 #: Nodes of one bucket that share a leader, longest multi-match, ids that may be broadcast.
 BUCKET, MOST, BROADCAST_IDS = 4096, 8, 1_000_000
-#: Rounds of step 4, leaders drawn in each, the share of buckets it uses (a pair that leaders may join shares many; step
-#: 5 has all), 64-bit words of a set's parity bitmap.
-ROUNDS, LEADERS, ONE_IN, BITS = 2, 16, 4, 16
+#: Rounds of step 4, leaders drawn in each bucket, buckets of a node that it uses (a pair over the threshold shares most
+#: of its buckets and so mostly these; step 5 has all), 64-bit words of a set's parity bitmap.
+ROUNDS, LEADERS, USED, BITS = 2, 16, 4, 16
 
 
 _POSTING = ("node", "n", "match", "pos")
@@ -250,11 +251,13 @@ class _Join:
         return divided.select("token", *_POSTING)
 
     def drawn(self, divided: DataFrame, turn: int) -> DataFrame:
-        """Pairs of nodes outside the largest component with leaders, in large buckets."""
-        large = divided.filter((F.col("all") > LEADERS) & (F.pmod(F.xxhash64("token", F.lit(turn)), F.lit(ONE_IN)) == 0))
+        """Pairs of nodes outside the largest component with leaders, in a few large buckets of each node."""
+        large = divided.filter(F.col("all") > LEADERS)
         chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 40)) * F.col("all") < F.lit(LEADERS << 40)
         leaders = large.filter(chance).select("token", *(F.col(c).alias(f"{c}_a") for c in (*_POSTING, "label")))
-        met = large.filter("label <> main").join(leaders, "token").filter("label <> label_a").filter(self.near("{}", "{}_a"))
+        order = Window.partitionBy("node").orderBy(F.xxhash64("token", F.lit(turn)), "token")
+        some = large.filter("label <> main").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= USED)
+        met = some.join(leaders, "token").filter("label <> label_a").filter(self.near("{}", "{}_a"))
         return met.groupBy(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
 
     def rest(self, divided: DataFrame) -> DataFrame:
