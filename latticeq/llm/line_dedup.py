@@ -1,9 +1,9 @@
 """Line deduplication by winnowing.
 
-A window is a shortest run of lines of ``WORDS`` words or more; its least line hash is a fingerprint. Two texts that
-share a run of that many words share a whole window and so a fingerprint. Each fingerprint's occurrences are joined with
-its first one (by identifier, then line), matches are extended both ways, and what repeats an earlier run of ``WORDS``
-words or more is deleted. A deleted line equals one at an earlier place, so that the first of all copies always stays.
+A window is a shortest run of lines of ``WORDS`` words or more, from a line on or up to one. Its fingerprint is its least
+line hash together with the hash of all its lines. Each window is compared with the first one of its fingerprint (by
+identifier, then line), which has the same lines, and later ones are deleted. Windows cover every run of so many words, so
+that exactly the lines of runs that an earlier place repeats go, and the first of all copies always stays.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeq.llm.shared import Workspace
-from latticeq.llm.tokens import Tokenizer, mix, pieces, text_buffer
+from latticeq.llm.tokens import Tokenizer, _power, mix, pieces, text_buffer
 
 #: Words of the shortest run that is deleted.
 WORDS = 50
@@ -42,66 +42,43 @@ def line_hashes(tokenizer: Tokenizer, data: np.ndarray, at: np.ndarray) -> tuple
     return out, count, first
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, mass: int = WORDS) -> np.ndarray:
-    """Line numbers selected by winnowing: for each window its line of least hash, the last of equal ones."""
-    full = np.flatnonzero(words)
-    h, total = hashes[full], np.concatenate([[0], np.cumsum(words[full])])
-    ends = np.searchsorted(total, total[:-1] + mass)  # window of line i: i to ends[i] exclusive
-    chosen = set()
-    for i, end in enumerate(ends.tolist()):
-        if end > len(full):
-            break
-        window = h[i:end]
-        chosen.add(end - 1 - int(window[::-1].argmin()))
-    return full[sorted(chosen)]
+def windows(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, mass: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shortest runs of ``mass`` words from each line on and up to each line: first line, end, least line hash, hash of all.
 
-
-def extended(a: list[int], i: int, b: list[int], j: int) -> tuple[int, int]:
-    """The largest run of lines around a[i] that equals the one around b[j]: its bounds in a, end exclusive."""
-    lo = hi = 0
-    while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
-        hi += 1
-    while i + lo > 0 and j + lo > 0 and a[i + lo - 1] == b[j + lo - 1]:
-        lo -= 1
-    return i + lo, i + hi
-
-
-def _lines(mass: int):
+    Lines count from 0 over all texts; no window leaves its text. The lines of any run of so many words are just those of
+    the windows inside it: up to the end of the first window from a line on, and after that each ends one.
+    """
+    n = len(words)
+    total = np.concatenate([[0], np.cumsum(words)])
+    ends = np.searchsorted(total, total[:-1] + mass)
+    begins = np.searchsorted(total, total[1:] - mass, side="right") - 1
+    text_first, text_end = (np.repeat(x, np.diff(first)) for x in (first[:-1], first[1:]))
+    onward, back = np.flatnonzero(ends <= text_end), np.flatnonzero(begins >= text_first)
+    both = np.unique(np.concatenate([onward * (n + 1) + ends[onward], begins[back] * (n + 1) + back + 1]))
+    a, b = both // (n + 1), both % (n + 1)
+    if not len(both):
+        return a, b, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    weighed = np.append(np.where(words > 0, hashes, np.uint64(2**64 - 1)), np.uint64(0))
+    least = np.minimum.reduceat(weighed, np.stack([a, b], axis=1).reshape(-1))[::2]
+    up, down = _power(n)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(1)) * up[:n], dtype=np.uint64)])
+        whole = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    return a, b, least, whole
+
+
+def _windows(mass: int):
     def run(batches):
         tokenizer = Tokenizer()
         for batch in batches:
             data, at = text_buffer(batch.column("text"))
-            hashes, words, marks = [], [], []
             for lo, hi in pieces(at):
-                h, w, first = line_hashes(tokenizer, data, at[lo : hi + 1])
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                    hashes.append(h[a:b].view(np.int64))
-                    words.append(w[a:b])
-                    marks.append(fingerprints(h[a:b], w[a:b], mass))
-            columns = [_lists(x, kind) for x, kind in ((hashes, pa.int64()), (words, pa.int32()), (marks, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("same"), *columns], names=["id", "same", "hashes", "words", "marks"])
-
-    return run
-
-
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)).cast(kind))
-
-
-def _runs(mass: int):
-    def run(batches):
-        for batch in batches:
-            rows = batch.to_pydict()
-            keep, starts, ends = [], [], []
-            for k, (a, i, b, j, words) in enumerate(zip(rows["hashes"], rows["line"], rows["source"], rows["source_line"], rows["words"])):
-                lo, hi = extended(a, i, b, j)
-                if sum(words[lo:hi]) >= mass:
-                    keep.append(k)
-                    starts.append(lo)
-                    ends.append(hi)
-            chosen = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(chosen), batch.column("same").take(chosen), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["id", "same", "a", "b"])
+                hashes, words, first = line_hashes(tokenizer, data, at[lo : hi + 1])
+                a, b, least, whole = windows(hashes, words, first, mass)
+                text = np.searchsorted(first, a, side="right") - 1
+                rows = batch.slice(lo, hi - lo).select(["id", "same"]).take(pa.array(text))
+                lines = [pa.array((x - first[text]).astype(np.int32)) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *lines, pa.array(least.view(np.int64)), pa.array(whole.view(np.int64))], names=["id", "same", "line", "end", "mark", "whole"])
 
     return run
 
@@ -119,17 +96,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(body).alias("same"), body.alias("text"))
-    lines = work.table(rows.mapInArrow(_lines(mass), f"id {kind}, same long, hashes array<long>, words array<int>, marks array<int>"))
-    places = lines.select("id", "same", F.explode("marks").alias("line"), F.element_at("hashes", F.col("line") + 1).alias("mark"))
-    firsts = work.table(places.groupBy("mark").agg(F.min(F.struct("id", "same", "line")).alias("first")))
-    later = places.join(firsts, "mark").filter(F.struct("id", "same", "line") > F.col("first"))
-    later = work.table(later.select("id", "same", "line", *(F.col(f"first.{x}").alias(f"source_{x}") for x in ("id", "same", "line"))).distinct())
-    once = lines.dropDuplicates(["id", "same"])
-    sources = work.table(once.join(later.select(F.col("source_id").alias("id"), F.col("source_same").alias("same")).distinct(), ["id", "same"], "left_semi").select(F.col("id").alias("source_id"), F.col("same").alias("source_same"), F.col("hashes").alias("source")))
-    own = work.table(once.select("id", "same", "hashes", "words").join(later.select("id", "same").distinct(), ["id", "same"], "left_semi"))
-    pairs = later.join(own, ["id", "same"]).join(sources, ["source_id", "source_same"])
-    runs = pairs.select("id", "same", "line", "hashes", "words", "source", "source_line").mapInArrow(_runs(mass), f"id {kind}, same long, a int, b int")
-    gone = runs.distinct().groupBy("id", "same").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", F.col("b") - 1))))).alias("__gone"))
+    places = work.table(rows.mapInArrow(_windows(mass), f"id {kind}, same long, line int, end int, mark long, whole long"))
+    place = F.struct("id", "same", "line")
+    firsts = places.groupBy("mark", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    firsts = work.table(firsts.filter("first < last").drop("last"))
+    later = places.join(firsts.hint("merge"), ["mark", "whole"]).filter(place > F.col("first")).select("id", "same", "line", "end").distinct()
+    gone = later.groupBy("id", "same").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("line", F.col("end") - 1))))).alias("__gone"))
     gone = work.table(gone.withColumnsRenamed({"id": "__id", "same": "__same"}))
     old = docs.drop("n_lines", "n_removed", "removed")
     # one plan at every size: what was found grows with the corpus, so it is never the broadcast side

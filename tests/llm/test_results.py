@@ -127,6 +127,32 @@ def test_line_runs(docs):
     assert some
 
 
+def test_line_runs_with_frequent_lines(spark):
+    """Passages of several lines, some of them frequent, against comparison with every earlier run."""
+    rng = random.Random(8)
+    frequent = [" ".join(f"f{k}w{j}" for j in range(rng.randint(1, 20))) for k in range(6)]
+
+    def line():
+        return rng.choice(frequent) if rng.random() < 0.4 else "" if rng.random() < 0.1 else " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 25)))
+
+    passages = [[line() for _ in range(rng.randint(4, 9))] for _ in range(8)]
+    texts = [[line() for _ in range(5)] + [x for p in rng.sample(passages, rng.randint(0, 2)) for x in p] + [line() for _ in range(4)] for _ in range(60)]
+    got = {r.doc_id: r.removed for r in line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)).collect()}
+    seen: set = set()
+    some = 0
+    for i, t in enumerate(texts):
+        gone: set = set()
+        for lo in range(len(t)):
+            for hi in range(lo + 1, len(t) + 1):
+                if sum(len(x.split()) for x in t[lo:hi]) >= 50:
+                    if tuple(t[lo:hi]) in seen:
+                        gone |= set(range(lo, hi))
+                    seen.add(tuple(t[lo:hi]))
+        assert {k for p in filter(None, got[i].split(",")) for k in range(int(p.split("-")[0]), int(p.split("-")[1]) + 1)} == gone
+        some += len(gone)
+    assert some > 100
+
+
 def test_tiling_finds_reordered_passages(spark):
     item = [f"t{i}" for i in range(30)]
     moved = "lead in " + " ".join(item[15:]) + ", and then: " + " ".join(item[:15]).upper() + " end"
