@@ -1,8 +1,8 @@
 """Hidden Markov language model, trained by Baum-Welch over a whole corpus.
 
 Words are 64-bit hashes. Their counts come from a distributed sum; a bounded number of the most frequent (``KNOWN``)
-goes to every task. The ``OWN`` most frequent have emissions of their own; all other words share one class, within
-which a word has its smoothed share of the class's count, whatever the state. A text's likelihood is thus the scaled
+goes to every task. Words seen ``LEAST`` times, or the ``OWN`` most frequent if those are more, have emissions of their
+own, so that their number grows with the corpus; all other words share one class, within which a word has its smoothed share of the class's count, whatever the state. A text's likelihood is thus the scaled
 forward recursion over symbols times the shares of its rarer words, both exact; words that are not among the known ones
 get their counts by a join.
 
@@ -22,10 +22,13 @@ from latticeq.llm.language import held_out
 from latticeq.llm.shared import Workspace, broadcast, most_frequent
 from latticeq.llm.tokens import HashIndex, Tokenizer, pieces, text_buffer
 
-#: States, rounds of training, words with emissions of their own, words whose counts every task has.
-STATES, ROUNDS, OWN, KNOWN = 8, 3, 2046, 400_000
+#: States, rounds of training, least number of words with emissions of their own, words whose counts every task has (or all
+#: those with emissions), occurrences from which a word has emissions in any case.
+STATES, ROUNDS, OWN, KNOWN, LEAST = 8, 3, 2046, 400_000, 50
 #: Tokens of a stretch, bytes of text run together, tokens counted at a time, units of a fixed-point count.
 STRETCH, TOGETHER, AT_A_TIME, UNITS = 1024, 6 << 20, 2_000_000, 1 << 16
+#: Expected emissions held by a task before they are added up, words whose emissions the driver fetches at a time.
+HELD, BLOCK = 1 << 20, 1 << 18
 
 
 class Lanes:
@@ -51,9 +54,9 @@ class Model:
     def initial(counts: np.ndarray, states: int, seed: int = 5) -> Model:
         """Symbol shares, perturbed differently for each state."""
         rng = np.random.default_rng(seed)
-        emit = (counts[:, None] + 0.5) * rng.uniform(0.4, 1.6, (len(counts), states))
+        emit = (counts[:, None] + 0.5).astype(np.float32) * (rng.random((len(counts), states), np.float32) * 1.2 + 0.4)
         move = rng.uniform(0.5, 1.5, (states, states))
-        return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, dtype=np.float64).astype(np.float32))
 
     @staticmethod
     def of_counts(total: np.ndarray, states: int) -> Model:
@@ -62,9 +65,22 @@ class Model:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
     def expected(self, lanes: Lanes) -> np.ndarray:
-        """Expected counts of starts, moves and emissions, by scaled forward and backward passes."""
+        """Expected counts of starts, moves and emissions of all symbols."""
+        start, move, used, emits = self.gathered(lanes)
+        every = np.zeros(self.emit.shape)
+        every[used] = emits
+        return np.concatenate([start, move.reshape(-1), every.reshape(-1)])
+
+    def gathered(self, lanes: Lanes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts and moves, symbols that occur, their emissions, by scaled forward and backward passes."""
         k, at, width = len(self.start), lanes.at, lanes.width
-        emit = self.emit[lanes.symbols]
+        occurs = np.zeros(len(self.emit), bool)
+        occurs[lanes.symbols] = True
+        used = np.flatnonzero(occurs)
+        place = np.zeros(len(occurs), np.int32)
+        place[used] = np.arange(len(used))
+        symbols = place[lanes.symbols]
+        emit = self.emit[used][symbols]
         alpha, scale = np.empty_like(emit), np.empty(len(emit), np.float32)
         for t, m in enumerate(width.tolist()):
             a = (self.start if t == 0 else alpha[at[t - 1] : at[t - 1] + m] @ self.move) * emit[at[t] : at[t] + m]
@@ -84,8 +100,7 @@ class Model:
                 beta = onward @ self.move.T
             else:
                 start += alpha[rows].sum(axis=0, dtype=np.float64)
-        emits = np.stack([np.bincount(lanes.symbols, alpha[:, j], len(self.emit)) for j in range(k)], axis=1)
-        return np.concatenate([start, move.reshape(-1), emits.reshape(-1)])
+        return start, move, used, np.stack([np.bincount(symbols, alpha[:, j], len(used)) for j in range(k)], axis=1)
 
     def log10(self, symbols: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """log10 likelihood of the sequences symbols[first[i]:last[i]] (each of one symbol at least)."""
@@ -164,9 +179,11 @@ def _symbols(words: np.ndarray, bounds: np.ndarray, index, own: int) -> tuple[np
 
 
 def _expecting(state):
+    """Expected counts in units, k to a row: emissions at their symbol, starts at -1, moves from state i at -2 - i."""
+
     def run(batches):
         index, own, model = state.value
-        tokenizer, total = Tokenizer(), 0.0
+        tokenizer, at_, units, many = Tokenizer(), [], [], 0
         for batch in batches:
             data, at = text_buffer(batch.column("text"))
             for lo, hi in pieces(at, TOGETHER):
@@ -174,15 +191,34 @@ def _expecting(state):
                 symbols, first, last = _symbols(words, bounds, index, own)
                 cuts = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(first.tolist(), last.tolist())])
                 ends = np.append(cuts[1:], last[-1])
-                total = total + model.expected(Lanes(symbols, cuts, ends - cuts))
-        if isinstance(total, np.ndarray):
-            units = np.rint(total * UNITS).astype(np.int64)
-            some = np.flatnonzero(units)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(units[some])], names=["at", "units"])
+                start, move, used, emits = model.gathered(Lanes(symbols, cuts, ends - cuts))
+                at_.append(np.concatenate([[-1], -2 - np.arange(len(move)), used]))
+                units.append(np.rint(np.concatenate([start[None], move, emits]) * UNITS).astype(np.int64))
+                many += len(at_[-1])
+                if many >= HELD:
+                    at_, units = _added(at_, units)
+                    if (many := len(at_[0])) >= HELD // 2:
+                        yield _units(at_[0], units[0])
+                        at_, units, many = [], [], 0
+        if at_:
+            at_, units = _added(at_, units)
+            yield _units(at_[0], units[0])
 
     return run
 
 
+def _added(at: list[np.ndarray], units: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    places = np.concatenate(at)
+    order = np.argsort(places, kind="stable")
+    places = places[order]
+    new = np.flatnonzero(np.diff(places, prepend=places[0] - 1))
+    return [places[new]], [np.add.reduceat(np.concatenate(units)[order], new, axis=0)]
+
+
+def _units(at: np.ndarray, units: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.ascontiguousarray(x)) for x in units.T)], names=["at", *(f"u{j}" for j in range(units.shape[1]))])
+
+
 def tokenize(tokenizer: Tokenizer, data: np.ndarray, at: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of texts lo to hi and where each text's begin, hashed a piece at a time."""
     words, bounds, n = [], [np.zeros(1, np.int64)], 0
@@ -259,18 +295,32 @@ def train(rows: DataFrame, work: Workspace, states: int = STATES, rounds: int =
     counts = work.table(rows.mapInArrow(_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
     totals = counts.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
     ends = rows.count()
-    top = most_frequent(counts, "word", "c", KNOWN)
+    often = counts.filter(F.col("c") >= LEAST)
+    many = often.count()
+    if many > KNOWN:  # all of them are known
+        top = often.select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+    else:
+        top = most_frequent(counts, "word", "c", KNOWN)
     words, c = top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    own = min(OWN, len(words))
+    own = min(max(OWN, many), len(words))
     symbols = np.concatenate([c[:own], [totals.tokens - c[:own].sum(), ends]]).astype(np.float64)
     model = Model.initial(symbols, states)
     small = HashIndex(words[:own])
+    names = [f"u{j}" for j in range(states)]
     for _ in range(rounds if ends else 0):
         state = broadcast(spark, (small, own, model))
-        units = rows.mapInArrow(_expecting(state), "at long, units long").groupBy("at").agg(F.sum("units").alias("units")).toPandas()
-        total = np.zeros(states + states**2 + len(symbols) * states)
-        total[units["at"].to_numpy()] = units["units"].to_numpy() / UNITS
-        model = Model.of_counts(total, states)
+        made = rows.mapInArrow(_expecting(state), ", ".join(["at long", *(f"{x} long" for x in names)]))
+        units = work.table(made.groupBy("at").agg(*(F.sum(x).alias(x) for x in names)))
+        head = units.filter("at < 0").toPandas().sort_values("at", ascending=False)[names].to_numpy() / UNITS + 0.1
+        # as Model.of_counts, but for a block of symbols at a time
+        emit = np.full((len(symbols), states), 0.01, np.float32)
+        for lo in range(0, len(symbols), BLOCK):
+            part = units.filter(F.col("at").between(lo, lo + BLOCK - 1)).toPandas()
+            emit[part["at"].to_numpy()] += part[names].to_numpy() / UNITS
+        emit /= emit.sum(axis=0, dtype=np.float64).astype(np.float32)
+        model = Model(head[0] / head[0].sum(), head[1:] / head[1:].sum(axis=1, keepdims=True), emit)
+        work.drop(units)
+        state.unpersist()
     return Trained(HashIndex(words), c, own, totals.tokens + ends, totals.types + (ends > 0), ends, model), counts
 
 

@@ -317,6 +317,28 @@ def test_training_raises_the_likelihood():
     assert model.log10(symbols, starts, starts + 30).sum() > before + 50
 
 
+def test_every_frequent_word_has_emissions(spark, monkeypatch):
+    """More frequent words than the least number; training in blocks and parts equals that in one piece."""
+    for name, value in (("HELD", 2000), ("BLOCK", 700), ("TOGETHER", 60_000)):
+        monkeypatch.setattr(hmm, name, value, raising=False)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)] * 50 + [f"r{i}" for i in range(500)] * 9
+    rng.shuffle(words)
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got, _ = hmm.train(rows, Workspace(spark, "test"), states=3, rounds=2)
+    assert got.own == 3000 and (got.counts[: got.own] == 50).all()
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0] + [len(t) for t in texts])
+    hashes, bounds = hmm.tokenize(Tokenizer(), data, at, 0, len(texts))
+    symbols, first, last = hmm._symbols(hashes, bounds, got.index, got.own)
+    want = hmm.Model.initial(np.bincount(symbols, minlength=got.own + 2).astype(float), 3)
+    for _ in range(2):
+        want = hmm.Model.of_counts(want.expected(hmm.Lanes(symbols, first, last - first)), 3)
+    assert np.allclose(got.model.emit, want.emit, rtol=1e-2, atol=1e-7) and np.allclose(got.model.move, want.move, rtol=1e-3)
+    assert np.allclose(got.model.emit.sum(axis=0), 1, atol=1e-4)
+
+
 def test_unigram_scores(docs, monkeypatch):
     monkeypatch.setattr(hmm, "KNOWN", 500)  # most words get their counts by the join
     monkeypatch.setattr(hmm, "OWN", 100)
