@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import collections
+import math
+
 import pyarrow.parquet as pq
 
 from latticeq.plans import relational
@@ -26,3 +29,17 @@ def test_similarity_of_all_customers(spark):
     matrix = relational.jaccard_matrix(spark, SF).collect()
     assert len(matrix) == len(sets) * (len(sets) + 1) // 2
     assert {(r.a, r.b): r.jaccard for r in matrix} == value | {(a, a): 1.0 for a in sets}
+
+
+def test_density_of_every_row(spark):
+    def bin_of(row):
+        _, _, flag, quantity, discount = row
+        i, j = math.floor((float(quantity) - 1) / ((51 - 1) / 10.0)), math.floor(float(discount) / (0.1 / 5))
+        return flag, max(0, min(9, i)), max(0, min(4, j))
+
+    rows = rows_of("lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount")
+    n, total = collections.Counter(map(bin_of, rows)), collections.Counter(r[2] for r in rows)
+    want = sorted((r[0], r[1], n[bin_of(r)] / total[r[2]] / (5.0 * (0.1 / 5))) for r in rows)
+    got = sorted((r.l_orderkey, r.l_linenumber, r.density) for r in relational.hist2d_lookup(spark, SF).collect())
+    assert len(got) == len(want)
+    assert all(g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-6 for g, w in zip(got, want))
