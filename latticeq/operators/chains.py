@@ -74,11 +74,14 @@ def moving_orientation(df: DataFrame, chain: str, order: list, axes: list[str],
 
 
 def best_window(a: DataFrame, b: DataFrame, chain: str, pos: str, window: str) -> DataFrame:
-    """For each pair of chains the pair of windows of least RMSD (no superposition; ties: the first): a, b, i, j, rmsd."""
+    """For each pair of chains the pair of windows of least RMSD (no superposition; ties: the first): a, b, i, j, rmsd.
+
+    ``a`` goes to every task: it holds the queries.
+    """
     x = a.select(F.col(chain).alias("a"), F.col(pos).alias("i"), F.col(window).alias("wa"))
     y = b.select(F.col(chain).alias("b"), F.col(pos).alias("j"), F.col(window).alias("wb"))
     d2 = F.aggregate(F.zip_with("wa", "wb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v)
-    pairs = x.crossJoin(F.broadcast(y)).filter("a <> b").withColumn("rmsd", F.sqrt(d2 / F.size("wa")))
+    pairs = y.crossJoin(F.broadcast(x)).filter("a <> b").withColumn("rmsd", F.sqrt(d2 / F.size("wa")))
     return pairs.groupBy("a", "b").agg(F.min(F.struct("rmsd", "i", "j")).alias("best")).select("a", "b", "best.i", "best.j", "best.rmsd")
 
 

@@ -159,9 +159,9 @@ def moving_orientation(spark, d):
 m AS (SELECT x.chain AS a, y.chain AS b, x.pos AS i, y.pos AS j, sqrt(((x.v[1]-y.v[1])*(x.v[1]-y.v[1]) + (x.v[2]-y.v[2])*(x.v[2]-y.v[2]) + (x.v[3]-y.v[3])*(x.v[3]-y.v[3])) / 3) AS rmsd FROM u x JOIN u y ON x.chain <> y.chain WHERE x.chain < 20 AND y.chain < 20)
 SELECT a, b, i, j, round(rmsd, 6) AS rmsd FROM m QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY rmsd, i, j) = 1""")
 def best_window_alignment(spark, d):
-    """Best windows of each two of the twenty query chains."""
-    w = chains.segments(residues(spark, d).filter("chain < 20"), "chain", ["pos"], "value", 3)
-    out = chains.best_window(w, w, "chain", "pos", "segment")
+    """Best windows of each query chain (numbers divisible by 100) with every other; the SQL has the first twenty only."""
+    w = chains.segments(residues(spark, d), "chain", ["pos"], "value", 3)
+    out = chains.best_window(w.filter("chain % 100 = 0"), w, "chain", "pos", "segment")
     return out.select("a", "b", "i", "j", F.round("rmsd", 6).alias("rmsd"))
 
 
@@ -311,16 +311,21 @@ def select_distinct_greedy(spark, d):
 
 @query()
 def complete_linkage(spark, d):
+    """Clusters of all suppliers by their parts."""
     from latticeq.operators.counting import set_similarity
 
-    rows = table(spark, d, "lineitem").filter("l_suppkey % 25 = 0").select("l_suppkey", "l_partkey")
-    pairs = set_similarity(rows.withColumn("l_partkey", F.col("l_partkey") % 40), "l_suppkey", "l_partkey")
+    pairs = set_similarity(table(spark, d, "lineitem"), "l_suppkey", "l_partkey").select("a", "b", "jaccard")
+    # each with itself, so that those who share no part with another are there
+    k = F.col("s_suppkey")
+    pairs = pairs.unionAll(table(spark, d, "supplier").select(k.alias("a"), k.alias("b"), F.lit(1.0).alias("jaccard")))
     return grouped.linkage_clusters(pairs.withColumn("block", F.lit(0)), "block", 0.75)
 
 
 @query()
 def segment_overlap_graph(spark, d):
-    return grouped.overlap_edges(_flat(spark, d).filter("vec_id % 10 = 0"), "vec_id", "v", 2, 0.08)
+    """Edges from each query vector (identifiers divisible by 100) to all vectors."""
+    rows = _flat(spark, d)
+    return grouped.overlap_edges(rows.filter("vec_id % 100 = 0"), "vec_id", "v", 2, 0.08, rows)
 
 
 @query()
