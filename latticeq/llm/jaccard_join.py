@@ -3,20 +3,21 @@
 Shingles are ordered rare first (a table of the most frequent ones gives the order; all others come before it, by
 hash). Of a set of n shingles the prefix has n - ceil(t n) + l members: two sets of similarity t share at least
 min(l, l') members of their prefixes. Each document picks the l for which its estimated candidate cost, from the
-frequency table, is least.
+frequency table, is least. A pair is verified only if it was met in min(l, l') buckets.
 
 Links are needed only as components, so pairs inside one component are never all made:
 
-1. equal sets are one node; prefix members held by a single node go;
-2. within each prefix member's bucket every node is verified against one leader: as many pairs as rows;
-3. components of these links; buckets inside one component are done, as are buckets of two nodes;
-4. in the large ones among the others, nodes outside the bucket's largest component are verified against a number of
-   leaders drawn by hash, each node in its few buckets of least hash, and components are taken again: this joins dense
-   groups of which few pairs had a leader, with a number of pairs bounded by that of nodes;
-5. in what is still divided, nodes of different components are paired, those that share min(l, l') members verified,
-   and components are taken again. Every pair over the threshold is thus linked, directly or through its component.
-
-Before texts are fetched to verify a pair, the sets' parity bitmaps must not differ in more bits than the sets may.
+1. equal sets are one node with one posting for each prefix member; members held by a single node go;
+2. within each member's bucket every node is paired with one leader, the node with the least share of rare shingles (an
+   original has fewer of them than its edited copies): as many pairs as rows;
+3. components of the links found; buckets inside one component are done;
+4. in the others a leader is taken from outside the bucket's largest component and paired with the nodes of other
+   components, and components are taken again, ``TURNS`` times: again no more pairs than rows;
+5. in what is still divided, nodes of different components are paired, and components are taken again. Every pair over
+   the threshold is thus linked, directly or through its component.
+
+Before members are fetched to verify a pair, the sets' parity bitmaps must not differ in more bits than the sets may.
+One plan serves every size: a bitmap of bounded size thins out the documents before the join that fetches members.
 """
 
 from __future__ import annotations
@@ -30,20 +31,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeq.llm.components import components
-from latticeq.llm.shared import Workspace, broadcast, most_frequent
+from latticeq.llm.shared import Workspace, bitmap, broadcast, marked, most_frequent
 from latticeq.llm.tokens import HashIndex, Tokenizer, pieces, text_buffer, windows
 
 #: Frequent shingles that are ordered by count (any others: by hash; this sets the cost, never the result), counts
 #: below which a task doesn't report a shingle, shingles a task counts at a time.
-FREQUENT, REPORTED, AT_A_TIME = 500_000, 3, 2_000_000
-#: Nodes of one bucket that share a leader, longest multi-match, ids that may be broadcast.
-BUCKET, MOST, BROADCAST_IDS = 4096, 8, 1_000_000
-#: Rounds of step 4, leaders drawn in each bucket, buckets of a node that it uses (a pair over the threshold shares most
-#: of its buckets and so mostly these; step 5 has all), 64-bit words of a set's parity bitmap.
-ROUNDS, LEADERS, USED, BITS = 2, 16, 4, 16
-
+FREQUENT, REPORTED, AT_A_TIME = 500_000, 2, 2_000_000
+#: Nodes of one bucket that share a leader, longest multi-match, turns of step 4, 64-bit words of a set's parity bitmap.
+BUCKET, MOST, TURNS, BITS = 4096, 8, 2, 16
 
-_POSTING = ("node", "n", "match", "pos")
+_POSTING = ("odd", "node", "n", "match", "pos")
 
 
 def shingle_sets(column: pa.Array, width: int):
@@ -138,29 +135,23 @@ def _prefixes(width: int, seed: int, least: int, frequent):
                 at = index(members)
                 counts = np.where(at >= 0, many[at], 0) if len(many) else np.zeros(len(members), np.int64)
                 chosen, k = prefix(members, counts, least)
-                node, size = _first_long(sign), len(chosen)
-                buckets = counts[chosen] // BUCKET + 1
-                for part, x in zip(parts, (members[chosen].view(np.int64), node % buckets, buckets, np.full(size, node), np.full(size, len(members)), np.full(size, k), np.arange(size))):
+                size = len(chosen)
+                odd = 1000 * int(np.count_nonzero(counts == 0)) // len(members)
+                for part, x in zip(parts, (members[chosen].view(np.int64), counts[chosen] // BUCKET + 1, np.full(size, odd), np.full(size, _first_long(sign)), np.full(size, len(members)), np.full(size, k), np.arange(size))):
                     part.append(x)
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in parts], names=["token", "salt", "salts", "node", "n", "match", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in parts], names=["token", "salts", *_POSTING])
 
     return run
 
 
-def _verifying(width: int, least: int):
+def _members(width: int):
     def run(batches):
-        last, of = None, np.empty(0, np.uint64)
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            texts, keep = batch.column("text_a"), []
-            for i, other in enumerate(shingle_sets(batch.column("text_b"), width)):
-                if a[i] != last:
-                    last, of = a[i], next(shingle_sets(texts.slice(i, 1), width))
-                common = len(np.intersect1d(of, other, assume_unique=True))
-                if 100 * common >= least * (len(of) + len(other) - common):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            sets = [x.view(np.int64) for x in shingle_sets(batch.column("text"), width)]
+            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "members"])
 
     return run
 
@@ -193,11 +184,14 @@ class _Join:
 
     def buckets(self) -> DataFrame:
         """Prefix members that two nodes hold at least, each with the leader of its bucket."""
-        schema = "token long, salt long, salts long, node long, n long, match long, pos long"
+        schema = "token long, salts long, odd long, node long, n long, match long, pos long"
         rows = self.docs.filter("id IS NOT NULL").mapInArrow(_prefixes(self.width, self.seed, self.least, self.frequent), schema)
-        bucket = Window.partitionBy("token", "salt")
-        held = rows.withColumns({"lead": F.min(F.struct(*_POSTING)).over(bucket), "last": F.max("node").over(bucket)})
-        return self.work.table(held.filter("last <> lead.node OR salts > 1").select("token", "salts", *_POSTING, "lead"))
+        bucket = Window.partitionBy("token", F.pmod("node", "salts")).orderBy("node")
+        whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        # a set that stands in several tasks has a posting from each; the first one stays
+        held = rows.withColumns({"before": F.lag("node").over(bucket), "lead": F.min(F.struct(*_POSTING)).over(whole), "least": F.min("node").over(whole), "last": F.max("node").over(whole)})
+        held = held.filter("(least <> last OR salts > 1) AND (before IS NULL OR before <> node)")
+        return self.work.table(held.select("token", "salts", *_POSTING, "lead"))
 
     def near(self, x: str, y: str):
         """Whether a shared member can be among the first l shared ones of a pair over the threshold.
@@ -216,72 +210,76 @@ class _Join:
         o = F.ceil(self.least * (n + m) / F.lit(100 + self.least) - F.lit(1e-9))
         return sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(BITS)), F.lit(0)) <= n + m - 2 * o
 
+    def often(self, met: DataFrame) -> DataFrame:
+        """Pairs (a, b) with a < b of met (x, y, need) that were met as often as they need."""
+        pairs = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"))
+        return pairs.filter("shared >= need").select("a", "b")
+
+    def met(self, rows: DataFrame, x: str, y: str) -> DataFrame:
+        """Rows whose nodes x and y (templates of column names) differ and are near, as (x, y, need)."""
+        a, b = F.col(x.format("node")), F.col(y.format("node"))
+        return rows.filter(a != b).filter(self.near(x, y)).select(a.alias("x"), b.alias("y"), F.least(x.format("match"), y.format("match")).alias("need"))
+
     def led(self, held: DataFrame) -> DataFrame:
         """Pairs of nodes with the leaders of their buckets, and of leaders of one member's buckets."""
-        pairs = held.filter("node <> lead.node").filter(self.near("lead.{}", "{}")).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
         leads = held.filter("salts > 1").groupBy("token", "lead").agg(F.lit(1).alias("one"))
-        tops = leads.groupBy("token").agg(F.min("lead").alias("top"))
-        across = leads.join(tops, "token").filter("lead.node <> top.node").filter(self.near("top.{}", "lead.{}")).select(F.col("top.node").alias("a"), F.col("lead.node").alias("b"))
-        return pairs.unionByName(across).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+        across = leads.join(leads.groupBy("token").agg(F.min("lead").alias("top")), "token")
+        return self.often(self.met(held, "lead.{}", "{}").unionByName(self.met(across, "top.{}", "lead.{}")))
+
+    def fetched(self, nodes: DataFrame) -> DataFrame:
+        """(node, members) of the nodes of a table; a bitmap of their documents thins out the texts before the shuffle."""
+        ids = self.work.table(nodes.join(self.heads, "node").select("node", F.col("head.id").alias("id"), F.col("head.same").alias("same")))
+        some = marked(self.docs, bitmap(ids, "id", "same"), "id", "same")
+        texts = some.join(ids.hint("merge"), ["id", "same"]).select("node", "text").dropDuplicates(["node"])
+        return self.work.table(texts.mapInArrow(_members(self.width), "node long, members array<long>"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs that are over the threshold, by full comparison of their texts."""
+        """Those pairs that are over the threshold, by full comparison of their members."""
         a, b = (self.maps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
         pairs = self.work.table(pairs.join(a, "a").join(b, "b").filter(self.close("{}_a", "{}_b")).select("a", "b"))
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        ids = self.work.table(ids.join(self.heads, "node").select("node", F.col("head.id").alias("id"), F.col("head.same").alias("same")))
-        few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        texts = self.work.table(self.docs.join(few, ["id", "same"]).select("node", "text").dropDuplicates(["node"]))
-        left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-        links = self.work.table(rows.mapInArrow(_verifying(self.width, self.least), "a long, b long"))
-        self.work.drop(texts)
+        sets = self.fetched(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        left, right = (sets.select(F.col("node").alias(x), F.col("members").alias(f"in_{x}")) for x in "ab")
+        rows = pairs.join(right, "b").join(left, "a")
+        rows = rows.select("a", "b", F.size(F.array_intersect("in_a", "in_b")).cast("long").alias("common"), (F.size("in_a") + F.size("in_b")).cast("long").alias("both"))
+        links = self.work.table(rows.filter(100 * F.col("common") >= self.least * (F.col("both") - F.col("common"))).select("a", "b"))
+        self.work.drop(sets)
         return links
 
     def divided(self, held: DataFrame, labels: DataFrame) -> DataFrame:
-        """Buckets of three nodes or more that hold several components: rows with their own and the main label."""
+        """Rows of buckets that hold several components, with their own and the bucket's main label.
+
+        A bucket of two nodes has had its only pair in step 2, unless that pair needs others of its buckets as well.
+        """
         named = held.join(labels, "node", "left").select("token", *_POSTING, F.coalesce("label", "node").alias("label"))
-        sizes = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"))
-        mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all"))
-        mixed = self.work.table(mixed.filter("kinds > 1 AND all > 2").select("token", F.col("main.label").alias("main"), "all"))
+        sizes = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"), F.min("match").alias("match"))
+        mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all"), F.min("match").alias("match"))
+        mixed = self.work.table(mixed.filter("kinds > 1 AND (all > 2 OR match > 1)").select("token", F.col("main.label").alias("main")))
         return self.work.table(named.join(mixed, "token"))
 
-    def still(self, divided: DataFrame) -> DataFrame:
-        """Rows of divided buckets, to be labelled anew."""
-        return divided.select("token", *_POSTING)
-
-    def drawn(self, divided: DataFrame, turn: int) -> DataFrame:
-        """Pairs of nodes outside the largest component with leaders, in a few large buckets of each node."""
-        large = divided.filter(F.col("all") > LEADERS)
-        chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 40)) * F.col("all") < F.lit(LEADERS << 40)
-        leaders = large.filter(chance).select("token", *(F.col(c).alias(f"{c}_a") for c in (*_POSTING, "label")))
-        order = Window.partitionBy("node").orderBy(F.xxhash64("token", F.lit(turn)), "token")
-        some = large.filter("label <> main").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= USED)
-        met = some.join(leaders, "token").filter("label <> label_a").filter(self.near("{}", "{}_a"))
-        return met.groupBy(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+    def turned(self, divided: DataFrame, turn: int) -> DataFrame:
+        """Pairs of nodes with a leader of another component, taken from outside their bucket's largest one."""
+        order = [F.col("odd") if turn == 0 else F.xxhash64("node", F.lit(turn))]
+        leads = divided.filter("label <> main").groupBy("token").agg(F.min(F.struct(*(x.alias("first") for x in order), *_POSTING, "label")).alias("lead"))
+        return self.often(self.met(divided.join(leads, "token").filter("label <> lead.label"), "lead.{}", "{}"))
 
     def rest(self, divided: DataFrame) -> DataFrame:
-        """Pairs of nodes of different components that share enough prefix members.
-
-        Of each member's nodes, those outside its largest component are paired with all.
-        """
+        """Pairs of nodes of different components: of each member's nodes, those outside its largest component with all."""
         divided = self.work.table(divided.join(self.maps.select("node", "bits"), "node"))
         few = divided.filter("label <> main").select("token", *(F.col(c).alias(f"{c}_a") for c in (*_POSTING, "label", "bits")))
-        met = few.join(divided, "token").filter("label <> label_a AND (label = main OR node_a < node)").filter(self.near("{}", "{}_a")).filter(self.close("{}", "{}_a"))
-        met = met.groupBy(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("match", "match_a")).alias("match"))
-        return met.filter("shared >= match").select("a", "b")
+        pairs = few.join(divided, "token").filter("label <> label_a AND (label = main OR node_a < node)").filter(self.near("{}", "{}_a")).filter(self.close("{}", "{}_a"))
+        return self.often(self.met(pairs, "{}_a", "{}"))
 
     def run(self) -> DataFrame:
         self.classes()
         held = self.buckets()
-        tried = self.work.table(self.led(held).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        tried = self.work.table(self.led(held))
         links = self.verify(tried)
         labels = components(links, self.work)
-        for turn in range(ROUNDS + 1):
+        for turn in range(TURNS + 1):
             divided = self.divided(held, labels)
             self.work.drop(held)
-            held = self.work.table(self.still(divided))  # what is settled stays so
-            pairs = self.drawn(divided, turn) if turn < ROUNDS else self.rest(divided)
+            held = divided.select("token", *_POSTING)  # what is settled stays so
+            pairs = self.turned(divided, turn) if turn < TURNS else self.rest(divided)
             pairs = self.work.table(pairs.join(tried, ["a", "b"], "left_anti"))
             if pairs.isEmpty():
                 continue
@@ -290,12 +288,11 @@ class _Join:
             if not more.isEmpty():
                 links = links.unionByName(more)
                 labels = components(links, self.work)
-            self.work.drop(divided)
-        rows = self.rows.filter("n > 0 AND id IS NOT NULL").join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
+        rows = self.rows.filter("n > 0 AND id IS NOT NULL").join(labels, "node", "left").select("id", "same", "n", F.coalesce("label", "node").alias("label"))
         rows = self.work.table(rows)
-        firsts = rows.groupBy("label").agg(F.min("id").alias("component_id"))
-        alone = self.rows.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
-        return rows.join(self.work.table(firsts), "label").select("id", "n", "component_id").unionByName(alone)
+        firsts = rows.groupBy("label").agg(F.min(F.struct("id", "same")).alias("first"))
+        alone = self.rows.filter("n = 0 OR id IS NULL").select("id", "same", "n", F.struct("id", "same").alias("first"))
+        return rows.join(self.work.table(firsts), "label").select("id", "same", "n", "first").unionByName(alone)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -304,10 +301,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Two documents link when 100 * common >= percent * united distinct ``width``-word shingles. A text of fewer words is
     one shingle; null or blank texts have none and link with nothing. Rows with a null identifier are counted but link
     with nothing (component null). Repeated rows come out repeated; an identifier with several texts links each of
-    them. Other columns are ignored. An empty table gives an empty result.
+    them. Texts are taken whole, however long. Other columns are ignored. An empty table gives an empty result.
     """
     out = _Join(docs, id_col, text_col, width, percent).run()
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, as they are, without all but one text of each component of ``jaccard_join``.
+
+    The smallest identifier stays (of one identifier with several such texts, the text of the smallest hash); repeated
+    rows of that text stay together. Rows with a null identifier, or without a word, stay.
+    """
+    join = _Join(docs, id_col, text_col, width, percent)
+    gone = join.run().filter(F.struct("id", "same") > F.col("first")).select(F.col("id").alias("__id"), F.col("same").alias("__same")).distinct()
+    gone = join.work.table(gone)
+    bits = join.work.table(bitmap(gone, "__id", "__same"))
+    key = F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    clear = marked(docs, bits, *key, how="left_anti")
+    rest = marked(docs, bits, *key).join(gone.hint("merge"), (key[0] == F.col("__id")) & (key[1] == F.col("__same")), "left_anti")
+    return clear.unionAll(rest)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

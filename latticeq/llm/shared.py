@@ -66,6 +66,31 @@ def most_frequent(counts: DataFrame, key: str, count: str, limit: int):
     return chosen.select(key, count).toPandas().sort_values([count, key], ascending=[False, True], ignore_index=True)
 
 
+#: 64-bit words of a bitmap of keys.
+BITMAP_WORDS = 1 << 18
+
+
+def key_bits(*columns) -> tuple:
+    """Where a bitmap has the bit of a key: number of the word, and the word with that bit set."""
+    key = F.xxhash64(*columns)
+    return F.pmod(key, F.lit(BITMAP_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(key, 32), F.lit(64)).cast("int"))
+
+
+def bitmap(keys: DataFrame, *columns) -> DataFrame:
+    """A bitmap of the hashes of the keys of a table: ``BITMAP_WORDS`` rows at most, however long the table is."""
+    word, bit = key_bits(*columns)
+    return keys.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+
+
+def marked(rows: DataFrame, bits: DataFrame, *columns, how: str = "left_semi") -> DataFrame:
+    """Rows whose key has its bit set: all with a key of the table and few others (left_anti: only such as have none).
+
+    It thins out the large side of an exact join by a broadcast of bounded size, at every size of either side.
+    """
+    word, bit = key_bits(*columns)
+    return rows.join(F.broadcast(bits), (word == F.col("__word")) & (bit.bitwiseAND(F.col("__bits")) != 0), how)
+
+
 class Workspace:
     """Named Parquet tables of one operator call; ``drop`` frees those that later tables replace."""
 
