@@ -25,10 +25,12 @@ from latticeq.llm.tokens import HashIndex, Tokenizer, pieces, text_buffer
 #: States, rounds of training, least number of words with emissions of their own, words whose counts every task has (or all
 #: those with emissions), occurrences from which a word has emissions in any case.
 STATES, ROUNDS, OWN, KNOWN, LEAST = 8, 3, 2046, 400_000, 50
+#: Weight of staying in a state before training, in weights of leaving it.
+STAY = 30
 #: Tokens of a stretch, bytes of text run together, tokens counted at a time, units of a fixed-point count.
 STRETCH, TOGETHER, AT_A_TIME, UNITS = 1024, 6 << 20, 2_000_000, 1 << 16
-#: Expected emissions held by a task before they are added up, words whose emissions the driver fetches at a time.
-HELD, BLOCK = 1 << 20, 1 << 18
+#: Expected emissions held by a task before they are added up, symbols in a row of them, rows the driver fetches at a time.
+HELD, SPAN, BLOCK = 1 << 20, 512, 512
 
 
 class Lanes:
@@ -52,10 +54,14 @@ class Model:
 
     @staticmethod
     def initial(counts: np.ndarray, states: int, seed: int = 5) -> Model:
-        """Symbol shares, perturbed differently for each state."""
+        """Symbol shares, perturbed differently for each state, and moves that mostly stay.
+
+        From moves without a preference the expectations hardly leave the point at which all states are the same; where a
+        state lasts, its perturbations add up over a stretch and the states part within a round or two.
+        """
         rng = np.random.default_rng(seed)
         emit = (counts[:, None] + 0.5).astype(np.float32) * (rng.random((len(counts), states), np.float32) * 1.2 + 0.4)
-        move = rng.uniform(0.5, 1.5, (states, states))
+        move = rng.uniform(0.5, 1.5, (states, states)) + STAY * states * np.eye(states)
         return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, dtype=np.float64).astype(np.float32))
 
     @staticmethod
@@ -179,7 +185,7 @@ def _symbols(words: np.ndarray, bounds: np.ndarray, index, own: int) -> tuple[np
 
 
 def _expecting(state):
-    """Expected counts in units, k to a row: emissions at their symbol, starts at -1, moves from state i at -2 - i."""
+    """Expected counts in units, packed: a row for each task and run of ``SPAN`` places (starts, moves, then symbols)."""
 
     def run(batches):
         index, own, model = state.value
@@ -192,17 +198,17 @@ def _expecting(state):
                 cuts = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(first.tolist(), last.tolist())])
                 ends = np.append(cuts[1:], last[-1])
                 start, move, used, emits = model.gathered(Lanes(symbols, cuts, ends - cuts))
-                at_.append(np.concatenate([[-1], -2 - np.arange(len(move)), used]))
+                at_.append(np.concatenate([np.arange(1 + len(move)), used + 1 + len(move)]))
                 units.append(np.rint(np.concatenate([start[None], move, emits]) * UNITS).astype(np.int64))
                 many += len(at_[-1])
                 if many >= HELD:
                     at_, units = _added(at_, units)
                     if (many := len(at_[0])) >= HELD // 2:
-                        yield _units(at_[0], units[0])
+                        yield packed(at_[0], units[0])
                         at_, units, many = [], [], 0
         if at_:
             at_, units = _added(at_, units)
-            yield _units(at_[0], units[0])
+            yield packed(at_[0], units[0])
 
     return run
 
@@ -215,8 +221,38 @@ def _added(at: list[np.ndarray], units: list[np.ndarray]) -> tuple[list[np.ndarr
     return [places[new]], [np.add.reduceat(np.concatenate(units)[order], new, axis=0)]
 
 
-def _units(at: np.ndarray, units: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.ascontiguousarray(x)) for x in units.T)], names=["at", *(f"u{j}" for j in range(units.shape[1]))])
+def packed(at: np.ndarray, units: np.ndarray) -> pa.RecordBatch:
+    """Rows (span, at, units) from sorted places and their counts, ``states`` to a place."""
+    first = np.flatnonzero(np.diff(at // SPAN, prepend=-1))
+    ends = np.append(first, len(at)).astype(np.int32)
+    lists = (pa.ListArray.from_arrays(pa.array(ends * k), pa.array(x)) for k, x in ((1, (at % SPAN).astype(np.int32)), (units.shape[1], np.ascontiguousarray(units).reshape(-1))))
+    return pa.RecordBatch.from_arrays([pa.array(at[first] // SPAN), *lists], names=_PACKED.names)
+
+
+_PACKED = pa.schema([("span", pa.int64()), ("at", pa.list_(pa.int32())), ("units", pa.list_(pa.int64()))])
+
+
+def _unpacked(table, states: int):
+    """(span, places within it, counts) of each row."""
+    at, units = table.column("at"), table.column("units")
+    for i, span in enumerate(table.column("span").to_pylist()):
+        yield span, at[i].values.to_numpy(), units[i].values.to_numpy().reshape(-1, states)
+
+
+def _adding(states: int):
+    """Sums of the rows of each span that this task has; a task holds one array for each of its spans, not for each row."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for span, at, units in _unpacked(batch, states):
+                if span not in sums:
+                    sums[span] = np.zeros((SPAN, states), np.int64)
+                sums[span][at] += units
+        for span, total in sums.items():
+            yield packed(span * SPAN + np.arange(SPAN), total)
+
+    return run
 
 
 def tokenize(tokenizer: Tokenizer, data: np.ndarray, at: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,17 +342,19 @@ def train(rows: DataFrame, work: Workspace, states: int = STATES, rounds: int =
     symbols = np.concatenate([c[:own], [totals.tokens - c[:own].sum(), ends]]).astype(np.float64)
     model = Model.initial(symbols, states)
     small = HashIndex(words[:own])
-    names = [f"u{j}" for j in range(states)]
+    layout = "span long, at array<int>, units array<long>"
     for _ in range(rounds if ends else 0):
         state = broadcast(spark, (small, own, model))
-        made = rows.mapInArrow(_expecting(state), ", ".join(["at long", *(f"{x} long" for x in names)]))
-        units = work.table(made.groupBy("at").agg(*(F.sum(x).alias(x) for x in names)))
-        head = units.filter("at < 0").toPandas().sort_values("at", ascending=False)[names].to_numpy() / UNITS + 0.1
-        # as Model.of_counts, but for a block of symbols at a time
-        emit = np.full((len(symbols), states), 0.01, np.float32)
-        for lo in range(0, len(symbols), BLOCK):
-            part = units.filter(F.col("at").between(lo, lo + BLOCK - 1)).toPandas()
-            emit[part["at"].to_numpy()] += part[names].to_numpy() / UNITS
+        made = rows.mapInArrow(_expecting(state), layout).repartition("span")
+        units = work.table(made.mapInArrow(_adding(states), layout))
+        # as Model.of_counts, but for a block of spans at a time
+        total = np.zeros((1 + states + len(symbols), states), np.float32)
+        for lo in range(0, len(total) // SPAN + 1, BLOCK):
+            for span, at, part in _unpacked(units.filter(F.col("span").between(lo, lo + BLOCK - 1)).toArrow(), states):
+                inside = at[span * SPAN + at < len(total)]
+                total[span * SPAN + inside] += part[inside] / UNITS
+        head, emit = total[: 1 + states] + 0.1, total[1 + states :]
+        emit += np.float32(0.01)
         emit /= emit.sum(axis=0, dtype=np.float64).astype(np.float32)
         model = Model(head[0] / head[0].sum(), head[1:] / head[1:].sum(axis=1, keepdims=True), emit)
         work.drop(units)
