@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeq.llm.shared import Workspace
+from latticeq.llm.shared import Workspace, bitmap, marked
 from latticeq.llm.tokens import Tokenizer, _power, mix, pieces, text_buffer
 
 #: Words of the shortest run that is deleted.
@@ -83,17 +83,30 @@ def _windows(mass: int):
     return run
 
 
+def _runs(later: DataFrame) -> DataFrame:
+    """For each text (id, same) the merged runs of its windows (line, end), in order: begins and ends of equal length."""
+    text = Window.partitionBy("id", "same").orderBy("line", "end")
+    reach = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    apart = later.withColumn("new", F.coalesce(F.col("line") > reach, F.lit(True)).cast("long"))
+    runs = apart.withColumn("run", F.sum("new").over(text.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "same", "run").agg(F.min("line").alias("begin"), F.max("end").alias("end"))
+    return runs.groupBy("id", "same").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("__runs"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mass: int = WORDS) -> DataFrame:
     """All columns of ``docs``, the text without later repeated runs, and n_lines, n_removed, removed.
 
     ``removed`` lists the deleted lines as ``first-last`` (from 0). Lines are compared by their words, A-Z lower-cased;
-    blank lines weigh nothing and go only inside a run. Repeats within one text count too. A null text stays null, with
-    0 lines. Rows with a null identifier are left alone and are nobody's source; repeated rows of one identifier and
-    text share their fate and are not repeats of each other. Columns named like the added ones are replaced.
+    blank lines weigh nothing and go only inside a run. Repeats within one text count too; of equal places the first by
+    identifier, then line, stays. A null text stays null, with 0 lines. Rows with a null identifier are left alone and are
+    nobody's source; repeated rows of one identifier and text share their fate and are not repeats of each other. Time
+    and memory grow in proportion to a text's lines, however many. An empty table gives an empty result. Columns named
+    like the added ones are replaced.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    old = docs.drop("n_lines", "n_removed", "removed")
+    column = F.col(f"`{text_col}`").cast("string")
+    body = F.coalesce(column, F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(body).alias("same"), body.alias("text"))
     places = work.table(rows.mapInArrow(_windows(mass), f"id {kind}, same long, line int, end int, mark long, whole long"))
@@ -101,22 +114,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = places.groupBy("mark", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = work.table(firsts.filter("first < last").drop("last"))
     later = places.join(firsts.hint("merge"), ["mark", "whole"]).filter(place > F.col("first")).select("id", "same", "line", "end").distinct()
-    gone = later.groupBy("id", "same").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("line", F.col("end") - 1))))).alias("__gone"))
-    gone = work.table(gone.withColumnsRenamed({"id": "__id", "same": "__same"}))
-    old = docs.drop("n_lines", "n_removed", "removed")
-    # one plan at every size: what was found grows with the corpus, so it is never the broadcast side
-    kept = old.withColumn("__key", F.xxhash64(body)).join(gone.hint("merge"), (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__same")), "left")
-    split = F.split(F.col(text_col).cast("string"), "\n", -1)
-    left = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(left)
-    # runs of consecutive numbers: number minus rank is constant
-    heads = F.filter("__gone", lambda x: ~F.array_contains("__gone", x - 1))
-    tails = F.filter("__gone", lambda x: ~F.array_contains("__gone", x + 1))
-    spans = F.array_join(F.zip_with(heads, tails, lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string"))), ",")
+    gone = work.table(_runs(later).withColumnsRenamed({"id": "__id", "same": "__same"}))
+    # what was found grows with the corpus, so it is never broadcast: a bitmap of it parts the texts that stay as they are
+    bits = work.table(bitmap(gone, "__id", "__same"))
+    key = F.col(f"`{id_col}`"), F.xxhash64(body)
+    whole = marked(old, bits, *key, how="left_anti").withColumn("__runs", F.lit(None).cast(gone.schema["__runs"].dataType))
+    some = marked(old, bits, *key).withColumn("__key", key[1]).join(gone.hint("merge"), (F.col(f"`{id_col}`") == F.col("__id")) & (F.col("__key") == F.col("__same")), "left")
+    kept = whole.unionAll(some.select(*whole.columns))
+    lines = F.split(column, "\n", -1)
+    # what stands before, between and after the runs
+    starts, stops = F.concat(F.array(F.lit(0)), F.col("__runs.end")), F.concat(F.col("__runs.begin"), F.array(F.size(lines)))
+    left = F.array_join(F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(lines, a + 1, b - a))), "\n")
+    text = F.when(F.col("__runs").isNull() | column.isNull(), F.col(f"`{text_col}`")).otherwise(left)
+    spans = F.array_join(F.transform("__runs", lambda r: F.concat_ws("-", r.begin.cast("string"), (r.end - 1).cast("string"))), ",")
     return kept.select(
         *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in old.columns),
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(column.isNull(), F.lit(0)).otherwise(F.regexp_count(column, F.lit("\n")) + 1).cast("long").alias("n_lines"),
+        F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r.end - r.begin), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(spans, F.lit("")).alias("removed"),
     )
 
