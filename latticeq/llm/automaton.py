@@ -99,26 +99,39 @@ class _Parser:
         return ("set", frozenset([self.byte()]))
 
 
+def _backwards(node):
+    """The node of the same strings read from the end."""
+    if node[0] == "cat":
+        return ("cat", [_backwards(x) for x in reversed(node[1])])
+    if node[0] == "or":
+        return ("or", [_backwards(x) for x in node[1]])
+    return node if node[0] == "set" else ("rep", _backwards(node[1]), *node[2:])
+
+
 class Automaton:
-    """Finds, in one pass over bytes, every position at which a match of any rule ends.
+    """All rules as one table, by subset construction and minimisation.
 
     ``step[state * classes + byte_class[byte]]`` is the next state (0: start) and ``accepts[state]`` has bit r set when
-    a match of rule r ends there. ``resets`` marks bytes that lead every state to the start: texts can be cut there.
+    a match of rule r ends there. Matches begin anywhere, or with ``anchored`` at the first byte only; with ``backwards``
+    texts are read from the end, so that a match "ends" where it begins. ``resets`` marks bytes that lead every state to
+    the start: texts can be cut there.
     """
 
-    def __init__(self, rules: list[str]) -> None:
+    def __init__(self, rules: list[str], anchored: bool = False, backwards: bool = False) -> None:
         self._edges: list[list[tuple[frozenset, int]]] = []
         self._empty: list[list[int]] = []
         start, ends = self._state(), {}
         for r, pattern in enumerate(rules):
-            enter, leave = self._build(_Parser(pattern).parse())
+            node = _Parser(pattern).parse()
+            enter, leave = self._build(_backwards(node) if backwards else node)
             self._empty[start].append(enter)
             ends[leave] = r
-        self._determinise(start, ends)
+        self._determinise(start, ends, anchored)
         self._minimise()
         del self._edges, self._empty
         after = self.step.reshape(-1, self.classes)
         self.resets = (after == 0).all(axis=0)[self.byte_class]
+        self.rows, self.ends = [row.tolist() for row in after], self.accepts.tolist()  # for steps taken one by one
 
     def _state(self) -> int:
         self._edges.append([])
@@ -176,7 +189,7 @@ class Automaton:
                     todo.append(x)
         return frozenset(seen)
 
-    def _determinise(self, start: int, ends: dict[int, int]) -> None:
+    def _determinise(self, start: int, ends: dict[int, int], anchored: bool) -> None:
         sets = {s for edges in self._edges for s, _ in edges}
         signs = [tuple(b in s for s in sets) for b in range(256)]
         numbers: dict[tuple, int] = {}
@@ -191,7 +204,7 @@ class Automaton:
             accepts.append(sum(1 << r for leave, r in ends.items() if leave in now))
             row = []
             for b in sample:
-                then = frozenset().union(initial, *(closure[t] for s in now for on, t in self._edges[s] if b in on))
+                then = frozenset().union(() if anchored else initial, *(closure[t] for s in now for on, t in self._edges[s] if b in on))
                 if then not in known:
                     known[then] = len(known)
                     todo.append(then)
@@ -216,38 +229,65 @@ class Automaton:
         head = np.zeros(len(order), np.int64)
         head[order[block[::-1]]] = np.arange(len(block))[::-1]
         self.step = order[block[self._table[head]]].astype(np.int32).reshape(-1)
-        self.accepts = self._accepts[head].astype(np.int32)
+        self.accepts = self._accepts[head].astype(np.uint8 if self._accepts.max(initial=0) < 256 else np.int64)
         del self._table, self._accepts
 
     def scan(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, few: int = 48) -> np.ndarray:
-        """For each segment data[starts[i]:ends[i]] the rules that match in it, as bits.
+        """For each byte of the segments data[starts[i]:ends[i]] the rules of which a match ends with it, as bits.
 
         All segments advance together, a byte a step; the last few, long ones go one by one.
         """
         length = ends - starts
         order = np.argsort(-length, kind="stable")
         at, left = starts[order], length[order]
-        state, found = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+        state, found = np.zeros(len(order), np.int32), np.zeros(len(data), self.accepts.dtype)
         symbols, classes = self.byte_class[data], np.int32(self.classes)
         alive = np.searchsorted(-left, -np.arange(1, (left[0] if len(left) else 0) + 1), side="right")  # segments of at least t + 1 bytes
         t = 0
         for t, m in enumerate(alive.tolist()):
             if m < few:
                 break
-            now = self.step[state[:m] * classes + symbols[at[:m] + t]]
+            here = at[:m] + t
+            now = self.step[state[:m] * classes + symbols[here]]
             state[:m] = now
-            found[:m] |= self.accepts[now]
+            found[here] = self.accepts[now]
         else:
             t = len(alive)
         if t < len(alive):
-            rows = [row.tolist() for row in self.step.reshape(-1, self.classes)]
-            accepts = self.accepts.tolist()
             for i in range(int(alive[t])):
-                s, f = int(state[i]), int(found[i])
-                for c in symbols[at[i] + t : at[i] + left[i]].tolist():
-                    s = rows[s][c]
-                    f |= accepts[s]
-                found[i] = f
-        out = np.empty_like(found)
-        out[order] = found
+                s, first = int(state[i]), at[i] + t
+                bits = []
+                for c in symbols[first : at[i] + left[i]].tolist():
+                    s = self.rows[s][c]
+                    bits.append(self.ends[s])
+                found[first : at[i] + left[i]] = bits
+        return found
+
+
+class Spans:
+    """The matches of one rule in a short text, by two automata: where matches begin, and how far one reaches."""
+
+    def __init__(self, rule: str) -> None:
+        self.begin, self.reach = Automaton([rule], backwards=True), Automaton([rule], anchored=True)
+        dead = np.flatnonzero((self.reach.step.reshape(-1, self.reach.classes) == np.arange(len(self.reach.ends))[:, None]).all(axis=1) & (self.reach.accepts == 0))
+        self.dead = int(dead[0]) if len(dead) else -1
+
+    def __call__(self, data: np.ndarray) -> list[tuple[int, int]]:
+        """(start, end) of the leftmost longest matches that don't overlap, in time linear in the text."""
+        rows, ends, s, begins = self.begin.rows, self.begin.ends, 0, []
+        for i, c in enumerate(self.begin.byte_class[data[::-1]].tolist()):
+            s = rows[s][c]
+            if ends[s]:
+                begins.append(len(data) - 1 - i)
+        rows, ends, symbols, out, done = self.reach.rows, self.reach.ends, self.reach.byte_class[data].tolist(), [], 0
+        for a in reversed(begins):
+            if a < done:
+                continue
+            s, i = 0, a
+            while i < len(symbols) and s != self.dead:
+                s = rows[s][symbols[i]]
+                i += 1
+                if ends[s]:
+                    done = i
+            out.append((a, done))
         return out
