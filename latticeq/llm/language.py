@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from latticeq.llm.shared import broadcast
+from latticeq.llm.shared import broadcast, ship
 from latticeq.llm.tokens import pieces, text_buffer
 
 #: Bytes of context. Labelled documents a language is learned from, about (chosen by hash; their whole texts are read).
@@ -148,6 +149,7 @@ def learn_languages(labelled: DataFrame, key: str, text_col: str = "text", lang_
 
     The counts are made and added up by the executors; the driver gets them (distinct runs of ``order + 1`` bytes).
     """
+    ship(labelled.sparkSession)
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not sizes:
@@ -163,43 +165,49 @@ def learn_languages(labelled: DataFrame, key: str, text_col: str = "text", lang_
     return ContextTrees(sorted(grams), grams, order)
 
 
-def _scoring(model, source: str):
+def _scoring(model, source: str, kept: list[str], added: list[str]):
     def run(batches):
         trees = model.value
         for batch in batches:
-            data, at = text_buffer(batch.column(source))
+            column = batch.column(source)
+            data, at = text_buffer(column)
             bits = np.concatenate([trees.code_lengths(data, at[lo : hi + 1]) for lo, hi in pieces(at)]) if len(at) > 1 else np.zeros((0, len(trees.langs)))
-            letters = batch.column("__letter").to_numpy(zero_copy_only=False).astype(bool)
+            letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             if trees.langs:
                 best = bits.argmin(axis=1)
                 odds = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
                 langs = [trees.langs[b] if ok else "und" for b, ok in zip(best, letters)]
                 score = np.where(letters, 1 / odds, 0.0)
+                size = np.diff(at)
+                rate = pa.array(bits.min(axis=1) / np.maximum(size, 1), mask=size == 0)
             else:
-                langs, score = ["und"] * len(letters), np.zeros(len(letters))
-            keep = [x for x in batch.schema.names if not x.startswith("__")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(langs, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                langs, score, rate = ["und"] * len(letters), np.zeros(len(letters)), pa.nulls(len(letters), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(langs, pa.string()), pa.array(score), rate], names=[*kept, *added])
 
     return run
 
 
-def identify_languages(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and lang_pred, score (replacing columns of those names).
+def identify_languages(docs: DataFrame, trees: ContextTrees, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """All columns of ``docs`` and lang_pred, score, bits_per_byte (or ``names``), replacing columns of those names.
 
-    score is the posterior probability of lang_pred under equal priors. A null text, or one without a letter of any
-    script, is ``und`` with score 0; so is everything if no language was learned. Equal code lengths: the first
-    language by name. The text is only read; other columns pass through as they are.
+    score is the posterior probability of lang_pred under equal priors, bits_per_byte the code length of the whole text
+    in lang_pred. A null text, or one without a letter of any script, is ``und`` with score 0; so is everything if no
+    language was learned. bits_per_byte is null for empty texts and where no language was learned. Equal code lengths:
+    the first language by name. Repeated rows come out repeated; an empty table gives an empty result; a text of any
+    length is one row of one batch and is scored whole. The text is only read; other columns pass through as they are.
     """
     spark: SparkSession = docs.sparkSession
     model = broadcast(spark, trees)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kept = [f for f in docs.schema.fields if f.name not in names]
+    columns = [F.col(f"`{f.name}`") for f in kept]
+    source = text_col
     # a text column that passes through needs no copy
-    source = text_col if isinstance(docs.schema[text_col].dataType, StringType) and not text_col.startswith("__") else "__text"
-    rows = docs.drop("lang_pred", "score").withColumns({"__letter": text.rlike(r"\p{L}")} | ({} if source == text_col else {"__text": text}))
-    kept = [f for f in rows.schema.fields if not f.name.startswith("__")]
+    if not isinstance(docs.schema[text_col].dataType, StringType) or text_col in names:
+        source = "text to score"
+        columns.append(F.col(f"`{text_col}`").cast("string").alias(source))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    rows = rows.select(*(f"`{f.name}`" for f in kept), "__letter", *(["__text"] if source == "__text" else []))
-    return rows.mapInArrow(_scoring(model, source), f"{schema}, lang_pred string, score double")
+    added = f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` double"
+    return docs.select(*columns).mapInArrow(_scoring(model, source, [f.name for f in kept], list(names)), f"{schema}, {added}" if schema else added)
 
 
 def held_out(id_col: str, modulus: int):
@@ -215,6 +223,5 @@ def trained_trees(docs: DataFrame, id_col: str = "doc_id") -> ContextTrees:
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     """The language of every text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select("doc_id", held_out("doc_id", 4).alias("held_out"), F.col("text").alias("__body"))
-    found = identify_languages(rows, trained_trees(docs), "__body")
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    rows = docs.select("doc_id", held_out("doc_id", 4).alias("held_out"), "text")
+    return identify_languages(rows, trained_trees(docs)).select("doc_id", "held_out", "lang_pred", "score")
