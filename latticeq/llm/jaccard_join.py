@@ -127,7 +127,7 @@ def _prefixes(width: int, seed: int, least: int, frequent):
         index, many = frequent.value
         seen: set[bytes] = set()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(8)]
             for members in shingle_sets(batch.column("text"), width):
                 if not len(members) or (sign := _node(members, seed)) in seen:
                     continue
@@ -135,12 +135,12 @@ def _prefixes(width: int, seed: int, least: int, frequent):
                 at = index(members)
                 counts = np.where(at >= 0, many[at], 0) if len(many) else np.zeros(len(members), np.int64)
                 chosen, k = prefix(members, counts, least)
-                size = len(chosen)
+                size, node, buckets = len(chosen), _first_long(sign), counts[chosen] // BUCKET + 1
                 odd = 1000 * int(np.count_nonzero(counts == 0)) // len(members)
-                for part, x in zip(parts, (members[chosen].view(np.int64), counts[chosen] // BUCKET + 1, np.full(size, odd), np.full(size, _first_long(sign)), np.full(size, len(members)), np.full(size, k), np.arange(size))):
+                for part, x in zip(parts, (members[chosen].view(np.int64), node % buckets, buckets, np.full(size, odd), np.full(size, node), np.full(size, len(members)), np.full(size, k), np.arange(size))):
                     part.append(x)
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in parts], names=["token", "salts", *_POSTING])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in parts], names=["token", "salt", "salts", *_POSTING])
 
     return run
 
@@ -184,14 +184,17 @@ class _Join:
 
     def buckets(self) -> DataFrame:
         """Prefix members that two nodes hold at least, each with the leader of its bucket."""
-        schema = "token long, salts long, odd long, node long, n long, match long, pos long"
+        schema = "token long, salt long, salts long, odd long, node long, n long, match long, pos long"
         rows = self.docs.filter("id IS NOT NULL").mapInArrow(_prefixes(self.width, self.seed, self.least, self.frequent), schema)
-        bucket = Window.partitionBy("token", F.pmod("node", "salts")).orderBy("node")
-        whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        keys = "token", "salt"
         # a set that stands in several tasks has a posting from each; the first one stays
-        held = rows.withColumns({"before": F.lag("node").over(bucket), "lead": F.min(F.struct(*_POSTING)).over(whole), "least": F.min("node").over(whole), "last": F.max("node").over(whole)})
-        held = held.filter("(least <> last OR salts > 1) AND (before IS NULL OR before <> node)")
-        return self.work.table(held.select("token", "salts", *_POSTING, "lead"))
+        rows = rows.withColumn("before", F.lag("node").over(Window.partitionBy(*keys).orderBy("node"))).filter("before IS NULL OR before <> node")
+        bucket, posting = Window.partitionBy(*keys), F.struct(*_POSTING)
+        held = rows.withColumns({"lead": F.min(posting).over(bucket), "last": F.max(posting).over(bucket), "size": F.count(F.lit(1)).over(bucket)})
+        # the two nodes of a bucket have no other partner in it
+        held = held.withColumn("pair", F.expr("size = 2 AND salts = 1")).filter("size > 1 OR salts > 1").filter(~F.col("pair") | self.near("lead.{}", "last.{}"))
+        once = F.col("pair") & (F.least("lead.match", "last.match") == 1)
+        return self.work.table(held.select("token", "salts", *_POSTING, "lead", once.alias("once")))
 
     def near(self, x: str, y: str):
         """Whether a shared member can be among the first l shared ones of a pair over the threshold.
@@ -246,14 +249,11 @@ class _Join:
         return links
 
     def divided(self, held: DataFrame, labels: DataFrame) -> DataFrame:
-        """Rows of buckets that hold several components, with their own and the bucket's main label.
-
-        A bucket of two nodes has had its only pair in step 2, unless that pair needs others of its buckets as well.
-        """
+        """Rows of buckets that hold several components, with their own and the bucket's main label."""
         named = held.join(labels, "node", "left").select("token", *_POSTING, F.coalesce("label", "node").alias("label"))
-        sizes = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"), F.min("match").alias("match"))
-        mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all"), F.min("match").alias("match"))
-        mixed = self.work.table(mixed.filter("kinds > 1 AND (all > 2 OR match > 1)").select("token", F.col("main.label").alias("main")))
+        sizes = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"))
+        mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("kinds"))
+        mixed = self.work.table(mixed.filter("kinds > 1").select("token", F.col("main.label").alias("main")))
         return self.work.table(named.join(mixed, "token"))
 
     def turned(self, divided: DataFrame, turn: int) -> DataFrame:
@@ -275,9 +275,9 @@ class _Join:
         tried = self.work.table(self.led(held))
         links = self.verify(tried)
         labels = components(links, self.work)
+        held = held.filter("NOT once")  # a bucket of two nodes has had its only pair, unless that needs other buckets too
         for turn in range(TURNS + 1):
             divided = self.divided(held, labels)
-            self.work.drop(held)
             held = divided.select("token", *_POSTING)  # what is settled stays so
             pairs = self.turned(divided, turn) if turn < TURNS else self.rest(divided)
             pairs = self.work.table(pairs.join(tried, ["a", "b"], "left_anti"))
