@@ -10,7 +10,12 @@ RESIDUES = "ALA CYS ASP GLU PHE GLY HIS ILE LYS LEU MET ASN PRO GLN ARG SER THR
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 
 # fixed values: modified residues and what they count as
-MODIFIED = {"MSE": "MET", "SEC": "CYS", "SEP": "SER", "TPO": "THR", "PTR": "TYR", "CSO": "CYS", "CSD": "CYS", "HSD": "HIS", "HSE": "HIS", "HSP": "HIS", "HIP": "HIS", "HIE": "HIS", "HID": "HIS", "KCX": "LYS", "LLP": "LYS", "MLY": "LYS", "HYP": "PRO", "PCA": "GLU"}
+MODIFIED = {
+    "MSE": "MET", "FME": "MET", "SEP": "SER", "SAC": "SER", "OAS": "SER", "TPO": "THR", "IYT": "THR", "PTR": "TYR", "TYS": "TYR",
+    "CSO": "CYS", "SEC": "CYS", "CSS": "CYS", "CAS": "CYS", "CAF": "CYS", "OCS": "CYS", "CSD": "CYS", "CME": "CYS", "YCM": "CYS", "SAH": "CYS",
+    "HYP": "PRO", "M3L": "LYS", "LLP": "LYS", "KPI": "LYS", "KPX": "LYS", "MLY": "LYS", "KCX": "LYS", "PCA": "GLN", "DGL": "GLU", "BHD": "ASP", "IAS": "ASP",
+    "ABA": "ALA", "0A9": "PHE", "KYN": "TRP",
+}
 
 # the standard genetic code, by codon in the order TCAG
 CODONS = {a + b + c: x for (a, b, c), x in zip(((a, b, c) for a in "TCAG" for b in "TCAG" for c in "TCAG"), "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG")}

@@ -104,7 +104,7 @@ def circular_deviation(a: Column, b: Column) -> Column:
     return F.least(d, F.lit(2 * math.pi) - d)
 
 
-#: Spherical position of the virtual CB in the residue frame: distance, polar and azimuth angle in degrees.
+# fixed values: spherical position of the virtual CB in the residue frame: distance, polar and azimuth angle in degrees.
 CB_R, CB_POLAR, CB_AZIMUTH = 1.5, 37.794, 87.948
 
 
@@ -152,19 +152,61 @@ def contact_type(a: Column, b: Column) -> Column:
     return F.concat(side(a), side(b))
 
 
-def amide_hydrogen(n: Column, ca: Column, previous_c: Column, length: float = 1.01) -> Column:
-    """H on the bisector away from CA and the previous C."""
+def amide_hydrogen(n: Column, ca: Column, previous_c: Column, length: float = 1.0) -> Column:
+    """H against the bisector of the directions from N to CA and to the previous C."""
     return add(n, scale(unit(add(unit(sub(n, ca)), unit(sub(n, previous_c)))), length))
 
 
-def hbond_energy(h: Column, n: Column, o: Column, c: Column, best: float = 2.0, depth: float = 2.0) -> Column:
-    """An 8-6 well in H...O with the squared cosines of both angles; bonds are those below -0.25."""
-    r = F.lit(best) / distance(h, o)
-    well = depth * (3 * F.pow(r, F.lit(8.0)) - 4 * F.pow(r, F.lit(6.0)))
-    nho, hoc = cosine(sub(n, h), sub(o, h)), cosine(sub(h, o), sub(c, o))
-    return F.when((nho < 0) & (hoc < 0), well * nho * nho * hoc * hoc).otherwise(0.0)
+def lone_pair_normal(ca: Column, c: Column, o: Column) -> Column:
+    """Normal of the plane of a carbonyl oxygen's lone pairs: (C - CA) x (O - C)."""
+    return cross(sub(c, ca), sub(o, c))
 
 
-def water_position(h: Column, n: Column, length: float = 2.0) -> Column:
-    """Where a water's oxygen would stand: from N through H."""
-    return add(h, scale(unit(sub(h, n)), length))
+# fixed values: depth and distance of the N...O well, energy below which there is a bond, energies of an exposed NH and CO
+HBOND_DEPTH, HBOND_BEST, HBOND_CUT, EXPOSED_NH, EXPOSED_CO = 2.8, 3.0, -0.25, -2.8, -4.0
+
+
+def hbond_energy(n: Column, h: Column, donor_c: Column, donor_o: Column, ca: Column, c: Column, o: Column) -> Column:
+    """Energy of a hydrogen bond from a donor's N-H to an acceptor's O: an 8-6 well in N...O times two angular terms.
+
+    The first falls with the angle of N->H against H->O. The second takes O->H apart along the normal of the acceptor's
+    lone-pair plane: the angle out of the plane, and within it the angle against the donor's carbonyl bond, with other
+    formulas below 90, below 110 and beyond. Distances at which the well alone is above -0.25 give 0; null without H.
+    """
+    r = F.lit(HBOND_BEST) / distance(n, o)
+    well = HBOND_DEPTH * (3 * F.pow(r, F.lit(8.0)) - 4 * F.pow(r, F.lit(6.0)))
+    steps = F.struct(angle(sub(h, n), sub(o, h)).alias("t"), sub(h, o).alias("v"), lone_pair_normal(ca, c, o).alias("k"), sub(donor_o, donor_c).alias("b"), well.alias("well"))
+    plane = lambda s: sub(s.v, scale(s.k, dot(s.v, s.k) / dot(s.k, s.k)))
+    angles = let(steps, lambda s: F.struct(s.well.alias("well"), s.t.alias("t"), F.abs(math.pi / 2 - angle(s.v, s.k)).alias("out"), angle(plane(s), s.b).alias("within")))
+    far = math.radians(110)
+    k1, k2 = 0.9 / math.cos(far) ** 6, math.cos(far) ** 2
+
+    def energy(s: Column) -> Column:
+        first = F.when(s.t < math.pi / 2, F.pow(F.cos(s.t), F.lit(2.0))).otherwise(0.0)
+        near = (0.9 + 0.1 * F.sin(2 * s.within)) * F.cos(s.out)
+        wide = k1 * F.pow(k2 - F.pow(F.cos(s.within), F.lit(2.0)), F.lit(3.0)) * F.cos(s.out)
+        second = F.when(s.within < math.pi / 2, near).when(s.within < far, wide).otherwise(0.0)
+        return F.when(s.well > HBOND_CUT, 0.0).otherwise(s.well * first * second)
+
+    return let(angles, energy)
+
+
+def water_position(h: Column, n: Column, length: float = 3.0) -> Column:
+    """Where a water's oxygen would stand before an NH: from N through H."""
+    return add(n, scale(unit(sub(h, n)), length))
+
+
+def carbonyl_waters(ca: Column, c: Column, o: Column, length: float = 2.8) -> Column:
+    """Where two waters' oxygens would stand at a carbonyl's lone pairs: 30 and 120 degrees in their plane, from y x z to C->O."""
+    steps = let(F.struct(unit(lone_pair_normal(ca, c, o)).alias("z"), unit(sub(o, c)).alias("y"), o.alias("o")), lambda s: F.struct(cross(s.y, s.z).alias("x"), s.y.alias("y"), s.o.alias("o")))
+    place = lambda s, turn: add(s.o, add(scale(s.x, length * math.cos(math.radians(turn))), scale(s.y, length * math.sin(math.radians(turn)))))
+    return let(steps, lambda s: F.array(place(s, 30), place(s, 120)))
+
+
+# fixed values: least distances of a water's oxygen from N and O, and from CA and C
+WATER_NO, WATER_C = 2.9, 3.1
+
+
+def water_overlaps(w: Column, n: Column, ca: Column, c: Column, o: Column) -> Column:
+    """Whether a water would overlap one of a residue's backbone atoms."""
+    return (distance(w, n) < WATER_NO) | (distance(w, ca) < WATER_C) | (distance(w, c) < WATER_C) | (distance(w, o) < WATER_NO)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from latticeq.functions.alphabet import CODONS, look_up
+from latticeq.functions.alphabet import CODONS
 
 
 def letters(s: Column) -> Column:
@@ -21,10 +21,14 @@ def reverse_complement(s: Column) -> Column:
 
 
 def translate_codons(s: Column, codons: dict[str, str] = CODONS) -> Column:
-    """Amino acids of the codons in frame 0, up to the first unknown codon; an incomplete last one is left out."""
-    starts = F.when(F.length(s) >= 3, F.sequence(F.lit(1), F.length(s) - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
-    acids = F.transform(starts, lambda i: F.coalesce(look_up(codons, F.substr(s, i, F.lit(3))), F.lit("?")))
-    return F.substring_index(F.array_join(acids, ""), "?", 1)
+    """Amino acids of the codons in frame 0, up to the first unknown codon; an incomplete last one is left out.
+
+    A codon's number is its place in a list of all of them, its acid the letter of that number: strings only, and each
+    text is cut into codons once.
+    """
+    listed, acids = "".join(f"{c}," for c in codons), "?" + "".join(codons.values())
+    number = lambda c: F.floor((F.instr(F.lit(listed), c) + 3) / 4).cast("int")
+    return F.substring_index(F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)(.{3})")), lambda c: F.substr(F.lit(acids), number(c) + 1, F.lit(1))), ""), "?", 1)
 
 
 def trim_stop(s: Column, skip: int = 1) -> Column:

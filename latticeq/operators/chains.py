@@ -23,23 +23,24 @@ def segments(df: DataFrame, chain: str, order: list, value: str, k: int) -> Data
     return df.withColumn("segment", F.collect_list(value).over(w)).filter(F.size("segment") == k)
 
 
-def bridges(df: DataFrame, chain: str, order: list, axes: list[str], longest: int) -> DataFrame:
-    """Every stretch of 0..longest rows between two anchors of two rows each: chain, start, len, d1, d2, d3.
+def bridges(df: DataFrame, chain: str, order: list, axes: list[str], longest: int, end: int = 3) -> DataFrame:
+    """Every stretch of 0..longest rows between two ends of ``end`` rows each: chain, start, len, d1, .., ends.
 
-    start is the position of the first anchor's last row; d1 spans the anchors' inner rows, d2 first anchor's outer to
-    second's inner row, d3 first's inner to second's outer.
+    start is the position of the last row of the first end. d1 spans the first rows of both ends, d2 their second rows and
+    so on; ``ends`` has the coordinates of all their rows, flat, for a superposition.
     """
     w = Window.partitionBy(chain).orderBy(*order)
     point = F.struct(*axes)
-    rows = df.select(chain, F.row_number().over(w).cast("long").alias("start"), F.lag(point).over(w).alias("p"), point.alias("q"), F.collect_list(point).over(w.rowsBetween(1, longest + 2)).alias("after"))
-    rows = rows.filter("p IS NOT NULL AND size(after) >= 2")
-    out = rows.withColumn("len", F.explode(F.sequence(F.lit(0), F.size("after") - 2)))
+    rows = df.select(chain, F.row_number().over(w).cast("long").alias("start"), F.collect_list(point).over(w.rowsBetween(1 - end, 0)).alias("one"), F.collect_list(point).over(w.rowsBetween(1, longest + end)).alias("after"))
+    rows = rows.filter((F.size("one") == end) & (F.size("after") >= end))
+    out = rows.withColumn("len", F.explode(F.sequence(F.lit(0), F.size("after") - end))).withColumn("two", F.slice("after", F.col("len") + 1, F.lit(end)))
 
-    def gap(a: Column, b: Column) -> Column:
+    def gap(i: int) -> Column:
+        a, b = F.element_at("one", i + 1), F.element_at("two", i + 1)
         return F.sqrt(sum(((a[x] - b[x]) * (a[x] - b[x]) for x in axes), F.lit(0.0)))
 
-    inner, outer = F.element_at("after", F.col("len") + 1), F.element_at("after", F.col("len") + 2)
-    return out.select(chain, "start", F.col("len").cast("long").alias("len"), gap(F.col("q"), inner).alias("d1"), gap(F.col("p"), inner).alias("d2"), gap(F.col("q"), outer).alias("d3"))
+    flat = F.flatten(F.transform(F.concat("one", "two"), lambda p: F.array(*(p[x].cast("double") for x in axes))))
+    return out.select(chain, "start", F.col("len").cast("long").alias("len"), *(gap(i).alias(f"d{i + 1}") for i in range(end)), flat.alias("ends"))
 
 
 def bonded_previous(df: DataFrame, chain: str, order: list, gap: Column, most: float, value: str) -> DataFrame:
@@ -73,16 +74,17 @@ def moving_orientation(df: DataFrame, chain: str, order: list, axes: list[str],
     return steps.groupBy(chain).agg(*(F.avg(a).alias(a) for a in axes), F.count(F.lit(1)).alias("n"))
 
 
-def best_window(a: DataFrame, b: DataFrame, chain: str, pos: str, window: str) -> DataFrame:
+def best_window(a: DataFrame, b: DataFrame, chain: str, pos: str, window: str, size: int) -> DataFrame:
     """For each pair of chains the pair of windows of least RMSD (no superposition; ties: the first): a, b, i, j, rmsd.
 
-    ``a`` goes to every task: it holds the queries.
+    Every window of ``a``, a set of queries, meets every one of ``b``; windows are arrays of ``size`` numbers.
     """
-    x = a.select(F.col(chain).alias("a"), F.col(pos).alias("i"), F.col(window).alias("wa"))
-    y = b.select(F.col(chain).alias("b"), F.col(pos).alias("j"), F.col(window).alias("wb"))
-    d2 = F.aggregate(F.zip_with("wa", "wb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v)
-    pairs = y.crossJoin(F.broadcast(x)).filter("a <> b").withColumn("rmsd", F.sqrt(d2 / F.size("wa")))
-    return pairs.groupBy("a", "b").agg(F.min(F.struct("rmsd", "i", "j")).alias("best")).select("a", "b", "best.i", "best.j", "best.rmsd")
+    numbers = lambda n: [F.element_at(window, i + 1).alias(f"{n}{i}") for i in range(size)]
+    x = a.select(F.col(chain).alias("a"), F.col(pos).alias("i"), *numbers("p"))
+    y = b.select(F.col(chain).alias("b"), F.col(pos).alias("j"), *numbers("q"))
+    d2 = sum(((F.col(f"p{i}") - F.col(f"q{i}")) * (F.col(f"p{i}") - F.col(f"q{i}")) for i in range(size)), F.lit(0.0))
+    pairs = y.crossJoin(x).filter("a <> b").select("a", "b", "i", "j", F.sqrt(d2 / size).alias("rmsd"))
+    return pairs.groupBy("a", "b").agg(F.min("rmsd").alias("rmsd"), F.min_by(F.struct("i", "j"), F.struct("rmsd", "i", "j")).alias("at")).select("a", "b", "at.i", "at.j", "rmsd")
 
 
 def topology_positions(df: DataFrame, topology: str, order: list, length: str, overlap: int = 3) -> DataFrame:

@@ -73,23 +73,26 @@ def enrichment(before: DataFrame, after: DataFrame, key: str, n: str, total_befo
     return both.select(key, "n1", "n2", F.try_divide(F.col("n2") / t2, F.col("n1") / t1).alias("ratio"))
 
 
-def set_similarity(members: DataFrame, key: str, member: str, least: int = 0, max_members: int | None = None) -> DataFrame:
+def set_similarity(members: DataFrame, key: str, member: str, least: int = 0, queries: Column | None = None) -> DataFrame:
     """Jaccard similarity of the member sets of each two keys that share a member: a, b, shared, jaccard (a < b).
 
-    0 where the larger set has fewer than ``least`` members.
+    0 where the larger set has fewer than ``least`` members. ``queries``, a condition on the key: only pairs of a query a
+    with any other key b.
     """
-    sets = members.select(F.col(key).alias("k"), F.col(member).alias("m")).filter("m IS NOT NULL").distinct()
-    sized = sets.join(sets.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
-    a, b = (sized.select(F.col("k").alias(x), "m", F.col("n").alias(f"n{x}")) for x in "ab")
-    shared = a.join(b, "m").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    sets = members.select(F.col(key).alias(key), F.col(member).alias("m")).filter("m IS NOT NULL").distinct()
+    sized = sets.join(sets.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
+    a = (sized if queries is None else sized.filter(queries)).select(F.col(key).alias("a"), "m", F.col("n").alias("na"))
+    b = sized.select(F.col(key).alias("b"), "m", F.col("n").alias("nb"))
+    shared = a.join(b, "m").filter("a < b" if queries is None else "a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     return shared.select("a", "b", "shared", F.when(F.greatest("na", "nb") < least, 0.0).otherwise(j).alias("jaccard"))
 
 
-def similarity_matrix(similar: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Every unordered pair of keys with its similarity (0 where absent) and the diagonal of 1: a, b, jaccard."""
-    k = keys.select(F.col(key).alias("k")).distinct()
-    pairs = k.select(F.col("k").alias("a")).join(k.select(F.col("k").alias("b")), F.col("a") <= F.col("b"))
+def similarity_matrix(similar: DataFrame, keys: DataFrame, key: str, queries: Column | None = None) -> DataFrame:
+    """Every unordered pair of keys (of each query with any key) with its similarity, 0 where absent, 1 with itself: a, b, jaccard."""
+    k = keys.select(key).distinct()
+    a, b = (k if queries is None else k.filter(queries)).select(F.col(key).alias("a")), k.select(F.col(key).alias("b"))
+    pairs = a.join(b, F.col("a") <= F.col("b")) if queries is None else a.crossJoin(b)
     out = pairs.join(similar.select("a", "b", "jaccard"), ["a", "b"], "left")
     return out.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("jaccard", F.lit(0.0))).alias("jaccard"))
 
@@ -97,13 +100,22 @@ def similarity_matrix(similar: DataFrame, keys: DataFrame, key: str) -> DataFram
 def pair_keys(contacts: DataFrame, key: str, target: str, pos: str, window: int, compat: bool = False) -> DataFrame:
     """Keys ``target_target_distance`` of ordered pairs of contacts that lie 1 to ``window`` apart along the binder.
 
-    compat: any signed distance up to ``window``, both orders, as pairs of different contacts.
+    compat: all ordered pairs of different contacts of a key whose signed distance, the first's place less the second's,
+    is at most ``window``. A key's contacts are met window by window, so that only pairs near enough are made.
     """
-    a = contacts.select(F.col(key).alias("k"), F.col(target).alias("ta"), F.col(pos).alias("pa"))
-    b = contacts.select(F.col(key).alias("k"), F.col(target).alias("tb"), F.col(pos).alias("pb"))
-    d = F.col("pb") - F.col("pa")
-    keep = (d <= window) & ((F.col("ta") != F.col("tb")) | (d != 0)) if compat else (d >= 1) & (d <= window)
-    return a.join(b, "k").filter(keep).select(F.col("k").alias(key), F.concat_ws("_", F.col("ta").cast("string"), F.col("tb").cast("string"), d.cast("string")).alias("pair_key")).distinct()
+    rows = contacts.select(F.col(key).alias("k"), F.col(target).alias("t"), F.col(pos).alias("p"))
+    if compat:
+        # the signed distance has no lower bound: all of a key's later contacts are partners of a first one
+        a = rows.select("k", F.col("t").alias("ta"), F.col("p").alias("pa"), F.monotonically_increasing_id().alias("ia"))
+        b = a.select("k", F.col("ta").alias("tb"), F.col("pa").alias("pb"), F.col("ia").alias("ib"))
+        met = a.join(b, "k").filter((F.col("ia") != F.col("ib")) & (F.col("pa") - F.col("pb") <= window))
+        d = F.col("pa") - F.col("pb")
+    else:
+        near = Window.partitionBy("k").orderBy("p").rangeBetween(1, window)
+        met = rows.withColumn("later", F.collect_set(F.struct("t", "p")).over(near)).select("k", F.col("t").alias("ta"), F.col("p").alias("pa"), F.explode("later").alias("o"))
+        met = met.select("k", "ta", "pa", F.col("o.t").alias("tb"), F.col("o.p").alias("pb"))
+        d = F.col("pb") - F.col("pa")
+    return met.select(F.col("k").alias(key), F.concat_ws("_", F.col("ta").cast("string"), F.col("tb").cast("string"), d.cast("string")).alias("pair_key")).distinct()
 
 
 def wide_distribution(df: DataFrame, key: str, value: str, values: list[int]) -> DataFrame:
@@ -121,3 +133,8 @@ def weighted_loss(df: DataFrame, by: list[str], loss: str, weight: str) -> DataF
 def masked_mean(df: DataFrame, by: list[str], value: Column, mask: Column) -> DataFrame:
     """Mean over rows that the mask keeps; null if none."""
     return df.groupBy(*by).agg(F.avg(F.when(mask, value)).alias("mean"), F.count_if(mask).cast("long").alias("n"))
+
+
+def masked_mse(df: DataFrame, by: list[str], value: Column, truth: Column, mask: Column) -> DataFrame:
+    """Mean squared difference over rows that the mask keeps; null if none."""
+    return df.groupBy(*by).agg(F.avg(F.when(mask, (value - truth) * (value - truth))).alias("mse"), F.count_if(mask).cast("long").alias("n"))

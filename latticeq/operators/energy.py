@@ -93,3 +93,38 @@ def scatter_mean(edges: DataFrame, i: str = "i", j: str = "j", value: str = "val
 def transposed(block: DataFrame, a: str = "aa_i", b: str = "aa_j") -> DataFrame:
     """A block of pair energies with its letters swapped."""
     return block.withColumns({a: F.col(b), b: F.col(a)})
+
+
+def pseudo_likelihood(self_e: DataFrame, pair_e: DataFrame, seq: DataFrame) -> DataFrame:
+    """Mean of -log p of each position's letter given all others': nlpl, n; p by the softmax of -energy."""
+    p = letter_probabilities(position_energies(self_e, pair_e, seq), ["pos"])
+    native = p.join(seq.select("pos", "aa"), ["pos", "aa"])
+    return native.agg(F.avg(-F.log("p")).alias("nlpl"), F.count(F.lit(1)).alias("n"))
+
+
+def composite_likelihood(self_e: DataFrame, pair_e: DataFrame, seq: DataFrame) -> DataFrame:
+    """Mean over edges (in both directions) of -log p of both letters given all others': nlcpl, n.
+
+    The energy of letters a and b at an edge's ends is their self energies, their pair energy, and those of each with the
+    letters of its other neighbours.
+    """
+    both = pair_e.filter("pos_i <> pos_j").select("pos_i", "pos_j", "aa_i", "aa_j", "e")
+    both = both.unionAll(both.select("pos_j", "pos_i", "aa_j", "aa_i", "e"))
+    given = both.join(seq.select(F.col("pos").alias("pos_j"), F.col("aa").alias("aa_j")), ["pos_j", "aa_j"])
+    given = given.groupBy("pos_i", "aa_i", "pos_j").agg(F.sum("e").alias("e"))  # of a letter with one neighbour's
+    alone = position_energies(self_e, pair_e, seq)
+    at = lambda x, y: alone.select(F.col("pos").alias(f"pos_{x}"), F.col("aa").alias(f"aa_{x}"), F.col("e").alias(f"e_{x}"))
+    less = lambda x, y: given.select(F.col("pos_i").alias(f"pos_{x}"), F.col("aa_i").alias(f"aa_{x}"), F.col("pos_j").alias(f"pos_{y}"), F.col("e").alias(f"less_{x}"))
+    edges = both.join(at("i", "j"), ["pos_i", "aa_i"]).join(at("j", "i"), ["pos_j", "aa_j"])
+    edges = edges.join(less("i", "j"), ["pos_i", "aa_i", "pos_j"], "left").join(less("j", "i"), ["pos_j", "aa_j", "pos_i"], "left")
+    total = F.col("e") + F.col("e_i") + F.col("e_j") - F.coalesce("less_i", F.lit(0.0)) - F.coalesce("less_j", F.lit(0.0))
+    p = letter_probabilities(edges.select("pos_i", "pos_j", "aa_i", "aa_j", total.alias("e")), ["pos_i", "pos_j"])
+    native = p.join(seq.select(F.col("pos").alias("pos_i"), F.col("aa").alias("aa_i")), ["pos_i", "aa_i"]).join(seq.select(F.col("pos").alias("pos_j"), F.col("aa").alias("aa_j")), ["pos_j", "aa_j"])
+    return native.agg(F.avg(-F.log("p")).alias("nlcpl"), F.count(F.lit(1)).alias("n"))
+
+
+def total_difference(bound: DataFrame, unbound: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Energy of a complex less that of its target alone; tables (energy) of one row for each ``by``: by, energy."""
+    a, b = bound.select(*by, F.col("energy").alias("__a")), unbound.select(*by, F.col("energy").alias("__b"))
+    both = a.join(b, list(by)) if by else a.crossJoin(b)
+    return both.select(*by, (F.col("__a") - F.col("__b")).alias("energy"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeq.functions.geometry import circular_deviation
+from latticeq.staging import Workspace
 
 XYZ = ("x", "y", "z")
 
@@ -105,18 +106,20 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float | None, key
         radius = 1.5 * (2 * k / max(bounds["n"], 1) * volume) ** (1 / len(axes))
     by = Window.partitionBy(f"l_{key}").orderBy("d2", f"r_{key}")
     other = None if with_self else F.col(f"l_{key}") != F.col(f"r_{key}")
-    left, right = left.select(key, *axes), right.select(key, *axes)
-    left_over, found = left, None
+    work = Workspace(left.sparkSession, "nearest")
+    left_over, right = left.select(key, *axes), right.select(key, *axes)
+    found = None
     while True:
         reach = min(radius, max(largest, 1e-9)) * (1 + 1e-9)
         pairs = range_join(left_over, right, reach, axes, other).withColumn("d2", squared_distance("l_", "r_", axes))
         ranked = pairs.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= k).select(f"l_{key}", f"r_{key}", "d2", "nth")
         if radius >= largest:
             return ranked if found is None else found.unionAll(ranked)
-        full = ranked.filter(F.col("nth") == k).select(F.col(f"l_{key}").alias(key))
-        done = ranked.join(full.withColumnRenamed(key, f"l_{key}"), f"l_{key}", "left_semi")
+        # each round is written, so that the next one starts from what it left over
+        ranked = work.table(ranked.withColumn("full", F.max("nth").over(Window.partitionBy(f"l_{key}")) == k))
+        done = ranked.filter("full").drop("full")
         found = done if found is None else found.unionAll(done)
-        left_over = left_over.join(full, key, "left_anti")
+        left_over = work.table(left_over.join(done.filter(F.col("nth") == k).select(F.col(f"l_{key}").alias(key)), key, "left_anti"))
         if left_over.isEmpty():
             return found
         radius = radius * grow

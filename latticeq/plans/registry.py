@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from latticeq.plans import relational, structural
+from latticeq.plans import interfaces, relational, structural
 
-QUERIES: dict = relational.QUERIES | structural.QUERIES
-SQL: dict = relational.SQL | structural.SQL
+QUERIES: dict = relational.QUERIES | structural.QUERIES | interfaces.QUERIES
+SQL: dict = relational.SQL | structural.SQL | interfaces.SQL

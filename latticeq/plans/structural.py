@@ -118,14 +118,6 @@ def sliding_segments(spark, d):
     return chains.segments(residues(spark, d), "chain", ["pos"], "letter", 5).select("chain", "pos", F.array_join("segment", "").alias("segment"))
 
 
-@query(f"""WITH {RESIDUES}, w AS (SELECT p.chain, q.pos AS start, a.pos - q.pos - 1 AS len, abs(q.value - a.value) AS d1, abs(p.value - a.value) AS d2, abs(q.value - b.value) AS d3
-FROM r q JOIN r p ON p.chain = q.chain AND p.pos = q.pos - 1 JOIN r a ON a.chain = q.chain AND a.pos BETWEEN q.pos + 1 AND q.pos + 4 JOIN r b ON b.chain = a.chain AND b.pos = a.pos + 1)
-SELECT chain, start, len, round(d1, 6) AS d1, round(d2, 6) AS d2, round(d3, 6) AS d3 FROM w""")
-def bridge_enumeration(spark, d):
-    b = chains.bridges(residues(spark, d), "chain", ["pos"], ["value"], 3)
-    return b.select("chain", "start", "len", *(F.round(c, 6).alias(c) for c in ("d1", "d2", "d3")))
-
-
 @query(f"WITH {RESIDUES} SELECT chain, pos, CASE WHEN abs(value - lag(value) OVER z) < 20 THEN lag(letter) OVER z END AS previous FROM r WINDOW z AS (PARTITION BY chain ORDER BY pos)")
 def lag_bonded(spark, d):
     from pyspark.sql import Window
@@ -156,12 +148,12 @@ def moving_orientation(spark, d):
 
 
 @query(f"""WITH {RESIDUES}, w AS (SELECT chain, pos, list(value) OVER (PARTITION BY chain ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS v FROM r), u AS (SELECT * FROM w WHERE len(v) = 3),
-m AS (SELECT x.chain AS a, y.chain AS b, x.pos AS i, y.pos AS j, sqrt(((x.v[1]-y.v[1])*(x.v[1]-y.v[1]) + (x.v[2]-y.v[2])*(x.v[2]-y.v[2]) + (x.v[3]-y.v[3])*(x.v[3]-y.v[3])) / 3) AS rmsd FROM u x JOIN u y ON x.chain <> y.chain WHERE x.chain < 20 AND y.chain < 20)
+m AS (SELECT x.chain AS a, y.chain AS b, x.pos AS i, y.pos AS j, sqrt(((x.v[1]-y.v[1])*(x.v[1]-y.v[1]) + (x.v[2]-y.v[2])*(x.v[2]-y.v[2]) + (x.v[3]-y.v[3])*(x.v[3]-y.v[3])) / 3) AS rmsd FROM u x JOIN u y ON x.chain <> y.chain WHERE x.chain % 100 = 0)
 SELECT a, b, i, j, round(rmsd, 6) AS rmsd FROM m QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY rmsd, i, j) = 1""")
 def best_window_alignment(spark, d):
-    """Best windows of each query chain (numbers divisible by 100) with every other; the SQL has the first twenty only."""
+    """Best windows of each query chain (numbers divisible by 100) with every other."""
     w = chains.segments(residues(spark, d), "chain", ["pos"], "value", 3)
-    out = chains.best_window(w.filter("chain % 100 = 0"), w, "chain", "pos", "segment")
+    out = chains.best_window(w.filter("chain % 100 = 0"), w, "chain", "pos", "segment", 3)
     return out.select("a", "b", "i", "j", F.round("rmsd", 6).alias("rmsd"))
 
 
@@ -198,18 +190,6 @@ def segment_distance(spark, d):
     return t.select("vec_id", F.round(g.segment_distance(F.col("a"), F.col("b"), F.col("c")), 6).alias("distance"))
 
 
-@query()
-def residue_frames(spark, d):
-    """Frames of successive points taken as N, CA and C, with their angles, virtual CB and hydrogen-bond energy."""
-    p = points(spark, d).select("vec_id", g.vec(F.col("x"), F.col("y"), F.col("z")).alias("p"))
-    a, b, c, e = (p.select((F.col("vec_id") - k).alias("vec_id"), F.col("p").alias(n)) for k, n in enumerate("abce"))
-    t = a.join(b, "vec_id").join(c, "vec_id").join(e, "vec_id").withColumn("f", g.frame(F.col("a"), F.col("b"), F.col("c")))
-    t = t.withColumn("cb", g.virtual_cb(F.col("f")))
-    angles = g.frame_angles(F.col("f"))
-    bond = g.hbond_energy(F.col("a"), F.col("b"), F.col("c"), F.col("e"), best=0.2)
-    return t.select("vec_id", *(F.round(angles[i], 6).alias(f"angle{i}") for i in range(3)), F.round(g.distance(F.col("cb"), F.col("f.o")), 6).alias("cb_length"), F.round(g.dihedral(F.col("a"), F.col("b"), F.col("c"), F.col("e")), 6).alias("dihedral"), F.round(bond, 6).alias("energy"))
-
-
 # energy tables
 
 
@@ -228,12 +208,6 @@ def mutation_delta(spark, d):
     return energy.mutation_deltas(*energies(spark, d)).select("pos", "aa", F.round("delta", 6).alias("delta"))
 
 
-@query(f"WITH {ENERGIES}, {_ALL} SELECT pos, arg_min(aa, (e, aa)) AS aa, round(min(e), 6) AS e FROM pe GROUP BY pos")
-def consensus_argmin(spark, d):
-    out = energy.consensus(energy.position_energies(*energies(spark, d)), ["pos"])
-    return out.select("pos", "aa", F.round("e", 6).alias("e"))
-
-
 @query(f"WITH {ENERGIES}, {_ALL} SELECT pos, aa, round(exp(-e) / sum(exp(-e)) OVER (PARTITION BY pos), 6) AS p FROM pe")
 def softmax_probs(spark, d):
     out = energy.letter_probabilities(energy.position_energies(*energies(spark, d)), ["pos"])
@@ -286,7 +260,7 @@ def scatter_mean(spark, d):
 
 
 def _flat(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.slice("embedding", 1, 12).cast("array<double>").alias("v"))
+    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.slice("embedding", 1, 63).cast("array<double>").alias("v"))
 
 
 @query()
@@ -300,7 +274,7 @@ def kabsch_rmsd(spark, d):
 
 @query()
 def cluster_greedy(spark, d):
-    return grouped.greedy_clusters(_flat(spark, d), "label", "vec_id", "v", 0.15, coverage=0.9)
+    return grouped.greedy_clusters(_flat(spark, d), "label", "vec_id", "v", 0.22, coverage=0.9)
 
 
 @query()

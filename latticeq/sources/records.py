@@ -197,10 +197,13 @@ def read_term_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_densities(spark: SparkSession, path: str) -> DataFrame:
-    """Histograms in JSON, a row for each cell: contType, aa, i, j, n."""
-    rows = spark.read.option("multiLine", True).json(path)
-    cells = rows.select(F.col("contType").alias("cont_type"), F.col("AA3").alias("aa"), F.posexplode("countsArray").alias("i", "row"))
-    return cells.select("cont_type", "aa", F.col("i").cast("long").alias("i"), F.posexplode("row").alias("j", "n")).withColumn("j", F.col("j").cast("long"))
+    """Histograms in JSON (``histList``), a row for each cell: cont_type, aa, bins and ranges of both axes, i, j, n."""
+    cell = "struct<contType:string,AA3:string,nBins:array<int>,var1Range:array<double>,var2Range:array<double>,countsArray:array<array<long>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<histList:array<{cell}>>").histList.alias("list"), F.from_json("value", f"array<{cell}>").alias("bare"))
+    rows = rows.select(F.explode(F.coalesce("list", "bare")).alias("h"))
+    axes = [F.col("h.nBins")[k].alias(f"bins{k + 1}") for k in range(2)] + [F.col(f"h.var{k}Range")[i].alias(f"{n}{k}") for k in (1, 2) for i, n in enumerate(("low", "high"))]
+    cells = rows.select(F.col("h.contType").alias("cont_type"), F.col("h.AA3").alias("aa"), *axes, F.posexplode("h.countsArray").alias("i", "row"))
+    return cells.select(*(c for c in cells.columns if c not in ("i", "row")), F.col("i").cast("long").alias("i"), F.posexplode("row").alias("j", "n")).withColumn("j", F.col("j").cast("long"))
 
 
 TOPOLOGY = "map<string, map<string, struct<topologyPosition:int, nterm_trim:int, cterm_trim:int, aaSeq:string, isSeed:boolean>>>"
@@ -216,6 +219,33 @@ def read_topologies(spark: SparkSession, paths: list[str]) -> DataFrame:
     return parts.join(latest, ["topology", "load"]).select("topology", F.explode("fragments").alias("fragment", "f")).select("topology", "fragment", "f.*")
 
 
+def write_topologies(fragments: DataFrame, path: str) -> None:
+    """Fragments as JSON, one object of topologies in each file; columns as ``read_topologies`` gives them."""
+    fields = F.struct("topologyPosition", "nterm_trim", "cterm_trim", "aaSeq", "isSeed")
+    each = fragments.groupBy("topology").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("fragment"), fields.alias("f"))), lambda a, b: F.when(a.fragment < b.fragment, -1).when(a.fragment > b.fragment, 1).otherwise(0))).alias("fragments"))
+    each.select(F.to_json(F.create_map("topology", "fragments")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+# fixed values: columns of the tables that the programs exchange as CSV (header names in some differ from their order)
+RELATIONS = {
+    "fragments": "fragName string, chainID string, resNum int, numMatches int, numSeeds int",
+    "seeds": "seedName string, numRes int, target_idx int, target_name string, match_res_chain_id string, match_res_num int, seed_res_chain_id string, seed_res_num int",
+    "peptide_rmsd": "seedName string, rmsd double, peptideChainID string, peptideResIdx int, seedResIdx int, length int",
+    "binder_scores": "name string, score_mode string, N_target_res int, N_peptide_res int, seqstruct_score double, struct_score double",
+    "peptide_sequences": "name string, nat_seq string, consensus_seq string, seq_id double",
+    "letter_probabilities": "name string, pep_res_idx int, chain_id string, resnum int, aa_prob double, aa string",
+}
+
+
+def read_table(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
+    """A CSV table with a schema, or the name of one of ``RELATIONS``; columns go by position, whatever the header says."""
+    return spark.read.schema(RELATIONS.get(schema, schema)).option("header", header).option("enforceSchema", True).csv(path)
+
+
+def write_table(df: DataFrame, path: str, header: bool = True) -> None:
+    df.write.option("header", header).csv(path)
+
+
 def read_radii(spark: SparkSession, path: str) -> DataFrame:
     """Radius table: ``RESIDUE ATOM ALA 5`` lines carried on to their ``ATOM CA 1.87 1`` lines. One file, read whole."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))

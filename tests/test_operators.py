@@ -109,6 +109,41 @@ def test_energy_deltas_and_merge(spark):
     assert all(abs(r.s - 1) < 1e-12 for r in sums)
 
 
+def test_complexity_of_known_sequences(spark):
+    # letters of one kind: no choice, but for the approximation of the factorials
+    row = spark.range(1).select(sequences.complexity(F.lit("AAAA")).alias("a"), sequences.complexity(F.lit("ACDEFGHIKLMNPQRSTVWY" * 2)).alias("b"), sequences.complexity(F.lit("")).alias("c")).first()
+    stirling = lambda n: 0.5 * math.log(2 * math.pi * n) + n * math.log(n / math.e)
+    assert row.a == 0 and row.c is None and abs(row.b - (stirling(40) - 20 * stirling(2)) / 40) < 1e-12
+
+
+def test_modified_residues(spark):
+    names = ["MSE", "FME", "PCA", "DGL", "KYN", "0A9", "CME", "HIS", "0Q4"]
+    row = spark.range(1).select(*(alphabet.normal_residue(F.lit(n)).alias(n) for n in names)).first()
+    assert list(row) == ["MET", "MET", "GLN", "GLU", "TRP", "PHE", "CYS", "HIS", "0Q4"]
+
+
+def test_codons_against_a_dictionary(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ACGTN" if rng.random() < 0.02 else "ACGT") for _ in range(rng.randrange(0, 200))) for _ in range(50)]
+    got = [r.p for r in spark.createDataFrame(list(enumerate(texts)), "i int, s string").orderBy("i").select(sequences.translate_codons(F.col("s")).alias("p")).collect()]
+    for t, p in zip(texts, got):
+        want = ""
+        for i in range(0, len(t) - 2, 3):
+            if t[i : i + 3] not in alphabet.CODONS:
+                break
+            want += alphabet.CODONS[t[i : i + 3]]
+        assert p == want
+
+
+def test_pair_keys_in_both_orders(spark):
+    rows = [("x", t, p) for t, p in (("a", 1), ("b", 1), ("a", 3), ("c", 7))]
+    df = spark.createDataFrame(rows, "k string, t string, p long")
+    forward = {r.pair_key for r in counting.pair_keys(df, "k", "t", "p", 2).collect()}
+    assert forward == {f"{t}_{u}_{q - p}" for _, t, p in rows for _, u, q in rows if 1 <= q - p <= 2}
+    compat = {r.pair_key for r in counting.pair_keys(df, "k", "t", "p", 2, compat=True).collect()}
+    assert compat == {f"{t}_{u}_{p - q}" for i, (_, t, p) in enumerate(rows) for j, (_, u, q) in enumerate(rows) if i != j and p - q <= 2}
+
+
 def test_sequences(spark):
     row = spark.range(1).select(
         sequences.identity_percent(F.lit("TIGKCPK"), F.lit("PVGVVPP")).alias("a"), sequences.identity_percent(F.lit("KCPKYVK"), F.lit("SLPPIEE")).alias("b"),
@@ -148,7 +183,11 @@ def test_scores_without_matches(spark):
 
 def test_bridges_and_gaps(spark):
     df = spark.createDataFrame([("c", i, float(i * i)) for i in range(6)], "chain string, n long, x double")
-    got = {(r.start, r.len): (r.d1, r.d2, r.d3) for r in chains.bridges(df, "chain", ["n"], ["x"], 1).collect()}
-    assert got[2, 0] == (3.0, 4.0, 8.0) and got[2, 1] == (8.0, 9.0, 15.0) and max(s for s, _ in got) == 4
+    rows = chains.bridges(df, "chain", ["n"], ["x"], 1).collect()
+    got = {(r.start, r.len): (r.d1, r.d2, r.d3) for r in rows}
+    # places count from 1: the ends of (3, 0) are rows 0, 1, 2 and 3, 4, 5
+    assert got == {(3, 0): (9.0, 15.0, 21.0)} and rows[0].ends == [0.0, 1.0, 4.0, 9.0, 16.0, 25.0]
+    longer = spark.createDataFrame([("c", i, float(i)) for i in range(9)], "chain string, n long, x double")
+    assert {(r.start, r.len): r.d2 for r in chains.bridges(longer, "chain", ["n"], ["x"], 2).collect()} == {(s, n): n + 3.0 for s in range(3, 7) for n in range(3) if s + n <= 6}
     runs = chains.gap_groups(df.filter("n <> 3"), "chain", ["n"], "n").orderBy("n").collect()
     assert [r.run for r in runs] == [0, 0, 0, 1, 1] and [r["index"] for r in runs] == [-1, 0, 1, -1, 0]

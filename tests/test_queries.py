@@ -18,19 +18,17 @@ def rows_of(name, *columns):
     return list(zip(*(pq.read_table(f"{SF}/{name}.parquet", columns=list(columns))[c].to_pylist() for c in columns)))
 
 
-def test_similarity_of_all_customers(spark):
+def test_similarity_of_queries_with_all_customers(spark):
     customer, brand = dict(rows_of("orders", "o_orderkey", "o_custkey")), dict(rows_of("part", "p_partkey", "p_brand"))
     sets: dict = {}
     for order, part in rows_of("lineitem", "l_orderkey", "l_partkey"):
         if order in customer and part in brand:
             sets.setdefault(customer[order], set()).add(brand[part])
-    shared = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b}
+    shared = {(a, b): len(sets[a] & sets[b]) for a in sets if a % 100 == 0 for b in sets if a != b}
     value = {(a, b): round(n / len(sets[a] | sets[b]), 6) if max(len(sets[a]), len(sets[b])) >= 10 else 0.0 for (a, b), n in shared.items()}
     got = {(r.a, r.b): (r.shared, r.jaccard) for r in relational.jaccard_pairs(spark, SF).collect()}
-    assert got == {k: (n, value[k]) for k, n in shared.items() if n}
-    matrix = relational.jaccard_matrix(spark, SF).collect()
-    assert len(matrix) == len(sets) * (len(sets) + 1) // 2
-    assert {(r.a, r.b): r.jaccard for r in matrix} == value | {(a, a): 1.0 for a in sets}
+    assert got and got == {k: (n, value[k]) for k, n in shared.items() if n}
+    assert {(r.a, r.b): r.jaccard for r in relational.jaccard_matrix(spark, SF).collect()} == value | {(a, a): 1.0 for a in sets if a % 100 == 0}
 
 
 def test_density_of_every_row(spark):
@@ -58,7 +56,7 @@ def test_clusters_of_all_suppliers(spark):
 
 
 def test_overlap_of_queries_with_all_vectors(spark):
-    v = {k: np.array(e[:12], float).reshape(-1, 3) for k, e in rows_of("embeddings", "vec_id", "embedding")}
+    v = {k: np.array(e[:63], float).reshape(-1, 3) for k, e in rows_of("embeddings", "vec_id", "embedding")}
     far = {(a, b): grouped.superposed_rmsd(v[a][:2], v[b][-2:]) for a in v if a % 100 == 0 for b in v}
     assert {(r.src, r.dst) for r in structural.segment_overlap_graph(spark, SF).collect()} == {k for k, x in far.items() if x <= 0.08}
     assert any(b % 10 for (_, b), x in far.items() if x <= 0.08)
