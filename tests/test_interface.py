@@ -64,17 +64,17 @@ def test_hydrogen_and_waters(spark):
 
 def test_bonds_and_exposed_groups(spark):
     rng = np.random.default_rng(8)
-    atoms = {i: rng.normal(size=(4, 3)) * 1.4 + np.array([0.8 * (i % 6), 0.8 * (i // 6), 0]) for i in range(24)}
-    rows = [(i, 0, i >= 8, i == 8, i == 23, *(tuple(map(float, p)) for p in a)) for i, a in atoms.items()]
+    atoms = {i: rng.normal(size=(4, 3)) * 1.4 + np.array([0.7 * (i % 8), 0.7 * (i // 8), 30 * (i == 40)]) for i in range(64)}
+    rows = [(i, 0, i >= 8, i == 8, i == 63, *(tuple(map(float, p)) for p in a)) for i, a in atoms.items()]
     df = spark.createDataFrame(rows, "id long, chain int, binder boolean, first boolean, last boolean, " + ", ".join(f"{a} struct<x:double,y:double,z:double>" for a in ("n", "ca", "c", "o")))
     backbones = interface.backbones(df, "chain", "id")
     hydrogen = {}
-    for i in range(1, 24):
+    for i in range(1, 64):
         (n, ca, _, _), before = atoms[i], atoms[i - 1][2]
         if np.linalg.norm(before - n) < 2:
             u = -((ca - n) / np.linalg.norm(ca - n) + (before - n) / np.linalg.norm(before - n))
             hydrogen[i] = n + u / np.linalg.norm(u)
-    near = lambda i, j: np.linalg.norm(atoms[i][1] - atoms[j][1]) <= 4
+    near = lambda i, j: np.linalg.norm(atoms[i][1] - atoms[j][1]) <= 3
     bonds = {}
     for i in hydrogen:
         for j in atoms:
@@ -82,7 +82,7 @@ def test_bonds_and_exposed_groups(spark):
                 e = plain_energy(atoms[i][0], hydrogen[i], atoms[i][2], atoms[i][3], *atoms[j][1:])
                 if e < -0.25:
                     bonds[i, j] = e
-    found = interface.hydrogen_bonds(backbones, 4.0)
+    found = interface.hydrogen_bonds(backbones, 3.0)
     got = {(r.donor, r.acceptor): r.energy for r in found.collect()}
     assert bonds and got.keys() == bonds.keys() and all(abs(got[k] - bonds[k]) < 1e-9 for k in got)
 
@@ -90,16 +90,16 @@ def test_bonds_and_exposed_groups(spark):
         return any(near(i, j) and i != j and any(np.linalg.norm(w - p) < d for p, d in zip(atoms[j], (2.9, 3.1, 3.1, 2.9))) for j in atoms)
 
     exposed = set()
-    for i in range(8, 24):
+    for i in range(8, 64):
         n, ca, c, o = atoms[i]
         if i != 8 and i in hydrogen and not any(d == i for d, _ in bonds) and not overlaps(n + 3 * (hydrogen[i] - n), i):
             exposed.add((i, "NH"))
         z, y = np.cross(c - ca, o - c), (o - c) / np.linalg.norm(o - c)
         x = np.cross(y, z / np.linalg.norm(z))
         waters = [o + 2.8 * (math.cos(math.radians(t)) * x + math.sin(math.radians(t)) * y) for t in (30, 120)]
-        if i != 23 and not any(a == i for _, a in bonds) and not all(overlaps(w, i) for w in waters):
+        if i != 63 and not any(a == i for _, a in bonds) and not all(overlaps(w, i) for w in waters):
             exposed.add((i, "CO"))
-    groups = interface.exposed_groups(backbones, found, 4.0)
+    groups = interface.exposed_groups(backbones, found, 3.0)
     assert exposed and {(r.id, r.kind) for r in groups.collect()} == exposed
     total = interface.hbond_totals(found, groups).first()
     kinds = [k for _, k in exposed]
