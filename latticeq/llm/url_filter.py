@@ -1,31 +1,28 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features for all other URLs.
 
-The trees are fitted on the driver to a bounded list of labelled URLs (``MAX_LABELLED``) and applied to batches. The
-default list is generated: ordinary host names and spam ones made from two small word lists.
+The features are column expressions, and the trees, once fitted, are one too: all URLs are judged without leaving the
+JVM. The trees are fitted on the driver to a bounded number of labelled URLs (``MAX_LABELLED``). Labels come from a
+table; where none is given they are the verdicts of the rules on the URLs at hand, so that the trees carry what the rules
+say of some URLs over to those that no rule fits.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticeq.llm.shared import broadcast
-
 #: Labelled URLs at most (the first by hash); trees, their depth, step, bins of a feature.
 MAX_LABELLED, TREES, DEPTH, STEP, BINS = 50_000, 40, 3, 0.3, 32
+#: Labelled URLs that a suffix needs for a rate of its own, URLs of the mean rate that are added to each.
+SEEN, SMOOTH = 3, 4
 
 # fixed values: (verdict, host, path prefix); a rule fits its host and all subdomains
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
-# fixed values: words of the generated training hosts
-SPAM = "casino bet bets win cheap pills free farm spam loan loans bonus prize lottery replica viagra adult xxx deals crypto jackpot slots dating click".split()
-PLAIN = "news blog shop school garden music river city museum library travel kitchen sport health science forum photo weather open daily".split()
-
 
 def host_of(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
@@ -48,46 +45,30 @@ def winning_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] =
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
-class Features:
-    """Lexical features; suffix and word statistics are smoothed block rates of the labelled URLs."""
-
-    def __init__(self, urls: list[str], labels: np.ndarray) -> None:
-        self.rate: dict[str, float] = {}
-        seen: dict[str, list[float]] = {}
-        for url, y in zip(urls, labels.tolist()):
-            for token in set(self.tokens(url)):
-                n = seen.setdefault(token, [0.0, 0.0])
-                n[0] += y
-                n[1] += 1
-        prior = float(labels.mean()) if len(labels) else 0.5
-        self.prior = prior
-        self.rate = {t: (s + 4 * prior) / (n + 4) for t, (s, n) in seen.items() if n >= 3}
-
-    @staticmethod
-    def split(url: str) -> tuple[str, str, str]:
-        rest = url.partition("://")[2]
-        m = re.match(r"([^/?#]*)([^?#]*)(.*)", rest, re.S)
-        return m[1].lower(), m[2], m[3]
-
-    @classmethod
-    def tokens(cls, url: str) -> list[str]:
-        host, _, _ = cls.split(url)
-        parts = host.split(".")
-        return [f"suffix {parts[-1]}", *(f"word {w}" for p in parts[:-1] for w in p.split("-") if w)]
-
-    def __call__(self, url: str | None) -> list[float]:
-        url = url or ""
-        host, path, query = self.split(url)
-        n = max(len(url), 1)
-        counts: dict[str, int] = {}
-        for c in url:
-            counts[c] = counts.get(c, 0) + 1
-        rates = [self.rate.get(t, self.prior) for t in self.tokens(url)]
-        digits = sum(v for c, v in counts.items() if "0" <= c <= "9")
-        return [
-            len(url), len(host), len(path), path.count("/"), host.count("."), host.count("-"), digits / n,
-            -sum(v / n * math.log2(v / n) for v in counts.values()), query.count("="), query.count("&"), rates[0], max(rates[1:], default=self.prior),
-        ]
+#: Names of the numeric features, and of the suffixes whose share of blocked URLs is a feature.
+NUMBERS = ["length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "parameters", "joined"]
+SUFFIXES = ["top", "domain", "folder", "ending"]
+
+
+def entropy(text: Column) -> Column:
+    """Bits a character of a string by its own character frequencies; 0 if it is empty."""
+    size = F.length(text)
+    counts = F.transform(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), lambda c: (size - F.length(F.replace(text, c, F.lit("")))) / size)
+    return F.when(size > 0, F.aggregate(counts, F.lit(0.0), lambda t, p: t - p * F.log2(p))).otherwise(0.0)
+
+
+def features(url: Column, host: Column, path: Column) -> list[Column]:
+    """Numeric features and suffixes of a URL, as columns with the names ``NUMBERS`` and ``SUFFIXES``."""
+    url = F.coalesce(url, F.lit(""))
+    many = lambda text, c: F.length(text) - F.length(F.translate(text, c, ""))
+    rest = F.substring_index(url, "?", -1)
+    query = F.when(many(url, "?") > 0, rest).otherwise("")
+    numbers = [
+        F.length(url), F.length(host), F.length(path), many(path, "/"), many(host, "."), many(host, "-"),
+        many(url, "0123456789") / F.greatest(F.length(url), F.lit(1)), entropy(url), many(query, "="), many(query, "&"),
+    ]
+    suffixes = [F.substring_index(host, ".", -1), F.substring_index(host, ".", -2), F.regexp_extract(path, "^/([^/]*)/", 1), F.regexp_extract(path, r"(\.[A-Za-z0-9]+|/)$", 1)]
+    return [*(x.cast("double").alias(n) for x, n in zip(numbers, NUMBERS)), *(x.alias(n) for x, n in zip(suffixes, SUFFIXES))]
 
 
 class BoostedTrees:
@@ -126,67 +107,76 @@ class BoostedTrees:
             self.trees.append((feature, cut, value))
             score += value[node]
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        score, rows = np.full(len(x), self.base), np.arange(len(x))
-        for feature, cut, value in self.trees:
-            node = np.zeros(len(x), np.int64)
-            for level in range(self.depth):
-                at = 2**level - 1 + node
-                node = node * 2 + (x[rows, feature[at]] > cut[at])
-            score += value[node]
-        return 1 / (1 + np.exp(-score))
-
-
-def generated_urls(n: int = 4000, seed: int = 3) -> tuple[list[str], np.ndarray]:
-    """Labelled URLs (1: block): half of them spam hosts of one to three words, half ordinary ones, some hyphenated."""
-    rng = np.random.default_rng(seed)
-    pick = lambda words: words[rng.integers(len(words))]
-    syllable = lambda: "".join(pick("b c d f g h l m n p r s t th st sh".split()) + pick("a e i o u".split()) for _ in range(rng.integers(2, 5)))
-    urls, labels = [], np.arange(n) % 2
-    for y in labels.tolist():
-        if y:
-            name = pick(["-", "-", "-", ""]).join(pick(SPAM) for _ in range(rng.integers(2, 4)))
-        else:
-            name = pick([syllable(), syllable(), pick(PLAIN) + syllable(), f"{pick(PLAIN)}-{syllable()}", f"{pick(PLAIN)}-{pick(PLAIN)}"])
-        sub = pick(["", "www.", "m.", "blog."])
-        path = pick(["/en/", "/de/", "/fr/", "/es/", "/"]) + str(rng.integers(1, 99999)) + pick(["", ".html", "/"])
-        urls.append(f"{pick(['http', 'https'])}://{sub}{name}.example.{pick(['com', 'net', 'org'])}{path}{pick(['', '', '?page=2&ref=x', '?utm_source=feed', '#top'])}")
-    return urls, labels
-
-
-def fit_filter(urls: list[str], labels: np.ndarray) -> tuple[Features, BoostedTrees]:
-    features = Features(urls, labels)
-    return features, BoostedTrees(np.array([features(u) for u in urls], float), np.asarray(labels, float))
-
-
-def labelled_rows(labelled: DataFrame, url_col: str, block_col: str) -> tuple[list[str], np.ndarray]:
-    """At most ``MAX_LABELLED`` rows of a labelled table, the first by hash of the URL."""
-    rows = labelled.filter(F.col(url_col).isNotNull() & F.col(block_col).isNotNull()).select(F.col(url_col).alias("u"), F.col(block_col).cast("int").alias("b"))
-    rows = rows.orderBy(F.xxhash64("u"), "u", "b").limit(MAX_LABELLED).collect()
-    return [r.u for r in rows], np.array([r.b for r in rows])
+    def probability(self, x: list[Column]) -> Column:
+        """The probability of label 1 as an expression of the features."""
+
+        def value(tree, node: int, level: int) -> Column:
+            feature, cut, values = tree
+            if level == self.depth:
+                return F.lit(float(values[node]))
+            at = 2**level - 1 + node
+            left, right = (value(tree, 2 * node + side, level + 1) for side in (0, 1))
+            return left if np.isinf(cut[at]) else F.when(x[feature[at]] > F.lit(float(cut[at])), right).otherwise(left)
+
+        score = reduce(lambda t, v: t + v, (value(tree, 0, 0) for tree in self.trees), F.lit(self.base))
+        return 1 / (1 + F.exp(-score))
+
+
+class UrlModel:
+    """Trees and suffix rates, fitted to rows of features with a label (block: 1)."""
+
+    def __init__(self, rows: list) -> None:
+        y = np.array([r.block for r in rows], float)
+        self.mean = float(y.mean()) if len(y) else 0.0
+        self.rates = {}
+        for name in SUFFIXES:
+            seen: dict[str, list] = {}
+            for r, v in zip(rows, y):
+                n = seen.setdefault(r[name], [0, 0.0])
+                n[0] += 1
+                n[1] += v
+            self.rates[name] = {k: float(s + SMOOTH * self.mean) / (n + SMOOTH) for k, (n, s) in seen.items() if n >= SEEN}
+        x = np.array([[r[n] for n in NUMBERS] + [self.rates[n].get(r[n], self.mean) for n in SUFFIXES] for r in rows], float).reshape(-1, len(NUMBERS) + len(SUFFIXES))
+        # one label only, or none at all: nothing to tell apart
+        self.trees = BoostedTrees(x, y) if 0 < self.mean < 1 else None
+
+    def judged(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``p``, the probability of a block."""
+        if self.trees is None:
+            return rows.withColumn("p", F.lit(self.mean))
+        for name, rates in self.rates.items():
+            # as many rows as labelled URLs have suffixes: MAX_LABELLED / SEEN at most
+            table = rows.sparkSession.createDataFrame(list(rates.items()), f"{name} string, rate_{name} double")
+            rows = rows.join(F.broadcast(table), name, "left")
+        x = [F.col(n) for n in NUMBERS] + [F.coalesce(f"rate_{n}", F.lit(self.mean)) for n in SUFFIXES]
+        return rows.withColumn("p", self.trees.probability(x))
+
+
+def labelled_rows(labelled: DataFrame, url_col: str, block_col: str) -> list:
+    """Features and label of at most ``MAX_LABELLED`` rows of a labelled table, the first by hash of the URL."""
+    url = F.col(url_col).cast("string")
+    rows = labelled.filter(F.col(url_col).isNotNull() & F.col(block_col).isNotNull()).select(url.alias("url"), F.col(block_col).cast("int").alias("block"))
+    rows = rows.orderBy(F.xxhash64("url"), "url", "block").limit(MAX_LABELLED)
+    return rows.select("block", *features(F.col("url"), host_of(F.col("url")), path_of(F.col("url")))).collect()
 
 
-def filter_urls(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", rules=RULES, labelled=None) -> DataFrame:
+def filter_urls(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", rules=RULES, labelled: DataFrame | None = None, label_url: str = "url", label_block: str = "block") -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, block_probability.
 
-    ``labelled`` is (urls, labels) as ``labelled_rows`` gives; default: ``generated_urls()``. A null URL, or one without
-    ``://``, has an empty host and path, fits no rule and is judged by the trees like any other. Of rules that fit the
-    longest wins (equally long: the first by name). Repeated rows come out repeated; other columns are ignored.
+    ``labelled`` is a table of URLs with a label, true or 1 to block; without one, the URLs of ``pages`` that a rule fits
+    are learned from, with the rule's verdict as label (no labels, or all alike: every other URL gets their mean, which
+    is an allow without labels). A null URL, or one without ``://``, has an empty host and path, fits no rule and is
+    judged by the trees like any other. Of rules that fit the longest wins (equally long: the last by name). Repeated
+    rows come out repeated and count each as a label; an empty table gives an empty result; URLs are taken whole, however
+    long; other columns are ignored.
     """
-    model = broadcast(pages.sparkSession, fit_filter(*(labelled or generated_urls())))
-
-    def judge(batches):
-        features, trees = model.value
-        for batch in batches:
-            urls = batch.column("url").to_pylist()
-            p = trees.probability(np.array([features(u) for u in urls], float)) if urls else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "p"])
-
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("won", winning_rule(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", F.col("won.rule").alias("rule"), F.col("won.verdict").alias("verdict"))
-    kind = pages.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(judge, f"id {kind}, url string, host string, path string, rule string, verdict string, p double")
+    if labelled is None:
+        labelled, label_url, label_block = rows.filter("verdict IS NOT NULL").withColumn("block", F.col("verdict") == "block"), "url", "block"
+    model = UrlModel(labelled_rows(labelled, label_url, label_block))
+    out = model.judged(rows.select("*", *features(F.col("url"), F.col("host"), F.col("path"))))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.when(F.col("p") >= 0.5, "block").otherwise("allow")).alias("verdict"), F.col("p").alias("block_probability"))
 
 
