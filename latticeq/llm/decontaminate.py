@@ -15,25 +15,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeq.llm.shared import broadcast
-from latticeq.llm.tokens import SPACES, HashIndex, Tokenizer, pieces, text_buffer, windows
+from latticeq.llm.shared import Workspace, broadcast
+from latticeq.llm.tokens import SPACES, HashIndex, Tokenizer, _power, mix, pieces, text_buffer, windows
 
 #: Tokens of the shortest tile, share of an item's tokens under tiles that condemns, bytes of benchmark text in a block.
 LEAST, COVERAGE, BLOCK_BYTES = 5, 0.5, 16 << 20
 SEPARATORS = SPACES + bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
-def _scan(text: np.ndarray, pattern: np.ndarray, free_t: np.ndarray, free_p: np.ndarray, length: int) -> tuple[int, list[tuple[int, int, int]]]:
+class _Rolling:
+    """Karp-Rabin hashes of all runs of a length: running sums once, then one subtraction a run for each length."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        up, self.down = _power(len(words) + 1)
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+
+    def __call__(self, length: int) -> np.ndarray:
+        n = len(self.sums) - length
+        with np.errstate(over="ignore"):
+            return mix((self.sums[length:] - self.sums[:n]) * self.down[:n])
+
+
+def _free(free: np.ndarray, length: int) -> np.ndarray:
+    """Whether all tokens of each run of a length are unmarked."""
+    total = np.concatenate([[0], np.cumsum(free)])
+    return total[length:] - total[:-length] == length
+
+
+def _scan(text: np.ndarray, pattern: np.ndarray, rolling: tuple[_Rolling, _Rolling], free_t: np.ndarray, free_p: np.ndarray, length: int) -> tuple[int, list[tuple[int, int, int]]]:
     """Matches (size, text, pattern) of unmarked tokens, of ``length`` at least; stops early at one over twice that."""
-    ht, hp = windows(text, length), windows(pattern, length)
-    open_t = np.convolve(free_t, np.ones(length, np.int64), "valid") == length
-    open_p = np.convolve(free_p, np.ones(length, np.int64), "valid") == length
+    ht, hp = (r(length) for r in rolling)
     table: dict[int, list[int]] = {}
-    for p in np.flatnonzero(open_p).tolist():
+    for p in np.flatnonzero(_free(free_p, length)).tolist():
         table.setdefault(int(hp[p]), []).append(p)
     found, longest, reach = [], 0, {}
     wanted = np.fromiter(table, np.uint64, len(table)) if table else np.zeros(0, np.uint64)
-    for t in np.flatnonzero(open_t & np.isin(ht, wanted)).tolist():
+    for t in np.flatnonzero(_free(free_t, length) & np.isin(ht, wanted)).tolist():
         for p in table[int(ht[t])]:
             if t < reach.get(t - p, -1):
                 continue  # inside a match already found on this diagonal
@@ -53,9 +71,10 @@ def _scan(text: np.ndarray, pattern: np.ndarray, free_t: np.ndarray, free_p: np.
 def greedy_tiles(text: np.ndarray, pattern: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Tiles (size, start in text, start in pattern), longest first as marked; ties go to the earliest in the text."""
     free_t, free_p = np.ones(len(text), np.int64), np.ones(len(pattern), np.int64)
+    rolling = _Rolling(text), _Rolling(pattern)
     tiles, length = [], max(least, min(len(text), len(pattern)) // 2)
     while length >= least and min(len(text), len(pattern)) >= least:
-        longest, found = _scan(text, pattern, free_t, free_p, length) if min(len(text), len(pattern)) >= length else (0, [])
+        longest, found = _scan(text, pattern, rolling, free_t, free_p, length) if min(len(text), len(pattern)) >= length else (0, [])
         if longest > 2 * length:
             length = longest
             continue
@@ -150,6 +169,17 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, least: int):
         yield Benchmark([r.id for r in part], [r.text for r in part], least)
 
 
+def _by_block(spark, blocks, apply):
+    """``apply`` of each block's broadcast; all but the last result are written, so that tasks hold one block at a time."""
+    work, last = Workspace(spark, "benchmark"), None
+    for block in blocks:
+        if last is not None:
+            yield work.table(apply(last))
+            last.unpersist()
+        last = broadcast(spark, block)
+    yield apply(last)
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     least: int = LEAST, coverage: float = COVERAGE,
@@ -157,8 +187,10 @@ def contamination(
     """One row per text and benchmark item of which tiles cover ``coverage`` or more: id, item, coverage, tiles.
 
     ``tiles`` lists ``start in text:start in item:tokens``. Tokens are runs of bytes other than white space and ASCII
-    punctuation, A-Z lower-cased. Null texts match nothing, nor do items of fewer than ``least`` tokens. Repeated rows
-    and repeated items give repeated findings; an empty table gives none; other columns are ignored.
+    punctuation, A-Z lower-cased. Null texts match nothing, nor do items of fewer than ``least`` tokens. Of matches of one
+    length the earliest in the text is marked first. Repeated rows and repeated items give repeated findings; an empty
+    table gives none; other columns are ignored. A text of any length is read whole; of a long one only what seeds cover
+    is tiled.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -173,10 +205,11 @@ def contamination(
 
         return run
 
-    parts = [rows.mapInArrow(finder(broadcast(docs.sparkSession, b)), f"id {kind}, item {item_kind}, coverage double, tiles string") for b in blocks_of(benchmark, item_col, item_text_col, least)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
+    layout = f"id {kind}, item {item_kind}, coverage double, tiles string"
+    spark = docs.sparkSession
+    out = None
+    for found in _by_block(spark, blocks_of(benchmark, item_col, item_text_col, least), lambda model: rows.mapInArrow(finder(model), layout)):
+        out = found if out is None else out.unionAll(found)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "coverage", "tiles")
 
 
@@ -191,10 +224,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         return run
 
-    out = docs
-    for block in blocks_of(benchmark, item_col, item_text_col, least):
-        out = out.mapInArrow(keeper(broadcast(docs.sparkSession, block)), docs.schema)
-    return out
+    held = [docs]
+    for kept in _by_block(docs.sparkSession, blocks_of(benchmark, item_col, item_text_col, least), lambda model: held[0].mapInArrow(keeper(model), docs.schema)):
+        held[0] = kept
+    return held[0]
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
