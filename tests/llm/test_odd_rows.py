@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from latticeq.llm.decontaminate import contamination, decontaminate
-from latticeq.llm.exact_dedup import exact_dedup
+from latticeq.llm.exact_dedup import drop_copies, exact_dedup
 from latticeq.llm.hmm import score_texts
-from latticeq.llm.jaccard_join import jaccard_join
+from latticeq.llm.jaccard_join import drop_near_copies, jaccard_join
 from latticeq.llm.language import identify_languages, trained_trees
 from latticeq.llm.line_dedup import dedup_lines
 from latticeq.llm.mixing import mix_sources
@@ -16,6 +18,7 @@ from latticeq.llm.pii import find_personal_data
 from latticeq.llm.secrets import find_secrets
 from latticeq.llm.url_filter import filter_urls
 
+exact = importlib.import_module("latticeq.llm.exact_dedup")
 LONG = "very long text of words that go on " * 20_000
 PASSAGE = " ".join(f"word{i}" for i in range(60))
 ROWS = [
@@ -46,13 +49,30 @@ def test_exact(odd):
     small = {r.doc_id: r for r in exact_dedup(odd, keep="smallest").collect()}
     assert small[1].kept and not small[2].kept and not small[6].kept
     assert exact_dedup(odd.limit(0)).count() == 0
+    one = drop_copies(odd, keep="largest")
+    assert one.columns == odd.columns and drop_copies(odd.limit(0)).count() == 0
+    rows = one.collect()
+    assert len(rows) == len({r[1] or "" for r in ROWS}) and {r.doc_id for r in rows} >= {2, 3, 4, 6, 7, 8, 9}
+
+
+def test_hot_copies_in_pieces(spark, monkeypatch):
+    """A text that holds most rows, under repeated and null identifiers, is cut and settled from its pieces."""
+    monkeypatch.setattr(exact, "PIECE_ROWS", 16)
+    rows = [(i % 50 if i % 7 else None, "hot") for i in range(2000)] + [(i, f"t{i}") for i in range(100)] + [(200, None), (201, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for keep, best in (("largest", 49), ("smallest", 0)):
+        got = exact_dedup(df, keep=keep).collect()
+        hot = [r for r in got if r.group_size > 2]
+        assert len(got) == len(rows) and len(hot) == 2000 and {(r.keep_id, r.group_size) for r in hot} == {(best, 2000)} and sum(r.kept for r in hot) == 1
+        assert all(r.doc_id == best for r in hot if r.kept)
+        assert sum(r.kept for r in got) == 102 and drop_copies(df, keep=keep).count() == 102
 
 
 def test_language(odd):
     trees = trained_trees(odd)
     got = identify_languages(odd, trees)
     rows = got.collect()
-    assert got.columns == [*odd.columns, "lang_pred", "score"] and len(rows) == len(ROWS)
+    assert got.columns == [*odd.columns, "lang_pred", "score", "bits_per_byte"] and len(rows) == len(ROWS)
     for r in rows:
         if r.doc_id in (1, 2, 3, 4):
             assert r.lang_pred == "und" and r.score == 0
@@ -72,6 +92,18 @@ def test_jaccard(odd):
     assert by[4].n_shingles == by[9].n_shingles == 1
     assert all(r.component_id is None for r in got if r.doc_id is None)
     assert jaccard_join(odd.limit(0)).count() == 0
+    left = drop_near_copies(odd)
+    assert left.columns == odd.columns and drop_near_copies(odd.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [1, 2, 3, 4, 5, 7, 9]
+
+
+def test_near_copies_under_one_identifier(spark):
+    other = PASSAGE.replace("word59", "changed")
+    rows = [(1, "a b c d e f"), (5, PASSAGE), (5, "quite another text of some words"), (5, other), (3, PASSAGE + " more"), (None, PASSAGE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in drop_near_copies(df).collect()) == sorted([("1", rows[0][1]), ("3", rows[4][1]), ("5", rows[2][1]), ("None", PASSAGE)])
+    two = spark.createDataFrame([(5, PASSAGE), (5, other)], "doc_id long, text string")
+    assert drop_near_copies(two).count() == 1
 
 
 def test_lines(odd):
@@ -85,6 +117,14 @@ def test_lines(odd):
     assert dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_text_of_very_many_lines(spark):
+    lines = [f"line {i} has some words of its own {i * 7919} {i * 104729} {i * 1299709}" for i in range(100_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["new"] + lines[10:50_000] + ["old"] + lines[60_000:]))]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0 and got[1].text == rows[0][1]
+    assert got[2].text == "new\nold" and got[2].removed == "1-49990,49992-89991" and got[2].n_removed == 89_990
+
+
 def test_contamination(odd, benchmark):
     got = contamination(odd, benchmark).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(7, 1), (7, None), (8, 1), (8, None)}

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticeq.llm import decontaminate, hmm, jaccard_join, language, line_dedup, mixing, pii, secrets, url_filter
-from latticeq.llm.automaton import Automaton
+from latticeq.llm.automaton import Automaton, Spans
 from latticeq.llm.components import components
 from latticeq.llm.exact_dedup import exact_dedup
 from latticeq.llm.shared import Workspace
@@ -75,7 +75,6 @@ def near_copies(rng, n):
 
 
 def test_jaccard_components(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LEADERS", 4)
     monkeypatch.setattr(jaccard_join, "BUCKET", 16)  # several leaders for one member
     texts = near_copies(random.Random(2), 70) + ["a b c", "A  b\nc", "a b", ""]
     sets = []
@@ -250,23 +249,55 @@ def test_base_private_spans():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
-def test_skip_links_carry_a_label():
-    text = "call +49 30 123456789 or write; later again 4930123456789 and also 987654321095 there"
+def trained_field(texts):
+    cases = collections.Counter()
+    for t in texts:
+        cases.update(pii.cases_of(pii.nodes_of(t, pii.base_spans(t))))
+    return pii.Weights(sorted((*c, n) for c, n in cases.items()))
+
+
+def test_links_carry_a_label():
+    corpus = [f"call +49 30 {i:07d}1 now" for i in range(40)] + [f"order {i:012d} came" for i in range(40)] + ["mail a.b@c.example.com"] * 20
+    field = trained_field(corpus)
+    text = "call +49 30 123456789 or write; later again 4930123456789 and 30-123-456-789, but 987654321095 too"
     nodes = pii.nodes_of(text, pii.base_spans(text))
-    counts = [("shape", n["shape"], n["label"], 0, 40) for n in nodes] + [("skip", "", 4, 4, 50), ("skip", "", 0, 0, 5)]
-    labels = pii.label_nodes(nodes, pii.Weights(counts))
-    assert [n["label"] for n in nodes] == [4, 0, 0] and labels.tolist() == [4, 4, 0]
+    assert [n["label"] for n in nodes] == [4, 0, 0, 0]
+    # the same digits, similar ones (the last seven), and a number of its own
+    assert pii.label_nodes(nodes, field).tolist() == [4, 4, 4, 0]
+    alone = pii.nodes_of("see 4930123456789 there", [])
+    assert pii.label_nodes(alone, field).tolist() == [0]
+
+
+def test_spans_that_the_base_ran_over():
+    field = trained_field([f"call +1 (555) 555-{i:04d} now" for i in range(60)] + [f"at 10.0.{i}.7 it" for i in range(60)])
+    text = "to +1 (826) 555-4081 190.137.223.204"
+    base = pii.base_spans(text)
+    assert [(k, text[a:b]) for a, k, b in base] == [(1, "190.137.223.204")]
+    nodes = pii.nodes_of(text, base)
+    assert [(text[n["a"] : n["b"]], int(k)) for n, k in zip(nodes, pii.label_nodes(nodes, field))] == [("+1 (826) 555-4081", 4), ("190.137.223.204", 2)]
 
 
 def test_marginals_are_exact_on_a_tree():
     rng = np.random.default_rng(3)
-    unary, pair, links = rng.normal(size=(4, 3)), rng.normal(size=(3, 3, 3)), np.array([[0, 1], [1, 2], [1, 3]])
+    unary, pair, links = rng.normal(size=(4, 3)), rng.normal(size=(2, 3, 3)), [(0, 1, 0), (1, 2, 1), (1, 3, 0)]
     want = np.zeros((4, 3))
     for s in np.ndindex(3, 3, 3, 3):
-        w = math.exp(sum(unary[i, s[i]] for i in range(4)) + sum(pair[e, s[a], s[b]] for e, (a, b) in enumerate(links)))
+        w = math.exp(sum(unary[i, s[i]] for i in range(4)) + sum(pair[kind, s[a], s[b]] for a, b, kind in links))
         for i in range(4):
             want[i, s[i]] += w
-    assert np.allclose(pii.marginals(unary, links, pair), want / want.sum(axis=1, keepdims=True), atol=1e-4)
+    by_kind = [(np.array([(a, b) for a, b, k in links if k == kind]), pair[kind]) for kind in (0, 1)]
+    assert np.allclose(pii.marginals(unary, by_kind), want / want.sum(axis=1, keepdims=True), atol=1e-4)
+
+
+def test_training_fits_the_cases():
+    """A way of writing that is always one label, one that is none, and one that its neighbours decide."""
+    cases = [("x", " ", " ", -1, -1, "00000", "00000", 3, 50), ("y", " ", " ", -1, -1, "00000", "00000", 0, 50)]
+    cases += [("z", " ", " ", label, -1, "00000", "00000", label, 30) for label in (0, 2)]
+    field = pii.Weights(cases)
+    node = {"left": " ", "right": " "}
+    assert field.of(node | {"shape": "x"}).argmax() == 3 and field.of(node | {"shape": "y"}).argmax() == 0
+    for before in (0, 2):
+        assert (field.of(node | {"shape": "z"}) + field.pair["chain"][before]).argmax() == before
 
 
 def test_automaton_against_expressions():
@@ -277,8 +308,51 @@ def test_automaton_against_expressions():
     raw = [t.encode() for t in texts]
     at = np.cumsum([0] + [len(r) for r in raw])
     got = dfa.scan(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:], few=8)
-    for t, mask in zip(texts, got.tolist()):
-        assert mask == sum(1 << i for i, r in enumerate(rules) if re.search(r, t)), t
+    for k, t in enumerate(texts):
+        for end in range(1, len(t) + 1):
+            want = sum(1 << i for i, r in enumerate(rules) if any(re.compile(r).fullmatch(t, a, end) for a in range(end)))
+            assert got[at[k] + end - 1] == want, (t, end)
+
+
+def test_spans_are_leftmost_longest():
+    rng = random.Random(7)
+    for rule in ("ab+c", "(a|b){3}", "[x-z]{2,3}q?", "a[abc]*c", "(ab|abc)(c|x)?"):
+        finder = Spans(rule)
+        for _ in range(300):
+            t = "".join(rng.choice("abcxyzq") for _ in range(rng.randint(0, 25)))
+            want, at = [], 0
+            while at < len(t):
+                reach = [b for b in range(at + 1, len(t) + 1) if re.compile(rule).fullmatch(t, at, b)]
+                if reach:
+                    want.append((at, max(reach)))
+                at = max(reach) if reach else at + 1
+            assert finder(np.frombuffer(t.encode(), np.uint8)) == want, (rule, t)
+
+
+def brute_secret(t):
+    out = []
+    for k, p in enumerate([r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+"]):
+        for m in re.finditer(p, t):
+            if len(m[2] if k == 0 else m[0]) >= (6, 20, 24)[k]:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_secret_spans(spark):
+    rng = random.Random(5)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "abc", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "é", "\n", ".", "/", "-", "K"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))) for _ in range(2500)]
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        want = brute_secret(texts[r.doc_id])
+        assert r.base == ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in want), texts[r.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in want) for k in range(3))
+
+
+def test_a_long_dump_of_keys(spark):
+    text = f'token="{"a1" * 30}" ' * 100_000
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_assign == row.n_hex == 100_000 and row.spans.endswith(f"hex:{len(text) - 62}:{len(text) - 2}")
 
 
 def test_secrets(spark):
@@ -356,11 +430,53 @@ def test_unigram_scores(docs, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) - 0.01 * sum(r.n_tokens for r in held)
 
 
-def test_url_filter():
-    model = url_filter.fit_filter(*url_filter.generated_urls())
-    urls, labels = url_filter.generated_urls(1500, seed=77)
-    p = model[1].probability(np.array([model[0](u) for u in urls]))
-    assert ((p >= 0.5) == labels).mean() > 0.85
+def test_url_trees_on_held_out_labels(spark):
+    """Labels that lie in the suffix, the digits and the parameters, with some noise; half of them held out."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        top = rng.choice(["com", "net", "org", "info"])
+        name = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 10))) + "".join(rng.choice("0123456789") for _ in range(rng.choice([0, 0, 6])))
+        query = "?" + "&".join(f"p{j}={j}" for j in range(n)) if (n := rng.choice([0, 0, 1, 5])) else ""
+        bad = top == "info" or sum(c.isdigit() for c in name) > 3 and n > 3
+        rows.append((i, f"http://{name}.example.{top}/x/{rng.randint(1, 99)}{query}", bad != (rng.random() < 0.02)))
+    df = spark.createDataFrame(rows, "page_id long, url string, block boolean")
+    got = url_filter.filter_urls(df.filter("page_id % 2 = 0"), rules=[], labelled=df.filter("page_id % 2 = 1")).collect()
+    truth = {i: y for i, _, y in rows}
+    right = sum((r.verdict == "block") == truth[r.page_id] for r in got) / len(got)
+    assert len(got) == 1500 and right > 0.95
+    # no labels: nothing is blocked; one label: all alike
+    none = url_filter.filter_urls(df, rules=[], labelled=df.limit(0))
+    assert none.filter("verdict = 'block'").count() == 0
+    assert url_filter.filter_urls(df, rules=[], labelled=df.filter("block")).filter("verdict = 'allow'").count() == 0
+
+
+def test_url_features(spark):
+    url = "https://A1.example.com/en/x.html?a=1&b=2"
+    df = spark.createDataFrame([(url,)], "url string")
+    row = df.select(*url_filter.features(F.col("url"), url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))).first()
+    counts = collections.Counter(url)
+    entropy = -sum(n / len(url) * math.log2(n / len(url)) for n in counts.values())
+    assert (row.length, row.host_length, row.path_length, row.depth, row.labels, row.hyphens, row.parameters, row.joined) == (len(url), 14, 10, 2, 2, 0, 2, 1)
+    assert abs(row.digit_ratio - 3 / len(url)) < 1e-12 and abs(row.entropy - entropy) < 1e-9
+    assert (row.top, row.domain, row.folder, row.ending) == ("com", "example.com", "en", ".html")
+
+
+def test_trees_as_an_expression(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3))
+    trees = url_filter.BoostedTrees(x, (x[:, 0] + x[:, 1] ** 2 > 0.5).astype(float), trees=10)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    got = [r.p for r in df.select(trees.probability([F.col(c) for c in "abc"]).alias("p")).collect()]
+    score = np.full(len(x), trees.base)
+    for feature, cut, value in trees.trees:
+        for i, r in enumerate(x):
+            node = 0
+            for level in range(trees.depth):
+                at = 2**level - 1 + node
+                node = 2 * node + (r[feature[at]] > cut[at])
+            score[i] += value[node]
+    assert np.allclose(got, 1 / (1 + np.exp(-score)))
 
 
 def test_targets_by_repeated_sharing():
@@ -387,12 +503,17 @@ def test_permutation_is_one():
 
 
 def test_draws_meet_their_totals():
-    quota = [300, 0, 57, 1000]
-    rows = mixing.shard_draws(quota, 100, 3)
-    taken = [sum(r[3] for r in rows if r[1] == i) for i in range(4)]
-    assert taken == quota and all(sum(r[3] for r in rows if r[0] == s) == 100 for s in range(13))
-    large = mixing._large(np.random.default_rng(1), np.array([10, 10**10]), 10**9)
-    assert large.sum() == 10**9 and large[0] <= 10
+    quota, slots = np.array([300, 0, 57, 1000]), 100
+    every = [mixing.shard_counts(quota, slots, s, 3) for s in range(14)]
+    before = np.zeros(4, np.int64)
+    for s, (start, n) in enumerate(every):  # each shard begins where the one before it ended
+        assert (start == before).all() and n.sum() == (slots if s < 13 else 57)
+        before = before + n
+    assert (before == quota).all()
+    # shares within a shard are about those of the whole
+    assert abs(np.mean([n[3] for _, n in every[:13]]) - 100 * 1000 / 1357) < 6
+    large = mixing.drawn(np.array([10, 10**12]), 10**11, np.random.default_rng(1))
+    assert large.sum() == 10**11 and large[0] <= 10
 
 
 def test_mix_words(docs):
