@@ -10,45 +10,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeq.llm.decontaminate import decontaminate
-from latticeq.llm.exact_dedup import exact_dedup
-from latticeq.llm.jaccard_join import jaccard_join
+from latticeq.llm.exact_dedup import drop_copies
+from latticeq.llm.jaccard_join import drop_near_copies
 from latticeq.llm.language import identify_languages, trained_trees
 from latticeq.llm.mixing import mix_sources
 from latticeq.llm.shared import Workspace
 
-#: Identifiers that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bits of a byte of text as it stands: a text whose code is no shorter than that is in none of the learned languages.
+RAW_BITS = 8
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without text or letters (``und``) go."""
-    found = identify_languages(docs, trained_trees(docs))
-    return found.filter("lang_pred <> 'und'").select(*docs.columns)
+    """Documents in a learned language: with a letter, and of a code length below ``RAW_BITS`` a byte in the best one.
+
+    Null and empty texts, and such without a letter, go. Where no language could be learned (no labelled rows, an empty
+    table), all texts with a letter stay. Ties between languages and repeated rows don't matter: each row is judged by its own
+    whole text, however long. All columns come back as they were, also those named like the model's.
+    """
+    names = tuple(f"{x} of the language model" for x in ("language", "score", "bits"))
+    found = identify_languages(docs, trained_trees(docs), names=names)
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return found.filter(letter & F.coalesce(F.col(f"`{names[2]}`") < RAW_BITS, F.lit(True))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    kept = exact_dedup(docs, keep="largest").filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__of", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha")))
-    return rows.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    """Of equal texts one row, that of the largest doc_id (null: the least); null text counts as empty.
+
+    Of repeated rows one stays. Empty tables and columns of any further name pass as they are.
+    """
+    return drop_copies(docs, keep="largest")
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id."""
-    work = Workspace(spark, "near")
-    gone = work.table(jaccard_join(docs).filter("component_id < doc_id").select("doc_id").distinct())
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(few, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the row with the smallest doc_id; rows with no word or a null doc_id stay.
+
+    A doc_id with several texts: each text is judged by itself. Repeated rows share their fate. Empty tables and columns
+    of any further name pass as they are.
+    """
+    return drop_near_copies(docs)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none.
+
+    An empty benchmark or table drops nothing; repeated rows share their fate; all columns come back as they were.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """What the mix takes of each document: columns, nulls, repeats and empty tables as ``mix_sources`` says."""
     return mix_sources(docs)
 
 
