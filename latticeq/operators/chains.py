@@ -11,10 +11,11 @@ def numbered(df: DataFrame, chain: str, order: list, name: str = "pos") -> DataF
     return df.withColumn(name, F.row_number().over(Window.partitionBy(chain).orderBy(*order)).cast("long"))
 
 
-def flanks(df: DataFrame, chain: str, order: list, value: str, n: int) -> DataFrame:
-    """Rows with the values of up to n neighbours on each side and their own, clipped at the ends."""
+def flanks(df: DataFrame, chain: str, order: list, value: str, n: int, whole: bool = False) -> DataFrame:
+    """Rows with the values of up to n neighbours on each side and their own, clipped at the ends (whole: such rows go)."""
     w = Window.partitionBy(chain).orderBy(*order)
-    return df.withColumn("flank", F.collect_list(value).over(w.rowsBetween(-n, n)))
+    out = df.withColumn("flank", F.collect_list(value).over(w.rowsBetween(-n, n)))
+    return out.filter(F.size("flank") == 2 * n + 1) if whole else out
 
 
 def segments(df: DataFrame, chain: str, order: list, value: str, k: int) -> DataFrame:

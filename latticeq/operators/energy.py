@@ -128,3 +128,9 @@ def total_difference(bound: DataFrame, unbound: DataFrame, by: list[str] = ()) -
     a, b = bound.select(*by, F.col("energy").alias("__a")), unbound.select(*by, F.col("energy").alias("__b"))
     both = a.join(b, list(by)) if by else a.crossJoin(b)
     return both.select(*by, (F.col("__a") - F.col("__b")).alias("energy"))
+
+
+def gathered(values: DataFrame, neighbours: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """Values at each row's neighbours: neighbours (by, pos, nth, at) with values (by, pos, value) of place ``at``."""
+    there = values.select(*by, F.col("pos").alias("at"), F.col(value).alias(value))
+    return neighbours.join(there, [*by, "at"], "left").select(*by, "pos", "nth", "at", value)

@@ -106,3 +106,14 @@ def selected(groups: list[tuple[str, set[str]]], chain: str = "chain", residue:
     for name, residues in groups:
         out = out | ((F.col(chain) == name) & (F.col(residue).isin(*sorted(residues)) if residues else F.lit(True)))
     return out
+
+
+def ranked(df: DataFrame, pipeline: str, most: int, kind: str = "pipeline", rank: str = "rank") -> DataFrame:
+    """Rows of one pipeline with a rank of at most ``most``."""
+    return df.filter((F.col(kind) == pipeline) & (F.col(rank) <= most))
+
+
+def ranked_names(df: DataFrame, by: list[str], order: list, kind: str = "pipeline", name: str = "design") -> DataFrame:
+    """Rows with their rank in their group, from 1, and a name ``pipeline_rank``."""
+    out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    return out.withColumn(name, F.concat_ws("_", F.col(kind).cast("string"), F.col("rank").cast("string")))

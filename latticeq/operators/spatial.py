@@ -86,9 +86,28 @@ def contact_counts(left: DataFrame, right: DataFrame, radius: float, key: str, a
     return left.select(key).join(pairs, key, "left").select(key, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
-def residue_pair_allowed(min_separation: int = 8, chain: str = "chain", pos: str = "pos") -> Column:
-    """False for pairs of one chain that are at most ``min_separation`` apart along it."""
-    return (F.col(f"l_{chain}") != F.col(f"r_{chain}")) | (F.abs(F.col(f"l_{pos}") - F.col(f"r_{pos}")) > min_separation)
+def residue_pair_allowed(min_separation: int = 8, chain: str = "chain", pos: str = "pos", left: list | None = None, right: list | None = None, residue: str = "id") -> Column:
+    """False for a residue with itself and for pairs of one chain that are at most ``min_separation`` apart along it.
+
+    ``left`` and ``right`` are lists of residues (column ``residue``) that the two sides must be among.
+    """
+    apart = (F.col(f"l_{chain}") != F.col(f"r_{chain}")) | (F.abs(F.col(f"l_{pos}") - F.col(f"r_{pos}")) > min_separation)
+    for side, members in (("l", left), ("r", right)):
+        if members is not None:
+            apart = apart & F.col(f"{side}_{residue}").isin(members)
+    return apart
+
+
+def clashes_within(atoms: DataFrame, largest: float, factor: float = 0.7, chain: str = "chain", pos: str = "pos", key: str = "id") -> DataFrame:
+    """Pairs of atoms of one chain, more than one residue apart, that are nearer than scaled radii allow; each pair once."""
+    valid = (F.col(f"l_{chain}") == F.col(f"r_{chain}")) & (F.abs(F.col(f"l_{pos}") - F.col(f"r_{pos}")) > 1) & (F.col(f"l_{key}") < F.col(f"r_{key}"))
+    return radius_pairs(atoms, largest, factor, valid=valid)
+
+
+def near_any(left: DataFrame, right: DataFrame, radius: float, by: str, key: str, axes=XYZ) -> DataFrame:
+    """Number of different right rows within ``radius`` of any left row of each group, zero included: by, n_near."""
+    met = range_join(left, right, radius, axes).groupBy(F.col(f"l_{by}").alias(by)).agg(F.count_distinct(f"r_{key}").alias("n_near"))
+    return left.select(by).distinct().join(met, by, "left").select(by, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, radius: float | None, key: str, axes=XYZ, grow: float = 4.0, with_self: bool = True) -> DataFrame:

@@ -338,3 +338,82 @@ def topology_round_trip(spark, d):
     records.write_topologies(rows.withColumn("isSeed", F.lit(False)), f"{path}/1")
     records.write_topologies(rows, f"{path}/2")
     return records.read_topologies(spark, [f"{path}/1", f"{path}/2"]).select("topology", "fragment", "topologyPosition", "isSeed")
+
+
+@query(f"WITH {POINTS} SELECT a.label, count(DISTINCT b.vec_id) AS n_near FROM p a LEFT JOIN p b ON b.label <> 9 AND a.label = 9 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.01 WHERE a.label IN (8, 9) GROUP BY a.label")
+def nearby_distinct(spark, d):
+    """Different points of other labels near any point of label 9; label 8 is asked against none."""
+    from latticeq.operators import spatial
+
+    p = points(spark, d)
+    nine = spatial.near_any(p.filter("label = 9"), p.filter("label <> 9"), 0.1, "label", "vec_id")
+    return nine.unionByName(spatial.near_any(p.filter("label = 8"), p.limit(0), 0.1, "label", "vec_id"))
+
+
+@query(f"WITH {POINTS} SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id - a.vec_id > 1 AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) < 0.7 * 0.2")
+def clash_within(spark, d):
+    from latticeq.operators import spatial
+
+    atoms = points(spark, d).withColumns({"radius": F.lit(0.1), "pos": F.col("vec_id")})
+    return spatial.clashes_within(atoms, 0.1, 0.7, "label", "pos", "vec_id").select(F.col("l_vec_id").alias("a"), F.col("r_vec_id").alias("b"))
+
+
+@query(f"WITH {RESIDUES}, f AS (SELECT chain, pos, string_agg(letter, '') OVER w AS flank, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY chain ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) SELECT chain, pos, flank FROM f WHERE n = 7")
+def whole_flanks(spark, d):
+    return chains.flanks(residues(spark, d), "chain", ["pos"], "letter", 3, whole=True).select("chain", "pos", F.array_join("flank", "").alias("flank"))
+
+
+@query("SELECT p_partkey, p_brand || '_' || r AS design, r AS rank FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS r FROM part) WHERE p_brand = 'Brand#22' AND r <= 10")
+def ranked_designs(spark, d):
+    """Names by pipeline and rank; the first ten of one pipeline."""
+    from latticeq.operators import selection
+
+    named = selection.ranked_names(table(spark, d, "part"), ["p_brand"], ["p_retailprice", "p_partkey"], "p_brand")
+    return selection.ranked(named, "Brand#22", 10, "p_brand").select("p_partkey", "design", "rank")
+
+
+@query(f"WITH {ENERGIES}, nb AS (SELECT DISTINCT pos_i AS pos, pos_j - pos_i AS nth, pos_j AS at FROM pair_e) SELECT nb.pos, nth, nb.at, s.aa AS value FROM nb LEFT JOIN seq s ON s.pos = nb.at")
+def neighbour_gather(spark, d):
+    """The letter at each neighbour of each position."""
+    _, pair, seq = energies(spark, d)
+    nb = pair.select(F.col("pos_i").alias("pos"), (F.col("pos_j") - F.col("pos_i")).alias("nth"), F.col("pos_j").alias("at")).distinct()
+    return energy.gathered(seq.withColumnRenamed("aa", "value"), nb, []).select("pos", "nth", "at", "value")
+
+
+_TURNS = ", ".join(f"{_dot(_at('q.' + a), _at('m.' + b))} AS r{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz"))
+
+
+@query(f"""WITH {FRAMES}, r AS (SELECT q.vec_id, {_TURNS} FROM f q JOIN f m ON m.vec_id = q.vec_id + 1),
+u AS (SELECT vec_id, sign(r21 - r12) * 0.5 * sqrt(abs(1 + r00 - r11 - r22)) AS x, sign(r02 - r20) * 0.5 * sqrt(abs(1 - r00 + r11 - r22)) AS y, sign(r10 - r01) * 0.5 * sqrt(abs(1 - r00 - r11 + r22)) AS z, sqrt(greatest(0.0, 1 + r00 + r11 + r22)) / 2 AS w FROM r)
+SELECT vec_id, {", ".join(f"round({c} / sqrt(x * x + y * y + z * z + w * w), 6) AS {c}" for c in "xyzw")} FROM u""")
+def frame_rotations(spark, d):
+    """Quaternion from each frame to the next one."""
+    from latticeq.functions import features
+
+    f = _frames(spark, d)
+    rows = f.join(f.select((F.col("vec_id") - 1).alias("vec_id"), F.col("f").alias("g")), "vec_id")
+    q = rows.select("vec_id", features.quaternion(features.rotation(F.col("f"), F.col("g"))).alias("q"))
+    return q.select("vec_id", *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate("xyzw")))
+
+
+@query()
+def bridge_database(spark, d):
+    """Bridges written by length and read up to one residue."""
+    from latticeq.sources import databases
+
+    path = _place(spark, "bridges")
+    databases.write_bridges(_bridges(spark, d), path)
+    return databases.read_bridges(spark, path, 1).select("chain", "start", "len", *(F.round(c, 6).alias(c) for c in ("d1", "d2", "d3")))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS \"index\", p_partkey, p_name FROM part QUALIFY row_number() OVER (ORDER BY p_partkey) BETWEEN 101 AND 120")
+def seed_database(spark, d):
+    """Entries appended in two parts, then twenty from an index on."""
+    from latticeq.sources import databases
+
+    path = _place(spark, "seeds")
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    middle = p.filter("p_partkey <= 110"), p.filter("p_partkey > 110")
+    for part in middle:
+        databases.append_entries(part, path, ["p_partkey"])
+    return databases.entries_from(spark.read.parquet(path), 100, 20).select("index", "p_partkey", "p_name")

@@ -126,10 +126,24 @@ def with_property(res: DataFrame, values: DataFrame, value: str, to: str = "bfac
     return res.drop(to).join(values.select("chain", "resnum", F.col(value).alias(to)), ["chain", "resnum"], "left")
 
 
-def split_target(entries: DataFrame, suffix: str = "_target") -> tuple[DataFrame, DataFrame]:
-    """The target entry (its name ends so) and the others."""
+def split_target(entries: DataFrame, suffix: str = "_target", fallback: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The target entry (its name ends so) and the others; where there is none, the entries of ``fallback``, another file."""
     mark = F.col("name").endswith(suffix)
-    return entries.filter(mark), entries.filter(~mark)
+    target = entries.filter(mark)
+    if fallback is not None:
+        there = target.agg((F.count(F.lit(1)) > 0).alias("__there"))  # one row
+        target = target.unionByName(fallback.select(*entries.columns).crossJoin(F.broadcast(there)).filter("NOT __there").drop("__there"))
+    return target, entries.filter(~mark)
+
+
+def combine_files(spark: SparkSession, path: str, out: str, chains: list[str] | None = None) -> None:
+    """Many single-structure files as one multi-entry file, in the order of their names, some chains only."""
+    whole = spark.read.text(path, wholetext=True).withColumn("name", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1))
+    lines = F.filter(F.split("value", "\n"), lambda x: ~x.rlike(r"^(HEADER|END|FILEEND)") & (x != ""))
+    if chains is not None:
+        lines = F.filter(lines, lambda x: ~x.rlike("^(ATOM|HETATM)") | F.substring(x, 22, 1).isin(chains))
+    rows = whole.select("name", entry_text(F.col("name"), F.array_join(lines, "\n")).alias("value"))
+    rows.orderBy("name").select("value").coalesce(1).write.text(out)  # one file is what is asked for
 
 
 def read_energy_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -268,6 +282,12 @@ def read_model_scores(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("run", scores.alias("model", "score")).groupBy("run").agg(F.max(F.struct("score", "model")).alias("m")).select("run", "m.model", "m.score")
 
 
+def first_chain_mean(values: Column, length: Column) -> Column:
+    """Mean of per-residue values over the first chain, of so many residues."""
+    first = F.slice(values, F.lit(1), length.cast("int"))
+    return F.try_divide(F.aggregate(first, F.lit(0.0), lambda t, v: t + v), F.size(first))
+
+
 def merge_databases(parts: list[DataFrame]) -> DataFrame:
     """Structure, frame or residue-pair tables as one; columns are matched by name."""
     out = parts[0]
