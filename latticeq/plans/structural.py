@@ -292,7 +292,7 @@ def complete_linkage(spark, d):
     # each with itself, so that those who share no part with another are there
     k = F.col("s_suppkey")
     pairs = pairs.unionAll(table(spark, d, "supplier").select(k.alias("a"), k.alias("b"), F.lit(1.0).alias("jaccard")))
-    return grouped.linkage_clusters(pairs.withColumn("block", F.lit(0)), "block", 0.75)
+    return grouped.linkage_clusters(pairs, 0.75)
 
 
 @query()

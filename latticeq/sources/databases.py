@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticeq.operators.selection import numbered
+
 
 def write_structures(structures: DataFrame, path: str, append: bool = False) -> None:
     """Structures (one row a residue or atom); ``append`` merges into a database that is there."""
@@ -22,20 +24,6 @@ def read_structures(spark: SparkSession, paths: list[str], contacts: bool = Fals
     return out
 
 
-def numbered(entries: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """Entries with their index in a database, from ``start`` (the size of what is there, when appending).
-
-    Rows are counted in each part of the order first, so that no task orders them all.
-    """
-    parts = F.spark_partition_id().alias("__part")
-    ranged = entries.repartitionByRange(*order).sortWithinPartitions(*order).select("*", parts, F.monotonically_increasing_id().alias("__at"))
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))  # a row for each partition
-    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("__part", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
-    out = ranged.join(F.broadcast(sizes), "__part")
-    return out.withColumn("index", F.lit(start) + F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")
-
-
 def append_entries(entries: DataFrame, path: str, order: list[str]) -> None:
     """Entries at the end of a seed database (made if it isn't there), with their index."""
     spark = entries.sparkSession

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,9 +31,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes of an Arrow batch between Spark and Python: what a task holds then doesn't grow with the rows' length.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package's modules to the executors, once for each application."""
+    """Give this package's modules to the executors, once for each application, and bound the session's Arrow batches."""
     context = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.match(r"(\d+)([kmgt]?)", spark.conf.get(key).lower()).groups()
+    if int(number) << 10 * " kmgt".index(unit or " ") > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     if getattr(context, "_latticeq_shipped", False):
         return
     package = Path(__file__).resolve().parent

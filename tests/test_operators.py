@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from latticeq.functions import alphabet, geometry, sequences
 from latticeq.operators import chains, counting, energy, grouped, selection, spatial
+from latticeq.operators.graph import components
+from latticeq.staging import Workspace
 
 
 @pytest.fixture(scope="module")
@@ -116,6 +118,25 @@ def test_complexity_of_known_sequences(spark):
     assert row.a == 0 and row.c is None and abs(row.b - (stirling(40) - 20 * stirling(2)) / 40) < 1e-12
 
 
+def test_complexity_golden_values(spark):
+    # fixed values: designed sequences and their published complexities
+    golden = {
+        "SEEEQKLNERLRKEVEEKLKDPSPVEVTLEQL": 1.772079689527669, "MLEEEKLDEELIREVEERLKNPQPVEVSIEEL": 1.728867937632283, "SKEEEERDKILRERVKERMKNPEPVEVTLDEL": 1.813180884921566,
+        "EKEIEELEKQLIEEVKERLKNPEPVEVTLEEL": 1.5907351519760586, "GREERELEARLIAEVKERRKNPSPVLVTLEDL": 1.8833520132283472,
+    }
+    rows = spark.createDataFrame([(x,) for x in golden], "s string").select("s", sequences.complexity(F.col("s")).alias("c")).collect()
+    assert all(abs(r.c - golden[r.s]) < 1e-12 for r in rows)
+    assert all(abs(grouped.letter_complexity(np.frombuffer(x.encode(), np.uint8)) - c) < 1e-12 for x, c in golden.items())
+
+
+def test_histogram_and_log_odds_values(spark):
+    rows = spark.createDataFrame([("g", 0.5, 0.5), ("g", 0.5, 1.5), ("g", 1.5, 0.5), ("g", 9.0, -1.0)], "k string, x double, y double")
+    cells = {(r.i, r.j): (r.n, r.density) for r in counting.histogram2d(rows, "x", "y", (0, 2), (0, 4), (2, 4), ["k"]).collect()}
+    assert cells == {(0, 0): (1, 0.25), (0, 1): (1, 0.25), (1, 0): (2, 0.5)}  # what lies outside counts for the border
+    odds = {(r.g, r.t): r.score for r in counting.log_odds(spark.createDataFrame([("a", "x")] * 3 + [("b", "y")], "g string, t string"), ["g"], "t", 2).collect()}
+    assert abs(odds["a", "x"] + math.log2(4 / 5 / 0.75)) < 1e-12 and abs(odds["a", "y"] + math.log2(1 / 5 / 0.25)) < 1e-12
+
+
 def test_modified_residues(spark):
     names = ["MSE", "FME", "PCA", "DGL", "KYN", "0A9", "CME", "HIS", "0Q4"]
     row = spark.range(1).select(*(alphabet.normal_residue(F.lit(n)).alias(n) for n in names)).first()
@@ -191,3 +212,9 @@ def test_bridges_and_gaps(spark):
     assert {(r.start, r.len): r.d2 for r in chains.bridges(longer, "chain", ["n"], ["x"], 2).collect()} == {(s, n): n + 3.0 for s in range(3, 7) for n in range(3) if s + n <= 6}
     runs = chains.gap_groups(df.filter("n <> 3"), "chain", ["n"], "n").orderBy("n").collect()
     assert [r.run for r in runs] == [0, 0, 0, 1, 1] and [r["index"] for r in runs] == [-1, 0, 1, -1, 0]
+
+
+def test_components_of_a_long_path(spark):
+    links = spark.createDataFrame([(i * 7919 % 101, (i + 1) * 7919 % 101) for i in range(60)] + [(500, 501)], "a long, b long")
+    labels = {r.node: r.label for r in components(links, Workspace(spark, "test")).collect()}
+    assert len({labels[i * 7919 % 101] for i in range(61)}) == 1 and labels[500] == labels[501] != labels[0]
