@@ -134,3 +134,34 @@ def gathered(values: DataFrame, neighbours: DataFrame, by: list[str], value: str
     """Values at each row's neighbours: neighbours (by, pos, nth, at) with values (by, pos, value) of place ``at``."""
     there = values.select(*by, F.col("pos").alias("at"), F.col(value).alias(value))
     return neighbours.join(there, [*by, "at"], "left").select(*by, "pos", "nth", "at", value)
+
+
+def norm_penalty(self_e: DataFrame, pair_e: DataFrame, lengths: DataFrame, by: list[str]) -> DataFrame:
+    """Mean over structures of the sum of absolute energies for each residue: penalty, n (residues); lengths: by, length."""
+    sums = self_e.select(*by, "e").unionAll(pair_e.select(*by, "e")).groupBy(*by).agg(F.sum(F.abs("e")).alias("__sum"))
+    each = lengths.join(sums, list(by), "left")
+    return each.agg(F.avg(F.coalesce("__sum", F.lit(0.0)) / F.col("length")).alias("penalty"), F.sum("length").cast("long").alias("n"))
+
+
+def pair_self_ratio(self_e: DataFrame, pair_e: DataFrame) -> DataFrame:
+    """Root mean square of the pair energies over that of the self energies, zeros left out: ratio."""
+    size = lambda df, name: df.filter("e <> 0").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias(name))
+    return size(pair_e, "__p").crossJoin(size(self_e, "__s")).select(F.try_divide("__p", "__s").alias("ratio"))
+
+
+def correlation_loss(self_e: DataFrame, pair_e: DataFrame, seq: DataFrame, reference: DataFrame, binder: str = "binder") -> DataFrame:
+    """-r of the energies of sequences (name, pos, aa, binder) with reference ones (name, energy), without those that lie
+    inside the target alone: loss, n."""
+    own = self_e.join(seq.filter(F.col(binder)).select("pos").distinct(), "pos", "left_semi")
+    inside = seq.filter(~F.col(binder)).select("pos").distinct()
+    i, j = inside.withColumnRenamed("pos", "pos_i"), inside.withColumnRenamed("pos", "pos_j")
+    target = pair_e.join(i, "pos_i", "left_semi").join(j, "pos_j", "left_semi").select("pos_i", "pos_j").distinct()
+    between = pair_e.join(target, ["pos_i", "pos_j"], "left_anti")
+    both = sequence_energy(own, between, seq.select("name", "pos", "aa")).join(reference.select("name", F.col("energy").alias("__r")), "name")
+    return both.agg((-F.corr("energy", "__r")).alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+def structure_loss(scores: DataFrame, by: list[str], score: str, truth: str, mask: str) -> DataFrame:
+    """Mean over structures of the mean squared difference over residues that the mask keeps: loss, n."""
+    each = scores.filter(F.col(mask)).groupBy(*by).agg(F.avg((F.col(score) - F.col(truth)) * (F.col(score) - F.col(truth))).alias("__mse"), F.count(F.lit(1)).alias("__n"))
+    return each.agg(F.avg("__mse").alias("loss"), F.sum("__n").alias("n"))

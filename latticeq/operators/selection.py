@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticeq.staging import Workspace
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an explicit order (an aggregate, so that rows are combined before the shuffle)."""
@@ -15,8 +17,12 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def below_median(df: DataFrame, value: str) -> DataFrame:
-    """Rows below the exact median of their own column."""
-    return df.crossJoin(F.broadcast(df.agg(F.median(value).alias("__median")))).filter(F.col(value) < F.col("__median")).drop("__median")
+    """Rows below the exact median of their own column: the mean of the one or two middle values of its sorted parts."""
+    ordered = numbered(df.select(F.col(value).cast("double").alias("__x")).filter("__x IS NOT NULL"), ["__x"])
+    counted = ordered.crossJoin(F.broadcast(ordered.agg(F.count(F.lit(1)).alias("__n"))))  # one row
+    half = (F.col("__n") - 1) / 2
+    median = counted.filter((F.col("index") == F.floor(half)) | (F.col("index") == F.ceil(half))).agg(F.avg("__x").alias("__median"))
+    return df.crossJoin(F.broadcast(median)).filter(F.col(value) < F.col("__median")).drop("__median")
 
 
 def lowest(df: DataFrame, n: int, order: list) -> DataFrame:
@@ -122,11 +128,13 @@ def ranked_names(df: DataFrame, by: list[str], order: list, kind: str = "pipelin
 def numbered(entries: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     """Rows with their index in an order, from ``start``.
 
-    Rows are counted in each part of the order first, so that no task orders them all.
+    They are ordered in ranges, which are written, so that their sizes are those of the rows that get numbers; no task
+    orders them all.
     """
-    parts = F.spark_partition_id().alias("__part")
-    ranged = entries.repartitionByRange(*order).sortWithinPartitions(*order).select("*", parts, F.monotonically_increasing_id().alias("__at"))
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))  # a row for each partition
+    work = Workspace(entries.sparkSession, "order")
+    ranged = entries.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = work.table(ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))  # a row for each range
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("__part", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
     out = ranged.join(F.broadcast(sizes), "__part")

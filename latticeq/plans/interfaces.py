@@ -295,6 +295,33 @@ def masked_mse(spark, d):
     return out.withColumn("mse", F.round("mse", 6))
 
 
+@query(f"WITH {ENERGIES} SELECT round((SELECT sum(abs(e)) FROM (SELECT e FROM self_e UNION ALL SELECT e FROM pair_e)) / 25.0::DOUBLE, 6) AS penalty, 25 AS n, round(sqrt((SELECT avg(e * e) FROM pair_e WHERE e <> 0)) / sqrt((SELECT avg(e * e) FROM self_e WHERE e <> 0)), 6) AS ratio")
+def energy_norms(spark, d):
+    """Norm of a table for each residue, and of pair against self energies."""
+    own, pair, seq = energies(spark, d)
+    s = F.lit(0).alias("sid")
+    lengths = seq.groupBy(s).agg(F.count(F.lit(1)).alias("length"))
+    norm = energy.norm_penalty(own.select(s, "e"), pair.select(s, "e"), lengths, ["sid"]).select(F.round("penalty", 6).alias("penalty"), "n")
+    return norm.crossJoin(energy.pair_self_ratio(own, pair).select(F.round("ratio", 6).alias("ratio")))
+
+
+@query(f"""WITH {ENERGIES}, q AS (SELECT v AS name, pos, CASE WHEN binder THEN (aa + v * pos) % 5 ELSE aa END AS aa, binder FROM seq, (SELECT unnest(range(6)) AS v)),
+t AS (SELECT name, e FROM self_e JOIN q USING (pos, aa) WHERE binder UNION ALL SELECT i.name, e FROM pair_e JOIN q i ON pos_i = i.pos AND aa_i = i.aa JOIN q j ON pos_j = j.pos AND aa_j = j.aa AND j.name = i.name WHERE i.binder OR j.binder),
+s AS (SELECT name, sum(e) AS e FROM t GROUP BY name) SELECT round(-corr(e, name * name), 6) AS loss, count(*) AS n FROM s""")
+def correlation_loss(spark, d):
+    """Energies of six binder sequences in one complex against reference energies."""
+    own, pair, seq = energies(spark, d)
+    names = spark.range(6).withColumnRenamed("id", "name")
+    q = seq.crossJoin(names).withColumn("aa", F.when(F.col("binder"), (F.col("aa") + F.col("name") * F.col("pos")) % 5).otherwise(F.col("aa")))
+    return energy.correlation_loss(own, pair, q, names.withColumn("energy", F.col("name") * F.col("name"))).withColumn("loss", F.round("loss", 6))
+
+
+@query("WITH m AS (SELECT l_returnflag, avg((l_discount - l_tax) * (l_discount - l_tax)) AS e, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag) SELECT round(avg(e), 6) AS loss, CAST(sum(n) AS BIGINT) AS n FROM m")
+def structure_loss(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("mask", F.col("l_quantity") > 10)
+    return energy.structure_loss(rows, ["l_returnflag"], "l_discount", "l_tax", "mask").withColumn("loss", F.round("loss", 6))
+
+
 # files: written below the shared folder and read back
 
 

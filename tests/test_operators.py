@@ -185,6 +185,16 @@ def test_frames(spark):
     assert all(abs(row.r[a][b] - (i == j)) < 1e-12 for i, a in enumerate("xyz") for j, b in enumerate("xyz")) and abs(row.d - 1.5) < 1e-12
 
 
+def test_below_the_exact_median(spark):
+    rng = random.Random(2)
+    for n in (0, 1, 2, 3, 4, 7, 100, 5001):
+        values = [rng.choice([rng.random(), round(rng.random(), 1)]) for _ in range(n)] + [None] * 3
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        known = [v for v in values if v is not None]
+        want = sorted(v for v in known if v < np.median(known)) if known else []
+        assert sorted(r.v for r in selection.below_median(df, "v").collect()) == want
+
+
 def test_selection_builders(spark):
     df = spark.createDataFrame([("A", "1"), ("A", "2"), ("B", "1")], "chain string, resnum string")
     assert df.filter(selection.selected([])).count() == 0
