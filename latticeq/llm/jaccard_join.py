@@ -30,15 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeq.llm.components import components
 from latticeq.llm.shared import Workspace, bitmap, broadcast, marked, most_frequent
 from latticeq.llm.tokens import HashIndex, Tokenizer, pieces, text_buffer, windows
+from latticeq.operators.graph import components
 
 #: Frequent shingles that are ordered by count (any others: by hash; this sets the cost, never the result), counts
 #: below which a task doesn't report a shingle, shingles a task counts at a time.
 FREQUENT, REPORTED, AT_A_TIME = 500_000, 2, 2_000_000
-#: Nodes of one bucket that share a leader, longest multi-match, turns of step 4, 64-bit words of a set's parity bitmap.
-BUCKET, MOST, TURNS, BITS = 4096, 8, 2, 16
+#: Nodes of one bucket that share a leader, longest multi-match, turns of step 4, 64-bit words of a set's parity bitmap
+#: (more for large sets) and of its short form.
+BUCKET, MOST, TURNS, BITS, FEW = 4096, 8, 2, 16, 4
+#: Numbers in a batch that a task gives back (a longer text: alone).
+HELD = 1 << 20
 
 _POSTING = ("odd", "node", "n", "match", "pos")
 
@@ -59,8 +62,12 @@ def _node(members: np.ndarray, seed: int) -> bytes:
 
 
 def _parity(members: np.ndarray) -> np.ndarray:
-    """Bitmap of which buckets hold an odd number of members: two of them differ in no more bits than the sets do."""
-    odd = np.bincount((members & np.uint64(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS) & 1
+    """Bitmap of which buckets hold an odd number of members: two of them differ in no more bits than the sets do.
+
+    It has two bits or more for each member, in a power of two of words, so that halving it adds up its halves.
+    """
+    words = max(BITS, 1 << (max(1, len(members) // 32) - 1).bit_length())
+    odd = np.bincount((members & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -68,6 +75,9 @@ def _first_long(sign: bytes) -> int:
     return int.from_bytes(sign[:8], "big", signed=True)
 
 
+_ROW = {"n": pa.int64(), "node": pa.int64(), "sign": pa.binary(), "many": pa.int64(), "bits": pa.list_(pa.int64()), "fold": pa.list_(pa.int64())}
+
+
 def _counting(width: int, seed: int):
     def run(batches):
         seen: set[bytes] = set()
@@ -83,12 +93,13 @@ def _counting(width: int, seed: int):
                     seen.add(sign)
                     held.append(members)
                     many += len(members)
-            flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))
-            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * BITS), flat)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("same"), pa.array(sizes, pa.int64()), pa.array([_first_long(x) for x in signs], pa.int64()), pa.array(signs, pa.binary()), pa.nulls(len(sizes), pa.int64()), maps],
-                names=["id", "same", "n", "node", "sign", "many", "bits"],
-            )
+            k = len(sizes)
+            ends = np.cumsum([0] + [len(x) for x in bits]).astype(np.int32)
+            # the short form: words that fall together are added bit by bit
+            short = [np.bitwise_xor.reduce(x.reshape(-1, FEW), axis=0) for x in bits]
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for at, x in ((ends, bits), (np.arange(k + 1, dtype=np.int32) * FEW, short))]
+            columns = [pa.array(sizes, pa.int64()), pa.array([_first_long(x) for x in signs], pa.int64()), pa.array(signs, pa.binary()), pa.nulls(k, pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("same"), *columns], names=["id", "same", *_ROW])
             if many >= AT_A_TIME:
                 yield counted(batch, held)
                 held, many = [], 0
@@ -99,10 +110,9 @@ def _counting(width: int, seed: int):
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
         often = counts >= REPORTED
         k = int(often.sum())
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(k, batch.schema.field("id").type), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), pa.array(tokens[often].view(np.int64)), pa.nulls(k, pa.binary()), pa.array(counts[often]), pa.nulls(k, pa.list_(pa.int64()))],
-            names=["id", "same", "n", "node", "sign", "many", "bits"],
-        )
+        known = {"n": pa.array(np.full(k, -1)), "node": pa.array(tokens[often].view(np.int64)), "many": pa.array(counts[often])}
+        columns = [known[x] if x in known else pa.nulls(k, kind) for x, kind in _ROW.items()]
+        return pa.RecordBatch.from_arrays([pa.nulls(k, batch.schema.field("id").type), pa.nulls(k, pa.int64()), *columns], names=["id", "same", *_ROW])
 
     return run
 
@@ -122,36 +132,52 @@ def prefix(members: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndar
     return order[: n - need + at], at
 
 
+def _flushed(made, size):
+    """Batches of about ``HELD`` numbers from a stream of (arrays, numbers): what a task holds doesn't grow with its batches."""
+    held, many = [], 0
+    for part in made:
+        held.append(part)
+        many += size(part)
+        if many >= HELD:
+            yield held
+            held, many = [], 0
+    if held:
+        yield held
+
+
 def _prefixes(width: int, seed: int, least: int, frequent):
     def run(batches):
         index, many = frequent.value
         seen: set[bytes] = set()
-        for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(8)]
-            for members in shingle_sets(batch.column("text"), width):
-                if not len(members) or (sign := _node(members, seed)) in seen:
-                    continue
-                seen.add(sign)
-                at = index(members)
-                counts = np.where(at >= 0, many[at], 0) if len(many) else np.zeros(len(members), np.int64)
-                chosen, k = prefix(members, counts, least)
-                size, node, buckets = len(chosen), _first_long(sign), counts[chosen] // BUCKET + 1
-                odd = 1000 * int(np.count_nonzero(counts == 0)) // len(members)
-                for part, x in zip(parts, (members[chosen].view(np.int64), node % buckets, buckets, np.full(size, odd), np.full(size, node), np.full(size, len(members)), np.full(size, k), np.arange(size))):
-                    part.append(x)
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in parts], names=["token", "salt", "salts", *_POSTING])
+
+        def postings():
+            for batch in batches:
+                for members in shingle_sets(batch.column("text"), width):
+                    if not len(members) or (sign := _node(members, seed)) in seen:
+                        continue
+                    seen.add(sign)
+                    at = index(members)
+                    counts = np.where(at >= 0, many[at], 0) if len(many) else np.zeros(len(members), np.int64)
+                    chosen, k = prefix(members, counts, least)
+                    size, node, buckets = len(chosen), _first_long(sign), counts[chosen] // BUCKET + 1
+                    odd = 1000 * int(np.count_nonzero(counts == 0)) // len(members)
+                    yield members[chosen].view(np.int64), node % buckets, buckets, np.full(size, odd), np.full(size, node), np.full(size, len(members)), np.full(size, k), np.arange(size)
+
+        for held in _flushed(postings(), lambda part: 8 * len(part[0])):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*held)], names=["token", "salt", "salts", *_POSTING])
 
     return run
 
 
 def _members(width: int):
     def run(batches):
-        for batch in batches:
-            sets = [x.view(np.int64) for x in shingle_sets(batch.column("text"), width)]
-            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
-            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "members"])
+        def sets():
+            for batch in batches:
+                yield from zip(batch.column("node").to_pylist(), (x.view(np.int64) for x in shingle_sets(batch.column("text"), width)))
+
+        for held in _flushed(sets(), lambda part: len(part[1])):
+            ends = np.cumsum([0] + [len(x) for _, x in held]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for _, x in held])))], names=["node", "members"])
 
     return run
 
@@ -168,7 +194,7 @@ class _Join:
         """Sets of equal members as nodes, and the table of frequent shingles."""
         seed = 0
         while True:
-            schema = f"id {self.kind}, same long, n long, node long, sign binary, many long, bits array<long>"
+            schema = f"id {self.kind}, same long, n long, node long, sign binary, many long, bits array<long>, fold array<long>"
             made = self.work.table(self.docs.mapInArrow(_counting(self.width, seed), schema))
             clash = made.filter("n > 0").groupBy("node").agg(F.min("sign").alias("p"), F.max("sign").alias("q")).filter("p <> q")
             if clash.isEmpty():
@@ -180,7 +206,7 @@ class _Join:
         tokens, many = top["node"].to_numpy(np.int64).view(np.uint64), top["many"].to_numpy(np.int64)
         self.frequent = broadcast(self.spark, (HashIndex(tokens), many))
         self.heads = self.rows.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "same")).alias("head"))
-        self.maps = self.work.table(self.rows.filter("n > 0 AND id IS NOT NULL").select("node", "n", "bits").dropDuplicates(["node"]))
+        self.maps = self.work.table(self.rows.filter("n > 0 AND id IS NOT NULL").select("node", "n", "bits", "fold").dropDuplicates(["node"]))
 
     def buckets(self) -> DataFrame:
         """Prefix members that two nodes hold at least, each with the leader of its bucket."""
@@ -207,11 +233,16 @@ class _Join:
         k = F.least(x.format("match"), y.format("match")) - 1
         return (100 * F.least(n, m) >= self.least * F.greatest(n, m)) & (F.col(x.format("pos")) <= n - o + k) & (F.col(y.format("pos")) <= m - o + k)
 
-    def close(self, x: str, y: str):
+    def close(self, x: str, y: str, bits: str):
         """Whether the bitmaps of a pair differ in no more bits than sets over the threshold may."""
-        n, m, p, q = F.col(x.format("n")), F.col(y.format("n")), F.col(x.format("bits")), F.col(y.format("bits"))
+        n, m, p, q = F.col(x.format("n")), F.col(y.format("n")), F.col(x.format(bits)), F.col(y.format(bits))
         o = F.ceil(self.least * (n + m) / F.lit(100 + self.least) - F.lit(1e-9))
-        return sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(BITS)), F.lit(0)) <= n + m - 2 * o
+        if bits == "fold":
+            differ = sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(FEW)), F.lit(0))
+        else:  # sizes that may go together differ by less than two, so one halving makes the bitmaps of a pair equally long
+            halved = lambda u, v: F.when(F.size(u) > F.size(v), F.zip_with(F.slice(u, 1, F.size(v)), F.slice(u, F.size(v) + 1, F.size(v)), lambda x, y: x.bitwiseXOR(y))).otherwise(u)
+            differ = F.aggregate(F.zip_with(halved(p, q), halved(q, p), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, d: t + d)
+        return differ <= n + m - 2 * o
 
     def often(self, met: DataFrame) -> DataFrame:
         """Pairs (a, b) with a < b of met (x, y, need) that were met as often as they need."""
@@ -233,13 +264,15 @@ class _Join:
         """(node, members) of the nodes of a table; a bitmap of their documents thins out the texts before the shuffle."""
         ids = self.work.table(nodes.join(self.heads, "node").select("node", F.col("head.id").alias("id"), F.col("head.same").alias("same")))
         some = marked(self.docs, bitmap(ids, "id", "same"), "id", "same")
-        texts = some.join(ids.hint("merge"), ["id", "same"]).select("node", "text").dropDuplicates(["node"])
+        # repeated rows go where the join has put them
+        texts = some.join(ids.hint("merge"), ["id", "same"]).dropDuplicates(["id", "same"]).select("node", "text")
         return self.work.table(texts.mapInArrow(_members(self.width), "node long, members array<long>"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those pairs that are over the threshold, by full comparison of their members."""
-        a, b = (self.maps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-        pairs = self.work.table(pairs.join(a, "a").join(b, "b").filter(self.close("{}_a", "{}_b")).select("a", "b"))
+        for bits in ("fold", "bits"):  # the short bitmaps discard most, so that few pairs carry the long ones
+            a, b = (self.maps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col(bits).alias(f"{bits}_{x}")) for x in "ab")
+            pairs = self.work.table(pairs.join(a, "a").join(b, "b").filter(self.close("{}_a", "{}_b", bits)).select("a", "b"))
         sets = self.fetched(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         left, right = (sets.select(F.col("node").alias(x), F.col("members").alias(f"in_{x}")) for x in "ab")
         rows = pairs.join(right, "b").join(left, "a")
@@ -264,9 +297,9 @@ class _Join:
 
     def rest(self, divided: DataFrame) -> DataFrame:
         """Pairs of nodes of different components: of each member's nodes, those outside its largest component with all."""
-        divided = self.work.table(divided.join(self.maps.select("node", "bits"), "node"))
-        few = divided.filter("label <> main").select("token", *(F.col(c).alias(f"{c}_a") for c in (*_POSTING, "label", "bits")))
-        pairs = few.join(divided, "token").filter("label <> label_a AND (label = main OR node_a < node)").filter(self.near("{}", "{}_a")).filter(self.close("{}", "{}_a"))
+        divided = self.work.table(divided.join(self.maps.select("node", "fold"), "node"))
+        few = divided.filter("label <> main").select("token", *(F.col(c).alias(f"{c}_a") for c in (*_POSTING, "label", "fold")))
+        pairs = few.join(divided, "token").filter("label <> label_a AND (label = main OR node_a < node)").filter(self.near("{}", "{}_a")).filter(self.close("{}", "{}_a", "fold"))
         return self.often(self.met(pairs, "{}_a", "{}"))
 
     def run(self) -> DataFrame:
@@ -314,12 +347,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows of that text stay together. Rows with a null identifier, or without a word, stay.
     """
     join = _Join(docs, id_col, text_col, width, percent)
-    gone = join.run().filter(F.struct("id", "same") > F.col("first")).select(F.col("id").alias("__id"), F.col("same").alias("__same")).distinct()
+    # names that no column of the documents has
+    gone = join.run().filter(F.struct("id", "same") > F.col("first")).select(F.col("id").alias("latticeq id"), F.col("same").alias("latticeq same")).distinct()
     gone = join.work.table(gone)
-    bits = join.work.table(bitmap(gone, "__id", "__same"))
+    bits = join.work.table(bitmap(gone, F.col("`latticeq id`"), F.col("`latticeq same`")))
     key = F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     clear = marked(docs, bits, *key, how="left_anti")
-    rest = marked(docs, bits, *key).join(gone.hint("merge"), (key[0] == F.col("__id")) & (key[1] == F.col("__same")), "left_anti")
+    rest = marked(docs, bits, *key).join(gone.hint("merge"), (key[0] == F.col("`latticeq id`")) & (key[1] == F.col("`latticeq same`")), "left_anti")
     return clear.unionAll(rest)
 
 

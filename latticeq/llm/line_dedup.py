@@ -89,7 +89,7 @@ def _runs(later: DataFrame) -> DataFrame:
     reach = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
     apart = later.withColumn("new", F.coalesce(F.col("line") > reach, F.lit(True)).cast("long"))
     runs = apart.withColumn("run", F.sum("new").over(text.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "same", "run").agg(F.min("line").alias("begin"), F.max("end").alias("end"))
-    return runs.groupBy("id", "same").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("__runs"))
+    return runs.groupBy("id", "same").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("latticeq runs"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mass: int = WORDS) -> DataFrame:
@@ -114,23 +114,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = places.groupBy("mark", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = work.table(firsts.filter("first < last").drop("last"))
     later = places.join(firsts.hint("merge"), ["mark", "whole"]).filter(place > F.col("first")).select("id", "same", "line", "end").distinct()
-    gone = work.table(_runs(later).withColumnsRenamed({"id": "__id", "same": "__same"}))
+    gone = work.table(_runs(later).withColumnsRenamed({"id": "latticeq id", "same": "latticeq same"}))
     # what was found grows with the corpus, so it is never broadcast: a bitmap of it parts the texts that stay as they are
-    bits = work.table(bitmap(gone, "__id", "__same"))
+    bits = work.table(bitmap(gone, F.col("`latticeq id`"), F.col("`latticeq same`")))
     key = F.col(f"`{id_col}`"), F.xxhash64(body)
-    whole = marked(old, bits, *key, how="left_anti").withColumn("__runs", F.lit(None).cast(gone.schema["__runs"].dataType))
-    some = marked(old, bits, *key).withColumn("__key", key[1]).join(gone.hint("merge"), (F.col(f"`{id_col}`") == F.col("__id")) & (F.col("__key") == F.col("__same")), "left")
-    kept = whole.unionAll(some.select(*whole.columns))
+    whole = marked(old, bits, *key, how="left_anti").withColumn("latticeq runs", F.lit(None).cast(gone.schema["latticeq runs"].dataType))
+    some = marked(old, bits, *key).withColumn("latticeq key", key[1]).join(gone.hint("merge"), (F.col(f"`{id_col}`") == F.col("`latticeq id`")) & (F.col("`latticeq key`") == F.col("`latticeq same`")), "left")
+    kept = whole.unionAll(some.select(*(f"`{c}`" for c in whole.columns)))
     lines = F.split(column, "\n", -1)
     # what stands before, between and after the runs
-    starts, stops = F.concat(F.array(F.lit(0)), F.col("__runs.end")), F.concat(F.col("__runs.begin"), F.array(F.size(lines)))
+    starts, stops = F.concat(F.array(F.lit(0)), F.col("`latticeq runs`.end")), F.concat(F.col("`latticeq runs`.begin"), F.array(F.size(lines)))
     left = F.array_join(F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(lines, a + 1, b - a))), "\n")
-    text = F.when(F.col("__runs").isNull() | column.isNull(), F.col(f"`{text_col}`")).otherwise(left)
-    spans = F.array_join(F.transform("__runs", lambda r: F.concat_ws("-", r.begin.cast("string"), (r.end - 1).cast("string"))), ",")
+    text = F.when(F.col("`latticeq runs`").isNull() | column.isNull(), F.col(f"`{text_col}`")).otherwise(left)
+    spans = F.array_join(F.transform("`latticeq runs`", lambda r: F.concat_ws("-", r.begin.cast("string"), (r.end - 1).cast("string"))), ",")
     return kept.select(
         *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in old.columns),
         F.when(column.isNull(), F.lit(0)).otherwise(F.regexp_count(column, F.lit("\n")) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r.end - r.begin), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.aggregate("`latticeq runs`", F.lit(0), lambda n, r: n + r.end - r.begin), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(spans, F.lit("")).alias("removed"),
     )
 

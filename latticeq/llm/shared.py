@@ -1,46 +1,13 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-A lineage that is read more than once, or grows in a loop, is cut by writing it as Parquet below
-``spark.checkpoint.dir``. Such a table survives the loss of any executor, which cached blocks do not.
-"""
+"""What the operators of this subpackage share: broadcasts, frequent keys, bitmaps of keys, tables between steps."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticeq.staging import Workspace, ship
 
-def shared_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="latticeq-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package's modules to the executors, once for each application."""
-    context = spark.sparkContext
-    if getattr(context, "_latticeq_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp(prefix="latticeq-")  # the driver serves it until it ends
-    atexit.register(shutil.rmtree, folder, True)
-    name = f"{folder}/latticeq-modules.zip"
-    with zipfile.ZipFile(name, "w") as out:
-        for path in sorted(package.rglob("*.py")):
-            out.write(path, path.relative_to(package.parent))
-    context.addPyFile(name)
-    context._latticeq_shipped = True
+__all__ = ["Workspace", "bitmap", "broadcast", "marked", "most_frequent", "ship"]
 
 
 def broadcast(spark: SparkSession, value):
@@ -79,7 +46,7 @@ def key_bits(*columns) -> tuple:
 def bitmap(keys: DataFrame, *columns) -> DataFrame:
     """A bitmap of the hashes of the keys of a table: ``BITMAP_WORDS`` rows at most, however long the table is."""
     word, bit = key_bits(*columns)
-    return keys.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    return keys.groupBy(word.alias("latticeq word")).agg(F.bit_or(bit).alias("latticeq bits"))
 
 
 def marked(rows: DataFrame, bits: DataFrame, *columns, how: str = "left_semi") -> DataFrame:
@@ -88,30 +55,4 @@ def marked(rows: DataFrame, bits: DataFrame, *columns, how: str = "left_semi") -
     It thins out the large side of an exact join by a broadcast of bounded size, at every size of either side.
     """
     word, bit = key_bits(*columns)
-    return rows.join(F.broadcast(bits), (word == F.col("__word")) & (bit.bitwiseAND(F.col("__bits")) != 0), how)
-
-
-class Workspace:
-    """Named Parquet tables of one operator call; ``drop`` frees those that later tables replace."""
-
-    def __init__(self, spark: SparkSession, label: str) -> None:
-        ship(spark)
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        self.made = 0
-
-    def table(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return it as a scan of what was written."""
-        self.made += 1
-        path = f"{self.root}/{self.made:03d}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._latticeq_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table made here that nothing still to be evaluated reads."""
-        with contextlib.suppress(AttributeError):
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(df._latticeq_path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return rows.join(F.broadcast(bits), (word == F.col("`latticeq word`")) & (bit.bitwiseAND(F.col("`latticeq bits`")) != 0), how)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from latticeq.llm import decontaminate, hmm, jaccard_join, language, line_dedup, mixing, pii, secrets, url_filter
 from latticeq.llm.automaton import Automaton, Spans
-from latticeq.llm.components import components
 from latticeq.llm.exact_dedup import exact_dedup
 from latticeq.llm.shared import Workspace
 from latticeq.llm.tokens import HashIndex, Tokenizer
@@ -95,16 +94,24 @@ def test_jaccard_components(spark, monkeypatch):
 
 def test_parity_bitmap_bounds_the_difference():
     rng = np.random.default_rng(5)
-    for _ in range(50):
-        common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (200, 30, 50))
+    bits = lambda x, y: int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+    for common, one, two in ((200, 30, 50), (1000, 20, 40), (5000, 300, 100), (60, 0, 1)) * 10:
+        common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (common, one, two))
         x, y = (jaccard_join._parity(np.concatenate([common, v])) for v in (a, b))
-        assert sum(int(p ^ q & -1).bit_count() if (p ^ q) >= 0 else int((int(p) ^ int(q)) & (2**64 - 1)).bit_count() for p, q in zip(x.tolist(), y.tolist())) <= 80
-
-
-def test_components_of_a_long_path(spark):
-    links = spark.createDataFrame([(i * 7919 % 101, (i + 1) * 7919 % 101) for i in range(60)] + [(500, 501)], "a long, b long")
-    labels = {r.node: r.label for r in components(links, Workspace(spark, "test")).collect()}
-    assert len({labels[i * 7919 % 101] for i in range(61)}) == 1 and labels[500] == labels[501] != labels[0]
+        small = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(v.reshape(-1, small), axis=0) for v in (x, y))
+        assert bits(x, y) <= one + two
+        short = [np.bitwise_xor.reduce(v.reshape(-1, jaccard_join.FEW), axis=0) for v in (x, y)]
+        assert bits(*short) <= one + two
+
+
+def test_long_sets_with_bitmaps_of_unequal_length(spark):
+    words = [f"w{i}" for i in range(1100)]
+    texts = {1: words, 2: words[:1010], 3: words[:900], 4: words[:700], 5: words[300:], 6: [f"x{i}" for i in range(1050)]}
+    assert len(jaccard_join._parity(np.arange(1096, dtype=np.uint64))) == 2 * len(jaccard_join._parity(np.arange(1006, dtype=np.uint64)))
+    got = jaccard_join.jaccard_join(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()
+    # 1006, 896 and 696 of 1096 shingles; 5 shares 706 with 2, of 1096
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
 
 
 def test_line_runs(docs):
