@@ -25,8 +25,8 @@ from latticeq.llm.tokens import HashIndex, Tokenizer, pieces, text_buffer
 #: States, rounds of training, least number of words with emissions of their own, words whose counts every task has (or all
 #: those with emissions), occurrences from which a word has emissions in any case.
 STATES, ROUNDS, OWN, KNOWN, LEAST = 8, 3, 2046, 400_000, 50
-#: Weight of staying in a state before training, in weights of leaving it.
-STAY = 30
+#: Least and largest weight of staying in a state before training, in weights of leaving it.
+STAY = (0.1, 30)
 #: Tokens of a stretch, bytes of text run together, tokens counted at a time, units of a fixed-point count.
 STRETCH, TOGETHER, AT_A_TIME, UNITS = 1024, 6 << 20, 2_000_000, 1 << 16
 #: Expected emissions held by a task before they are added up, symbols in a row of them, rows the driver fetches at a time.
@@ -54,14 +54,15 @@ class Model:
 
     @staticmethod
     def initial(counts: np.ndarray, states: int, seed: int = 5) -> Model:
-        """Symbol shares, perturbed differently for each state, and moves that mostly stay.
+        """Symbol shares, perturbed differently for each state; some states are mostly stayed in, others soon left.
 
-        From moves without a preference the expectations hardly leave the point at which all states are the same; where a
-        state lasts, its perturbations add up over a stretch and the states part within a round or two.
+        From moves without a preference the expectations hardly leave the point at which all states are the same. Where a
+        state lasts, its perturbations add up over a stretch, and such states part within a round or two, as languages do;
+        the others are there for what alternates.
         """
         rng = np.random.default_rng(seed)
         emit = (counts[:, None] + 0.5).astype(np.float32) * (rng.random((len(counts), states), np.float32) * 1.2 + 0.4)
-        move = rng.uniform(0.5, 1.5, (states, states)) + STAY * states * np.eye(states)
+        move = rng.uniform(0.5, 1.5, (states, states)) + states * np.diag(np.geomspace(*STAY, states))
         return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, dtype=np.float64).astype(np.float32))
 
     @staticmethod
@@ -367,7 +368,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``held`` is a column that is true for rows not learned from (default: none is held out). Null text counts as empty:
     one token, the end. base_score is the add-one unigram log10 probability, score that of the model. Repeated rows
-    come out repeated; other columns are ignored; without training texts all words are unknown and the model uniform
+    come out repeated, and each is learned from; of equally frequent words the lesser hash comes first; a text of any
+    length is scored whole, by stretches; other columns are ignored; without training texts all words are unknown and the model uniform
     but for its perturbation. An empty table gives an empty result.
     """
     spark = docs.sparkSession
