@@ -55,14 +55,6 @@ def ship(spark: SparkSession) -> None:
     context._latticeq_shipped = True
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session has ended
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 class Workspace:
     """Named Parquet tables of one operator call.
 
@@ -73,6 +65,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str) -> None:
         ship(spark)
         self.spark = spark
+        # these outlive a stopped session
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.made = 0
 
@@ -91,12 +85,16 @@ class Workspace:
         self.made += 1
         return f"{self.root}/{self.made:03d}"
 
+    def _delete(self, path: str) -> None:
+        where = self._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self._conf).delete(where, True)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table made here that nothing still to be evaluated reads."""
         with contextlib.suppress(AttributeError):
-            _delete(self.spark, df._latticeq_path)
+            self._delete(df._latticeq_path)
 
     def clear(self) -> None:
         """Delete all tables made here."""
         with contextlib.suppress(Exception):  # the gateway may be gone already
-            _delete(self.spark, self.root)
+            self._delete(self.root)
