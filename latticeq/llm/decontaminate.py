@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeq.llm.shared import Workspace, broadcast
+from latticeq.llm.shared import Workspace, broadcast, lean
 from latticeq.llm.tokens import SPACES, HashIndex, Tokenizer, _power, mix, pieces, text_buffer, windows
 
 #: Tokens of the shortest tile, share of an item's tokens under tiles that condemns, bytes of benchmark text in a block.
@@ -208,7 +208,7 @@ def contamination(
     layout = f"id {kind}, item {item_kind}, coverage double, tiles string"
     spark = docs.sparkSession
     out = None
-    for found in _by_block(spark, blocks_of(benchmark, item_col, item_text_col, least), lambda model: rows.mapInArrow(finder(model), layout)):
+    for found in _by_block(spark, blocks_of(benchmark, item_col, item_text_col, least), lambda model: rows.mapInArrow(lean(finder(model)), layout)):
         out = found if out is None else out.unionAll(found)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "coverage", "tiles")
 
@@ -225,7 +225,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         return run
 
     held = [docs]
-    for kept in _by_block(docs.sparkSession, blocks_of(benchmark, item_col, item_text_col, least), lambda model: held[0].mapInArrow(keeper(model), docs.schema)):
+    for kept in _by_block(docs.sparkSession, blocks_of(benchmark, item_col, item_text_col, least), lambda model: held[0].mapInArrow(lean(keeper(model)), docs.schema)):
         held[0] = kept
     return held[0]
 

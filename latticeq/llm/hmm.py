@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeq.llm.language import held_out
-from latticeq.llm.shared import Workspace, broadcast, most_frequent
+from latticeq.llm.shared import Workspace, broadcast, lean, most_frequent
 from latticeq.llm.tokens import HashIndex, Tokenizer, pieces, text_buffer
 
 #: States, rounds of training, least number of words with emissions of their own, words whose counts every task has (or all
@@ -329,7 +329,7 @@ _COLUMNS = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score
 def train(rows: DataFrame, work: Workspace, states: int = STATES, rounds: int = ROUNDS) -> tuple[Trained, DataFrame]:
     """The model of the texts in ``rows`` (column text), and the table of all word counts (word, c)."""
     spark = rows.sparkSession
-    counts = work.table(rows.mapInArrow(_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    counts = work.table(rows.mapInArrow(lean(_words), "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
     totals = counts.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
     ends = rows.count()
     often = counts.filter(F.col("c") >= LEAST)
@@ -346,8 +346,8 @@ def train(rows: DataFrame, work: Workspace, states: int = STATES, rounds: int =
     layout = "span long, at array<int>, units array<long>"
     for _ in range(rounds if ends else 0):
         state = broadcast(spark, (small, own, model))
-        made = rows.mapInArrow(_expecting(state), layout).repartition("span")
-        units = work.table(made.mapInArrow(_adding(states), layout))
+        made = rows.mapInArrow(lean(_expecting(state)), layout).repartition("span")
+        units = work.table(made.mapInArrow(lean(_adding(states)), layout))
         # as Model.of_counts, but for a block of spans at a time
         total = np.zeros((1 + states + len(symbols), states), np.float32)
         for lo in range(0, len(total) // SPAN + 1, BLOCK):
@@ -380,7 +380,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held.alias("held_out"), text)
     schema = f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, word long, times long"
-    made = work.table(rows.mapInArrow(_scoring(broadcast(spark, trained)), schema))
+    made = work.table(rows.mapInArrow(lean(_scoring(broadcast(spark, trained))), schema))
     rare = made.filter("word IS NOT NULL").select("row", "word", "times").join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"),

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeq.llm.shared import Workspace, bitmap, broadcast, marked, most_frequent
+from latticeq.llm.shared import Workspace, bitmap, broadcast, lean, marked, most_frequent
 from latticeq.llm.tokens import HashIndex, Tokenizer, pieces, text_buffer, windows
 from latticeq.operators.graph import components
 
 #: Frequent shingles that are ordered by count (any others: by hash; this sets the cost, never the result), counts
 #: below which a task doesn't report a shingle, shingles a task counts at a time.
-FREQUENT, REPORTED, AT_A_TIME = 500_000, 2, 2_000_000
+FREQUENT, REPORTED, AT_A_TIME = 500_000, 2, 1_000_000
 #: Nodes of one bucket that share a leader, longest multi-match, turns of step 4, 64-bit words of a set's parity bitmap
 #: (more for large sets) and of its short form.
 BUCKET, MOST, TURNS, BITS, FEW = 4096, 8, 2, 16, 4
@@ -195,7 +195,7 @@ class _Join:
         seed = 0
         while True:
             schema = f"id {self.kind}, same long, n long, node long, sign binary, many long, bits array<long>, fold array<long>"
-            made = self.work.table(self.docs.mapInArrow(_counting(self.width, seed), schema))
+            made = self.work.table(self.docs.mapInArrow(lean(_counting(self.width, seed)), schema))
             clash = made.filter("n > 0").groupBy("node").agg(F.min("sign").alias("p"), F.max("sign").alias("q")).filter("p <> q")
             if clash.isEmpty():
                 break
@@ -211,7 +211,7 @@ class _Join:
     def buckets(self) -> DataFrame:
         """Prefix members that two nodes hold at least, each with the leader of its bucket."""
         schema = "token long, salt long, salts long, odd long, node long, n long, match long, pos long"
-        rows = self.docs.filter("id IS NOT NULL").mapInArrow(_prefixes(self.width, self.seed, self.least, self.frequent), schema)
+        rows = self.docs.filter("id IS NOT NULL").mapInArrow(lean(_prefixes(self.width, self.seed, self.least, self.frequent)), schema)
         keys = "token", "salt"
         # a set that stands in several tasks has a posting from each; the first one stays
         rows = rows.withColumn("before", F.lag("node").over(Window.partitionBy(*keys).orderBy("node"))).filter("before IS NULL OR before <> node")
@@ -266,7 +266,7 @@ class _Join:
         some = marked(self.docs, bitmap(ids, "id", "same"), "id", "same")
         # repeated rows go where the join has put them
         texts = some.join(ids.hint("merge"), ["id", "same"]).dropDuplicates(["id", "same"]).select("node", "text")
-        return self.work.table(texts.mapInArrow(_members(self.width), "node long, members array<long>"))
+        return self.work.table(texts.mapInArrow(lean(_members(self.width)), "node long, members array<long>"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those pairs that are over the threshold, by full comparison of their members."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from latticeq.llm.shared import broadcast, ship
+from latticeq.llm.shared import broadcast, lean, ship
 from latticeq.llm.tokens import pieces, text_buffer
 
 #: Bytes of context. Labelled documents a language is learned from, about (chosen by hash; their whole texts are read).
@@ -156,7 +156,7 @@ def learn_languages(labelled: DataFrame, key: str, text_col: str = "text", lang_
         return ContextTrees([], {}, order)
     share = F.coalesce(*(F.when(F.col(lang_col) == x, F.lit(min(1.0, per_language / n))) for x, n in sizes.items()))
     chosen = known.filter(F.pmod(F.xxhash64(F.col(key), F.lit(41)), F.lit(1 << 20)) < share * (1 << 20))
-    rows = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_grams(order), "lang string, gram long, many long")
+    rows = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(lean(_grams(order)), "lang string, gram long, many long")
     counts = rows.groupBy("lang", "gram").agg(F.sum("many").alias("many")).toPandas()
     grams = {}
     for lang, part in counts.groupby("lang"):
@@ -207,7 +207,7 @@ def identify_languages(docs: DataFrame, trees: ContextTrees, text_col: str = "te
         columns.append(F.col(f"`{text_col}`").cast("string").alias(source))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     added = f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` double"
-    return docs.select(*columns).mapInArrow(_scoring(model, source, [f.name for f in kept], list(names)), f"{schema}, {added}" if schema else added)
+    return docs.select(*columns).mapInArrow(lean(_scoring(model, source, [f.name for f in kept], list(names))), f"{schema}, {added}" if schema else added)
 
 
 def held_out(id_col: str, modulus: int):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeq.llm.shared import Workspace, bitmap, marked
+from latticeq.llm.shared import Workspace, bitmap, lean, marked
 from latticeq.llm.tokens import Tokenizer, _power, mix, pieces, text_buffer
 
 #: Words of the shortest run that is deleted.
@@ -109,7 +109,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     body = F.coalesce(column, F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(body).alias("same"), body.alias("text"))
-    places = work.table(rows.mapInArrow(_windows(mass), f"id {kind}, same long, line int, end int, mark long, whole long"))
+    places = work.table(rows.mapInArrow(lean(_windows(mass)), f"id {kind}, same long, line int, end int, mark long, whole long"))
     place = F.struct("id", "same", "line")
     firsts = places.groupBy("mark", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = work.table(firsts.filter("first < last").drop("last"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeq.llm.shared import Workspace, broadcast
+from latticeq.llm.shared import Workspace, broadcast, lean
 from latticeq.llm.spans import join_spans
 from latticeq.llm.tokens import text_buffer
 
@@ -309,11 +309,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = Workspace(spark, "pii").table(rows.mapInArrow(_finding, f"id {kind}, {counts}, base string, nodes {_NODE}"))
-    tally = found.filter(F.size("nodes") > 0).select("nodes").mapInArrow(_counting, "shape string, left string, right string, before int, after int, same string, like string, label int, n long")
+    found = Workspace(spark, "pii").table(rows.mapInArrow(lean(_finding), f"id {kind}, {counts}, base string, nodes {_NODE}"))
+    tally = found.filter(F.size("nodes") > 0).select("nodes").mapInArrow(lean(_counting), "shape string, left string, right string, before int, after int, same string, like string, label int, n long")
     cases = sorted(tuple(r) for r in tally.groupBy(*CASE).agg(F.sum("n").alias("n")).collect())
     weights = Weights(cases)
-    out = found.mapInArrow(_labelling(broadcast(spark, weights)), f"id {kind}, {counts}, base string, spans string")
+    out = found.mapInArrow(lean(_labelling(broadcast(spark, weights))), f"id {kind}, {counts}, base string, spans string")
     return out.withColumnRenamed("id", id_col)
 
 

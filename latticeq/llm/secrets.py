@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeq.llm.automaton import Automaton, Spans
-from latticeq.llm.shared import broadcast
+from latticeq.llm.shared import broadcast, lean
 from latticeq.llm.spans import join_spans
 from latticeq.llm.tokens import pieces, text_buffer
 
@@ -114,7 +114,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanner = broadcast(docs.sparkSession, Scanner())
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = rows.mapInArrow(_scanning(scanner), f"id {kind}, n_assign long, n_access long, n_hex long, base string, spans string")
+    out = rows.mapInArrow(lean(_scanning(scanner)), f"id {kind}, n_assign long, n_access long, n_hex long, base string, spans string")
     return out.withColumnRenamed("id", id_col)
 
 
