@@ -84,8 +84,12 @@ def best_window(a: DataFrame, b: DataFrame, chain: str, pos: str, window: str, s
     x = a.select(F.col(chain).alias("a"), F.col(pos).alias("i"), *numbers("p"))
     y = b.select(F.col(chain).alias("b"), F.col(pos).alias("j"), *numbers("q"))
     d2 = sum(((F.col(f"p{i}") - F.col(f"q{i}")) * (F.col(f"p{i}") - F.col(f"q{i}")) for i in range(size)), F.lit(0.0))
-    pairs = y.crossJoin(x).filter("a <> b").select("a", "b", "i", "j", F.sqrt(d2 / size).alias("rmsd"))
-    return pairs.groupBy("a", "b").agg(F.min("rmsd").alias("rmsd"), F.min_by(F.struct("i", "j"), F.struct("rmsd", "i", "j")).alias("at")).select("a", "b", "at.i", "at.j", "rmsd")
+    far = F.sqrt(d2 / size).alias("rmsd")
+    # minima of plain numbers are hashed; the place in b is looked up again for the one window of a that is left
+    of_window = y.crossJoin(x).filter("a <> b").select("a", "b", "i", far).groupBy("a", "b", "i").agg(F.min("rmsd").alias("rmsd"))
+    best = of_window.groupBy("a", "b").agg(F.min(F.struct("rmsd", "i")).alias("m")).select("a", "b", "m.i", F.col("m.rmsd").alias("least"))
+    places = best.join(x, ["a", "i"]).join(y, "b").select("a", "b", "i", "j", far, "least").filter("rmsd = least")
+    return places.groupBy("a", "b", "i", "rmsd").agg(F.min("j").alias("j")).select("a", "b", "i", "j", "rmsd")
 
 
 def topology_positions(df: DataFrame, topology: str, order: list, length: str, overlap: int = 3) -> DataFrame:
