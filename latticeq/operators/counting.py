@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticeq.staging import Workspace
+
 
 def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
     """Number of the equal bin of a value, clamped to the first and last."""
@@ -73,21 +75,94 @@ def enrichment(before: DataFrame, after: DataFrame, key: str, n: str, total_befo
     return both.select(key, "n1", "n2", F.try_divide(F.col("n2") / t2, F.col("n1") / t1).alias("ratio"))
 
 
-def set_similarity(members: DataFrame, key: str, member: str, least: int = 0, queries: Column | None = None) -> DataFrame:
+#: Different members up to which sets are compared as bitmaps, row by row; beyond, keys meet by the members they share.
+BITMAP_MEMBERS = 1024
+#: Numbers of all bitmaps of the queries, up to which these are broadcast.
+BROADCAST_NUMBERS = 4_000_000
+
+
+def _bitmaps(sets: DataFrame, key: str, names: list) -> DataFrame:
+    """Sets as bitmaps over ``names``: key, n and the words w0, w1, .. of 64 members each."""
+    bit = lambda i: 1 << i % 64 if i % 64 < 63 else -(1 << 63)
+    places = sets.sparkSession.createDataFrame([(m, i // 64, bit(i)) for i, m in enumerate(names)], f"m {sets.schema['m'].dataType.simpleString()}, word int, bit long")
+    sets = sets.join(F.broadcast(places), "m", "left")
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{w}") for w in range(max(1, -(-len(names) // 64)))]
+    return sets.groupBy(key).agg(F.count("m").alias("n"), *words)
+
+
+def _share(spark, shared: Column, union: Column, members: int, digits: int | None) -> Column:
+    """shared / union, 0 for empty sets, rounded to ``digits``; of few members every rounded value is looked up."""
+    if digits is None or members > 64:
+        j = F.coalesce(F.try_divide(shared, union), F.lit(0.0))
+        return j if digits is None else F.round(j, digits)
+    width = 2 * members + 1
+    table = spark.range((members + 1) * width).select("id", F.coalesce(F.round(F.try_divide(F.floor(F.col("id") / width), F.col("id") % width), digits), F.lit(0.0)).alias("j"))
+    return F.get(F.array(*(F.lit(r.j) for r in sorted(table.collect()))), (shared * width + union).cast("int"))
+
+
+def _bitmap_pairs(sets: DataFrame, key: str, least: int, queries: Column | None, names: list, work: Workspace, absent: bool, digits: int | None) -> DataFrame:
+    """What ``set_similarity`` gives, by comparing all pairs as bitmaps: no pair is shuffled.
+
+    ``absent``: also the pairs that share nothing, and each query with itself.
+    """
+    rows = work.table(_bitmaps(sets, key, names))
+    words = [c for c in rows.columns if c.startswith("w")]
+    a = (rows if queries is None else rows.filter(queries)).select(F.col(key).alias("a"), F.col("n").alias("na"), *(F.col(w).alias(f"a{w}") for w in words))
+    if a.count() * (len(words) + 2) <= BROADCAST_NUMBERS:
+        a = F.broadcast(a)
+    # the side of all keys is dealt out; the other comes whole to each of its parts
+    tasks = sets.sparkSession.sparkContext.defaultParallelism * 4
+    b = rows.repartition(tasks, key).select(F.col(key).alias("b"), F.col("n").alias("nb"), *(F.col(w).alias(f"b{w}") for w in words))
+    shared = sum((F.bit_count(F.col(f"a{w}").bitwiseAND(F.col(f"b{w}"))).cast("long") for w in words), F.lit(0).cast("long"))
+    if absent:
+        met = b.join(a, F.col("a") <= F.col("b")) if queries is None else b.crossJoin(a)
+        met = met.withColumn("shared", shared)
+    else:
+        met = b.join(a, (F.col("a") < F.col("b") if queries is None else F.col("a") != F.col("b")) & (shared > 0)).withColumn("shared", shared)
+    j = _share(sets.sparkSession, F.col("shared"), F.col("na") + F.col("nb") - F.col("shared"), len(names), digits)
+    value = F.when(F.greatest("na", "nb") < least, 0.0).otherwise(j)
+    if absent:
+        value = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("b").isNull(), 0.0).otherwise(value)
+    return met.select("a", "b", "shared", value.alias("jaccard"))
+
+
+def _member_sets(members: DataFrame, key: str, member: str, work: Workspace) -> tuple[DataFrame, list | None]:
+    """The distinct members of each key (key, m), and all different members if they are few enough for bitmaps, else None."""
+    sets = work.table(members.select(F.col(key).alias(key), F.col(member).alias("m")).distinct())
+    names = [r.m for r in sets.select("m").filter("m IS NOT NULL").distinct().limit(BITMAP_MEMBERS + 1).collect()]
+    return sets, names if len(names) <= BITMAP_MEMBERS else None
+
+
+def set_similarity(members: DataFrame, key: str, member: str, least: int = 0, queries: Column | None = None, digits: int | None = None) -> DataFrame:
     """Jaccard similarity of the member sets of each two keys that share a member: a, b, shared, jaccard (a < b).
 
     0 where the larger set has fewer than ``least`` members. ``queries``, a condition on the key: only pairs of a query a
-    with any other key b.
+    with any other key b. Where few different members make nearly all pairs share one, the pairs are compared as bitmaps;
+    else they are met by their members.
     """
-    sets = members.select(F.col(key).alias(key), F.col(member).alias("m")).filter("m IS NOT NULL").distinct()
+    work = Workspace(members.sparkSession, "sets")
+    sets, names = _member_sets(members, key, member, work)
+    if names is not None:
+        return _bitmap_pairs(sets, key, least, queries, names, work, False, digits)
+    sets = sets.filter("m IS NOT NULL")
     sized = sets.join(sets.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
     a = (sized if queries is None else sized.filter(queries)).select(F.col(key).alias("a"), "m", F.col("n").alias("na"))
     b = sized.select(F.col(key).alias("b"), "m", F.col("n").alias("nb"))
     shared = a.join(b, "m").filter("a < b" if queries is None else "a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+    j = j if digits is None else F.round(j, digits)
     return shared.select("a", "b", "shared", F.when(F.greatest("na", "nb") < least, 0.0).otherwise(j).alias("jaccard"))
 
 
+def set_matrix(members: DataFrame, key: str, member: str, least: int = 0, queries: Column | None = None, digits: int | None = None) -> DataFrame:
+    """``similarity_matrix`` of ``set_similarity`` in one pass where the sets are bitmaps: a, b, jaccard."""
+    work = Workspace(members.sparkSession, "sets")
+    sets, names = _member_sets(members, key, member, work)
+    if names is None:
+        return similarity_matrix(set_similarity(members, key, member, least, queries, digits), members, key, queries)
+    return _bitmap_pairs(sets, key, least, queries, names, work, True, digits).select("a", "b", "jaccard")
+
+
 def similarity_matrix(similar: DataFrame, keys: DataFrame, key: str, queries: Column | None = None) -> DataFrame:
     """Every unordered pair of keys (of each query with any key) with its similarity, 0 where absent, 1 with itself: a, b, jaccard."""
     k = keys.select(key).distinct()

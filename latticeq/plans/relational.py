@@ -225,15 +225,13 @@ def _sets(spark, d):
 @query(f"WITH {SETS} SELECT a, b, shared, round(jaccard, 6) AS jaccard FROM sim")
 def jaccard_pairs(spark, d):
     """Similarity of the brand sets of the query customers (numbers divisible by 100) with those of all others."""
-    return counting.set_similarity(_sets(spark, d), "o_custkey", "p_brand", 10, _queried()).withColumn("jaccard", F.round("jaccard", 6))
+    return counting.set_similarity(_sets(spark, d), "o_custkey", "p_brand", 10, _queried(), 6)
 
 
 @query(f"WITH {SETS}, k AS (SELECT DISTINCT k FROM m) SELECT x.k AS a, y.k AS b, CASE WHEN x.k = y.k THEN 1.0::DOUBLE ELSE round(coalesce(jaccard, 0), 6) END AS jaccard FROM k x JOIN k y ON x.k % 100 = 0 LEFT JOIN sim ON sim.a = x.k AND sim.b = y.k")
 def jaccard_matrix(spark, d):
     """Each query customer with every customer that has orders."""
-    sets = _sets(spark, d)
-    out = counting.similarity_matrix(counting.set_similarity(sets, "o_custkey", "p_brand", 10, _queried()), sets, "o_custkey", _queried())
-    return out.withColumn("jaccard", F.round("jaccard", 6))
+    return counting.set_matrix(_sets(spark, d), "o_custkey", "p_brand", 10, _queried(), 6)
 
 
 @query("""SELECT DISTINCT a.l_orderkey, concat_ws('_', a.l_suppkey, b.l_suppkey, b.l_linenumber - a.l_linenumber) AS pair_key

@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from latticeq.operators import chains
+from latticeq.operators import chains, counting
 
 
 def plan(df) -> str:
@@ -37,3 +38,22 @@ def test_best_windows_by_blocks_and_pieces(spark, monkeypatch):
         assert got == want
     monkeypatch.setattr(chains, "PIECE", 1024)
     assert "hashpartitioning(a" not in plan(chains.best_window(df, df, "chain", "pos", "w", 3))
+
+
+def test_similar_sets_as_bitmaps_and_by_members(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for members in (20, 150):
+        sets = {k: set(rng.integers(0, members, int(rng.integers(1, 40))).tolist()) for k in range(60)} | {60: set()}
+        df = spark.createDataFrame([(k, m) for k, s in sets.items() for m in s or {None}], "k long, m long")
+        query = F.col("k") % 10 == 0
+        want = {(a, b): round(len(s & t) / max(1, len(s | t)), 6) if max(len(s), len(t)) >= 10 else 0.0 for a, s in sets.items() for b, t in sets.items()}
+        pairs = {(a, b): (len(sets[a] & sets[b]), want[a, b]) for a, b in want if sets[a] & sets[b]}
+        for most in (1024, 3):
+            monkeypatch.setattr(counting, "BITMAP_MEMBERS", most)
+            some, every = counting.set_similarity(df, "k", "m", 10, query, 6), counting.set_similarity(df, "k", "m", 10, None, 6)
+            assert {(r.a, r.b): (r.shared, r.jaccard) for r in some.collect()} == {k: v for k, v in pairs.items() if k[0] % 10 == 0 and k[0] != k[1]}
+            assert {(r.a, r.b): (r.shared, r.jaccard) for r in every.collect()} == {k: v for k, v in pairs.items() if k[0] < k[1]}
+            matrix = counting.set_matrix(df, "k", "m", 10, query, 6).collect()
+            assert {(r.a, r.b): r.jaccard for r in matrix} == {(a, b): 1.0 if a == b else x for (a, b), x in want.items() if a % 10 == 0}
+            assert len(matrix) == 7 * 61
+            assert ("hashpartitioning(a" in plan(some)) == (most == 3)
