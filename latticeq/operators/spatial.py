@@ -22,7 +22,7 @@ def cell_columns(axes, width) -> list[Column]:
     return [F.floor(F.col(a) / F.lit(width)).cast("long").alias(f"__c{i}") for i, a in enumerate(axes)]
 
 
-def _around(df: DataFrame, axes, width: float) -> DataFrame:
+def surrounded(df: DataFrame, axes, width: float) -> DataFrame:
     """Rows copied to their own and all neighbouring cells."""
     out = df.select("*", *cell_columns(axes, width))
     for i in range(len(axes)):
@@ -53,7 +53,7 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, axes=XYZ, withi
     """
     a, b = prefixed(left, "l_"), prefixed(right, "r_")
     wide = a.select("*", *cell_columns([f"l_{x}" for x in axes], radius))
-    copies = _around(b, [f"r_{x}" for x in axes], radius)
+    copies = surrounded(b, [f"r_{x}" for x in axes], radius)
     near = F.lit(True)
     if box:
         for x in axes:

@@ -7,7 +7,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from latticeq.operators import chains, counting
+from latticeq.functions import geometry as g
+from latticeq.operators import chains, counting, interface
 
 
 def plan(df) -> str:
@@ -57,3 +58,23 @@ def test_similar_sets_as_bitmaps_and_by_members(spark, monkeypatch):
             assert {(r.a, r.b): r.jaccard for r in matrix} == {(a, b): 1.0 if a == b else x for (a, b), x in want.items() if a % 10 == 0}
             assert len(matrix) == 7 * 61
             assert ("hashpartitioning(a" in plan(some)) == (most == 3)
+
+
+def test_bonds_by_blocks_and_their_sums(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    point = lambda at: tuple(map(float, at + rng.normal(size=3)))
+    rows = [(i, i % 3 > 0, *(point(np.array([0.5 * (i % 5), 0.0, 9.0 * (i > 50)])) for _ in range(5))) for i in range(70)]
+    rows[4] = (*rows[4][:6], None)  # no hydrogen
+    df = spark.createDataFrame(rows, "id long, binder boolean, " + ", ".join(f"{a} struct<x:double,y:double,z:double>" for a in ("n", "ca", "c", "o", "h")))
+    e = g.hbond_energy(*(F.col(f"x.{a}") for a in ("n", "h", "c", "o")), F.col("y.ca"), F.col("y.c"), F.col("y.o"))
+    met = df.alias("x").crossJoin(df.alias("y")).filter((F.col("x.id") != F.col("y.id")) & (F.col("x.binder") | F.col("y.binder")) & F.col("x.h").isNotNull() & (g.distance(F.col("x.ca"), F.col("y.ca")) <= 3))
+    want = {(r.d, r.a): r.e for r in met.select(F.col("x.id").alias("d"), F.col("y.id").alias("a"), e.alias("e")).collect() if r.e < g.HBOND_CUT}
+    for block, shares in ((512, 8), (4, 3)):
+        monkeypatch.setattr(interface, "BLOCK", block)
+        monkeypatch.setattr(interface, "SHARES", shares)
+        rows = interface.hydrogen_bonds(df, 3.0).collect()
+        got = {(r.donor, r.acceptor): r.energy for r in rows}
+        assert len(want) > 20 and len(rows) == len(want) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        sums = interface.hydrogen_bond_sums(df, 3.0).collect()
+        assert sum(r.n for r in sums) == len(want) and abs(sum(r.energy for r in sums) - sum(want.values())) < 1e-9
+        assert {r.donor for r in sums} - {None} == {d for d, _ in want} and {r.acceptor for r in sums} - {None} == {a for _, a in want}
