@@ -92,25 +92,15 @@ def shard_counts(quota: np.ndarray, slots: int, shard: int, seed: int) -> tuple[
     return before, rest
 
 
-def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2, block: int = BLOCK, seed: int = 17,
-) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, taken.
-
-    Sources by code point, null last, get the weights in turn and share ``share`` times all words; a target stops at
-    ``limit`` times its source's size. ``taken`` counts the document's words in the mix, repeats included; no document
-    exceeds ``limit`` rounded up times its size. Null or blank texts have size 0 and are taken 0 times; a null source is
-    a source of its own. Repeated rows count each; documents stand in their source's stream by identifier, then by text.
-    A text of any length is so many blocks. An empty table gives an empty result; other columns are ignored whatever
-    their names. A source of few words gets shorter blocks (its size / 128), so that rounding to whole blocks stays below
-    one percent of its target. Reruns give the same result: all draws are seeded. More than ``MAX_SOURCES`` sources: an
-    error.
-    """
+def _laid_out(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, limit: float, block: int, seed: int, texts: bool,
+) -> tuple[DataFrame, DataFrame]:
+    """Documents with their place in their source's stream (``texts``: and their text), and the mix's slots: shard, slot, idx, at."""
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
     text = F.col(f"`{text_col}`").cast("string")
-    sized = work.table(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("body")))
+    more = ["text"] if texts else []
+    sized = work.table(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("body"), *(text.alias(c) for c in more)))
     totals = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -124,14 +114,14 @@ def mix_sources(
         [(i, r.source, words[i], target[i], length[i], max(1, -(-r.n // CHUNK))) for i, r in enumerate(totals)],
         "idx int, source string, source_size long, target double, block int, chunks long",
     )
-    known = sized.join(F.broadcast(facts), sized.source.eqNullSafe(facts.source)).select("id", facts.source, "size", "idx", "source_size", "target", "block", "body", F.pmod(F.xxhash64("id", "body", F.lit(seed)), F.col("chunks")).alias("chunk"))
+    known = sized.join(F.broadcast(facts), sized.source.eqNullSafe(facts.source)).select("id", facts.source, "size", "idx", "source_size", "target", "block", "body", *more, F.pmod(F.xxhash64("id", "body", F.lit(seed)), F.col("chunks")).alias("chunk"))
 
     # where each document begins in its source's stream: sums over chunks, then within each
     sums = known.groupBy("idx", "chunk").agg(F.sum("size").alias("chunk_words"))
     sums = sums.select("idx", "chunk", (F.sum("chunk_words").over(Window.partitionBy("idx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("chunk_words")).alias("before"))
     inside = Window.partitionBy("idx", "chunk").orderBy(F.col("id").asc_nulls_last(), "body").rowsBetween(Window.unboundedPreceding, 0)
     placed = known.withColumn("end", F.sum("size").over(inside)).join(sums, ["idx", "chunk"]).withColumn("start", F.col("before") + F.col("end") - F.col("size"))
-    placed = work.table(placed.select("id", "source", "size", "idx", "source_size", "target", "block", "start"))
+    placed = work.table(placed.select("id", "source", "size", "idx", "source_size", "target", "block", "start", *more))
 
     counts = np.array(quota, np.int64)
     shards = spark.range(-(-sum(quota) // SHARD_SLOTS)).repartition("id")
@@ -140,17 +130,64 @@ def mix_sources(
         for batch in batches:
             for shard in batch.column("id").to_pylist():
                 before, n = shard_counts(counts, SHARD_SLOTS, shard, seed)
+                total, first = int(n.sum()), 0
                 for i in np.flatnonzero(n).tolist():
                     k = before[i] + np.arange(n[i])
-                    got, times = np.unique(permute(k % blocks[i], blocks[i], seed * 1_000_003 + i), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), i, np.int32)), pa.array(got), pa.array(times)], names=["idx", "at", "times"])
+                    at = permute(k % blocks[i], blocks[i], seed * 1_000_003 + i)
+                    # the sources' slots are scattered over the shard
+                    slot = permute(first + np.arange(n[i]), total, seed * 1_000_003 + shard)
+                    first += int(n[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int64)), pa.array(slot), pa.array(np.full(len(at), i, np.int32)), pa.array(at)], names=["shard", "slot", "idx", "at"])
+
+    return placed, shards.mapInArrow(lean(picks), "shard long, slot long, idx int, at long")
 
-    taken = shards.mapInArrow(lean(picks), "idx int, at long, times long").groupBy("idx", "at").agg(F.sum("times").alias("times"))
+
+def _by_block(placed: DataFrame) -> DataFrame:
+    """Documents of positive size, once for each block that they reach into (``at``), with the words of theirs in it (``part``)."""
     over = placed.filter("size > 0").withColumn("at", F.explode(F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block")))))
     part = F.least(F.col("start") + F.col("size"), (F.col("at") + 1) * F.col("block")) - F.greatest(F.col("start"), F.col("at") * F.col("block"))
+    return over.withColumn("part", part)
+
+
+def mixed_texts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2, block: int = BLOCK, seed: int = 17,
+) -> DataFrame:
+    """The mix itself: shard, slot, nth, id, source, words (the piece's words, one space between).
+
+    A slot is a block of one source; its pieces are of the documents that the block spans, in the order ``nth``. The mix
+    reads by shard, slot and nth. Parameters as in ``mix_sources``, whose ``taken`` counts these words.
+    """
+    placed, slots = _laid_out(docs, id_col, text_col, source_col, weights, share, limit, block, seed, True)
+    over = _by_block(placed)
+    skipped = F.greatest(F.lit(0), F.col("at") * F.col("block") - F.col("start"))
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), skipped.cast("int") + 1, F.col("part").cast("int")), " ")
+    nth = F.row_number().over(Window.partitionBy("idx", "at").orderBy("start")).cast("long")
+    pieces = over.select("idx", "at", nth.alias("nth"), F.col("id").alias(id_col), F.col("source").alias(source_col), words.alias("words"))
+    return slots.hint("merge").join(pieces, ["idx", "at"]).select("shard", "slot", "nth", id_col, source_col, "words")
+
+
+def mix_sources(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2, block: int = BLOCK, seed: int = 17,
+) -> DataFrame:
+    """One row per input row: id, source, size, source_size, target, taken.
+
+    Sources by code point, null last, get the weights in turn and share ``share`` times all words; a target stops at
+    ``limit`` times its source's size. ``taken`` counts the document's words in the mix, repeats included; no document
+    exceeds ``limit`` rounded up times its size. Null or blank texts have size 0 and are taken 0 times; a null source is
+    a source of its own. Repeated rows count each; documents stand in their source's stream by identifier, then by text.
+    A text of any length is so many blocks. An empty table gives an empty result; other columns are ignored whatever
+    their names. A source of few words gets shorter blocks (its size / 128), so that rounding to whole blocks stays below
+    one percent of its target. Reruns give the same result: all draws are seeded. ``mixed_texts`` gives the words
+    themselves, from the same slots. More than ``MAX_SOURCES`` sources: an
+    error.
+    """
+    placed, slots = _laid_out(docs, id_col, text_col, source_col, weights, share, limit, block, seed, False)
+    taken = slots.groupBy("idx", "at").agg(F.count(F.lit(1)).alias("times"))
     # (source, start) names a row of positive size, repeated rows included; what was drawn grows with the corpus, though
     # the range of shards that it comes from looks small to the planner, so it is never the broadcast side
-    mixed = over.withColumn("part", part).join(taken.hint("merge"), ["idx", "at"], "left").groupBy("idx", "start", "id", "source", "size", "source_size", "target").agg(F.sum(F.col("part") * F.coalesce("times", F.lit(0))).alias("taken"))
+    mixed = _by_block(placed).join(taken.hint("merge"), ["idx", "at"], "left").groupBy("idx", "start", "id", "source", "size", "source_size", "target").agg(F.sum(F.col("part") * F.coalesce("times", F.lit(0))).alias("taken"))
     columns = [F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
     return mixed.select(*columns).unionAll(placed.filter("size = 0").withColumn("taken", F.lit(0)).select(*columns))
 

@@ -532,3 +532,25 @@ def test_mix_words(docs):
         taken[r.source] += r.taken
     for r in rows:
         assert abs(taken[r.source] - r.target) <= 0.02 * r.target
+
+
+def test_mixed_texts_are_what_the_mix_takes(spark):
+    rows = [(i, f"w{i}a  w{i}b\t" * (1 + i * 7 % 40), "abc"[i % 3] if i % 4 else None) for i in range(120)] + [(500, None, "a"), (501, " ", "b"), (7, "x y z", "a"), (7, "x y z", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = mixing.mixed_texts(docs, block=16).collect()
+    got: dict = {}
+    for r in pieces:
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len(r.words.split())
+    taken: dict = {}
+    for r in mixing.mix_sources(docs, block=16).collect():
+        if r.taken:
+            taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + r.taken
+    assert got == taken
+    texts = {}
+    for i, text, source in rows:
+        texts.setdefault((i, source), set()).add(" ".join((text or "").split()))
+    assert all(any(f" {r.words} " in f" {t} " for t in texts[r.doc_id, r.source]) for r in pieces)
+    slots = {(r.shard, r.slot) for r in pieces}
+    assert len(slots) == max(s for _, s in slots) + 1  # one shard, every slot filled
+    sources = [r.source for r in sorted(pieces, key=lambda r: (r.shard, r.slot, r.nth))]
+    assert len(set(sources[: len(sources) // 8])) == 4  # scattered
