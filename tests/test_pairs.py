@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from latticeq.functions import geometry as g
-from latticeq.operators import chains, counting, interface
+from latticeq.operators import chains, counting, grouped, interface
 
 
 def plan(df) -> str:
@@ -78,3 +78,23 @@ def test_bonds_by_blocks_and_their_sums(spark, monkeypatch):
         sums = interface.hydrogen_bond_sums(df, 3.0).collect()
         assert sum(r.n for r in sums) == len(want) and abs(sum(r.energy for r in sums) - sum(want.values())) < 1e-9
         assert {r.donor for r in sums} - {None} == {d for d, _ in want} and {r.acceptor for r in sums} - {None} == {a for _, a in want}
+
+
+def test_overlaps_are_asked_only_of_like_sizes(spark):
+    rng = np.random.default_rng(4)
+    v = {i: (rng.normal(size=(5, 3)) * (1 + i % 4)).ravel() for i in range(40)}
+    v[1][-9:] = v[0][:9] + 5  # shifted: superposes
+    v[2][-9:] = v[0][:9] * 1.05
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "id long, v array<double>")
+    far = {(a, b): grouped.superposed_rmsd(v[a][:9].reshape(-1, 3), v[b][-9:].reshape(-1, 3)) for a in v for b in v}
+    out = grouped.overlap_edges(df, "id", "v", 3, 0.5)
+    got = {(r.src, r.dst): r.rmsd for r in out.collect()}
+    want = {k: x for k, x in far.items() if x <= 0.5}
+    assert (0, 1) in want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert "BroadcastNestedLoopJoin" in plan(out) and "abs(" in plan(out)
+    out = grouped.overlap_edges(df, "id", "v", 2, 0.5)
+    far = {(a, b): grouped.superposed_rmsd(v[a][:6].reshape(-1, 3), v[b][-6:].reshape(-1, 3)) for a in v for b in v}
+    got = {(r.src, r.dst): r.rmsd for r in out.collect()}
+    want = {k: x for k, x in far.items() if x <= 0.5}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert "Python" not in plan(out)
