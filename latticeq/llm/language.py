@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from latticeq.llm.shared import broadcast, lean, ship
+from latticeq.llm.shared import broadcast, lean, settle, ship
 from latticeq.llm.tokens import pieces, text_buffer
 
 #: Bytes of context. Labelled documents a language is learned from, about (chosen by hash; their whole texts are read).
@@ -157,8 +157,13 @@ def learn_languages(labelled: DataFrame, key: str, text_col: str = "text", lang_
     share = F.coalesce(*(F.when(F.col(lang_col) == x, F.lit(min(1.0, per_language / n))) for x, n in sizes.items()))
     chosen = known.filter(F.pmod(F.xxhash64(F.col(key), F.lit(41)), F.lit(1 << 20)) < share * (1 << 20))
     rows = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(lean(_grams(order)), "lang string, gram long, many long")
-    counts = rows.groupBy("lang", "gram").agg(F.sum("many").alias("many")).toPandas()
-    grams = {}
+    trees = _trees(rows.groupBy("lang", "gram").agg(F.sum("many").alias("many")), order)
+    settle(labelled.sparkSession, 0)  # the tables that the trees were made from are many times as large
+    return trees
+
+
+def _trees(rows: DataFrame, order: int) -> ContextTrees:
+    grams, counts = {}, rows.toPandas()
     for lang, part in counts.groupby("lang"):
         part = part.assign(gram=part["gram"].to_numpy(np.int64).view(np.uint64)).sort_values("gram")
         grams[lang] = (part["gram"].to_numpy(np.uint64), part["many"].to_numpy(np.int64))

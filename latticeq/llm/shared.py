@@ -5,14 +5,24 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeq.staging import Workspace, ship
+from latticeq import staging
+from latticeq.staging import ship
 
-__all__ = ["Workspace", "bitmap", "broadcast", "lean", "marked", "most_frequent", "ship"]
+__all__ = ["Workspace", "bitmap", "broadcast", "lean", "marked", "most_frequent", "settle", "ship"]
+
+
+def trim() -> None:
+    """Give what this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def lean(run):
@@ -20,14 +30,38 @@ def lean(run):
 
     def whole(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     return whole
 
 
+#: Seconds between two collections of the driver's garbage, at least.
+SETTLE_SECONDS = 5
+_settled = 0.0
+
+
+def settle(spark: SparkSession, every: float = SETTLE_SECONDS) -> None:
+    """Give back what the driver no longer needs, its Python's and its JVM's, unless that was done ``every`` seconds ago or less.
+
+    An operator of many steps leaves plans, generated classes and broadcasts, for which the JVM's heap grows to its bound
+    before it looks for them; a whole collection also shrinks the heap, and lets Spark clean up behind what is gone.
+    """
+    global _settled
+    if time.monotonic() - _settled >= every:
+        trim()
+        spark.sparkContext._jvm.System.gc()
+        _settled = time.monotonic()
+
+
+class Workspace(staging.Workspace):
+    """Tables between the steps of an operator; the driver's garbage goes between them."""
+
+    def table(self, df: DataFrame) -> DataFrame:
+        out = super().table(df)
+        settle(self.spark)
+        return out
+
+
 def broadcast(spark: SparkSession, value):
     """A broadcast of a value of this package's classes, which the executors can read."""
     ship(spark)

@@ -106,3 +106,18 @@ def test_run(spark, docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, kept, SF)
     assert {r.doc_id for r in rows} == {r.doc_id for r in kept.select("doc_id").collect()} and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_the_drivers_garbage_goes_between_steps(spark, docs):
+    """What a step leaves on the heap of the driver's JVM is collected before the next one, not when the heap is full."""
+    from latticeq.llm import shared
+
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: (runtime.totalMemory() - runtime.freeMemory()) >> 20
+    work = shared.Workspace(spark, "garbage")
+    shared._settled = 0.0
+    for _ in range(8):
+        spark.sparkContext._gateway.new_array(spark._jvm.long, 2 << 20)
+    before = used()
+    work.table(docs.select("doc_id"))
+    assert used() < before - 64
