@@ -84,6 +84,8 @@ def merge_last_wins(parts: list[DataFrame], key: str) -> DataFrame:
 def cross_pairs(a: DataFrame, b: DataFrame, key: str, symmetric: bool = False) -> DataFrame:
     """Ordered pairs of keys: all of a with others of a (symmetric), or a with b and b with a."""
     x, y = a.select(F.col(key).alias("first")), (a if symmetric else b).select(F.col(key).alias("second"))
+    # the keys lie in few files, their pairs are many: one side is dealt out to all cores
+    x = x.repartition(a.sparkSession.sparkContext.defaultParallelism * 4)
     pairs = x.crossJoin(y).filter("first <> second")
     return pairs if symmetric else pairs.unionAll(pairs.select("second", "first"))
 

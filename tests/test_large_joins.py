@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from latticeq.operators import interface
+from latticeq.operators import interface, selection
 
 
 def test_unlike_windows(spark):
@@ -27,3 +27,10 @@ def test_unlike_windows(spark):
         assert got == want and got
     # no text goes through the join of all pairs
     assert "substr" not in interface.unlike_windows(df, "key", "s", F.lit(True), [(0, 0)], 3, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cross_pairs_use_all_cores(spark):
+    a, b = spark.range(0, 9, numPartitions=1), spark.range(9, 12, numPartitions=1)
+    out = selection.cross_pairs(a, b, "id")
+    assert sorted(map(tuple, out.collect())) == sorted([(x, y) for x in range(9) for y in range(9, 12)] + [(y, x) for x in range(9) for y in range(9, 12)])
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
