@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from latticeq.operators import interface, selection
+from latticeq.operators import grouped, interface, selection
 
 
 def test_unlike_windows(spark):
@@ -34,3 +35,41 @@ def test_cross_pairs_use_all_cores(spark):
     out = selection.cross_pairs(a, b, "id")
     assert sorted(map(tuple, out.collect())) == sorted([(x, y) for x in range(9) for y in range(9, 12)] + [(y, x) for x in range(9) for y in range(9, 12)])
     assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_points_within():
+    """As one superposition at a time has it: also mirror images, points on a line or in one place, equal ones and other sizes."""
+    rng = np.random.default_rng(5)
+    p, q = rng.normal(size=(60, 21)), rng.normal(size=(50, 21))
+    q[:20] = p[:20] + rng.normal(size=(20, 21)) * rng.uniform(0, 0.6, (20, 1))
+    q[20:25] = (p[20:25].reshape(5, 7, 3) * [1, 1, -1]).reshape(5, 21)
+    q[25:30] = p[25:30]
+    q[30:34, 3:] = np.tile(q[30:34, :3], 6)
+    p[30:34] = np.outer(rng.normal(size=4), np.arange(21) // 3 * 1.0)
+    for cutoff in (0.0, 0.3, 0.6, 1.0, 1.4):
+        want = np.array([[grouped.superposed_rmsd(x.reshape(-1, 3), y.reshape(-1, 3)) for y in q] for x in p])
+        got = grouped.points_within(p, q, cutoff)
+        assert (got == (want <= cutoff))[np.abs(want - cutoff) > 1e-7].all()
+        want = np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2))
+        assert (grouped.points_within(p, q, cutoff * 4, superpose=False) == (want <= cutoff * 4)).all()
+
+
+def test_greedy_clusters_measure_equal_points_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.normal(size=(40, 12))] * 5)
+    points[:40] += rng.normal(size=(40, 12)) * 0.2
+    asked = []
+    real = grouped.points_within
+    monkeypatch.setattr(grouped, "points_within", lambda p, q, *a: asked.append(len(p) * len(q)) or real(p, q, *a))
+    cluster, head = grouped._greedy(points, 0.7, 0.9, True)
+    assert max(asked) <= 80 * 80
+    d = np.array([[grouped.superposed_rmsd(x.reshape(-1, 3), y.reshape(-1, 3)) for y in points] for x in points]) <= 0.7
+    np.fill_diagonal(d, True)
+    free, number = np.ones(200, bool), 0
+    while free.any():
+        best = int(np.where(free, (d & free).sum(axis=1), -1).argmax()) if 1 - free.mean() < 0.9 else int(np.flatnonzero(free)[0])
+        members = d[best] & free if 1 - free.mean() < 0.9 else np.arange(200) == best
+        assert (cluster[members] == number).all() and head[best]
+        free &= ~members
+        number += 1
+    assert cluster.max() == number - 1 and head.sum() == number
