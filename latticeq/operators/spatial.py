@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeq.functions.geometry import circular_deviation
-from latticeq.staging import Workspace
+from latticeq.staging import Workspace, ship
 
 XYZ = ("x", "y", "z")
 
@@ -70,6 +72,76 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, axes=XYZ, withi
     return out.select(*a.columns, *b.columns) if how == "inner" else out.select(*(F.col(f"l_{c}").alias(c) for c in left.columns))
 
 
+#: Rows of a block of vectors, of those measured at once, and tasks that the blocks of one crowded cell are shared out to.
+VECTORS, AT_ONCE, VECTOR_SHARES = 2048, 512, 16
+
+
+def _close_vectors(p: np.ndarray, q: np.ndarray, box: int, half: float, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in p (m, d) and q (k, d) of pairs in one box and at most ``most`` apart, and their distances."""
+    found = []
+    for lo in range(0, len(p), AT_ONCE):
+        for at in range(0, len(q), AT_ONCE):
+            x, y = p[lo : lo + AT_ONCE], q[at : at + AT_ONCE]
+            size = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+            # a product leaves out nearly all; those left are measured number by number
+            near = size - 2 * (x @ y.T) <= most * most + 1e-9 * (size + most * most)
+            for k in range(box):
+                near &= np.abs(x[:, k, None] - y[None, :, k]) <= half
+            i, j = np.nonzero(near)
+            d2 = np.zeros(len(i))
+            for k in range(p.shape[1]):
+                step = x[i, k] - y[j, k]
+                d2 += step * step
+            d = np.sqrt(d2)
+            i, j, d = i[d <= most], j[d <= most], d[d <= most]
+            found.append((i + lo, j + at, d))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def vector_pairs(df: DataFrame, key: str, vector: str, box: int, half: float, most: float) -> DataFrame:
+    """Pairs of vectors of one length, at most ``half`` apart in each of the first ``box`` (2 or more) numbers and ``most`` in all: a, b, distance.
+
+    a < b. Vectors meet in blocks by cells of their first two numbers, each pair of neighbouring cells once; only pairs
+    of the result leave a task. Vectors with a null, and null keys, meet none.
+    """
+    ship(df.sparkSession)
+    kind = df.schema[key].dataType.simpleString()
+    cell = [F.floor(F.element_at(vector, i + 1).cast("double") / F.lit(half)).cast("long").alias(f"__c{i}") for i in range(2)]
+    whole = df.filter(F.col(key).isNotNull() & (F.size(vector) >= box) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
+    rows = whole.select(F.struct(F.col(key).alias("key"), F.col(vector).alias("v")).alias("row"), F.size(vector).alias("__n"), *cell)
+    keys = ["__n", "__c0", "__c1"]
+    # a cell's own rows, and those of the four neighbours that come after it
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1), (1, -1))))
+    around = rows.withColumn("__s", F.explode(steps)).select("row", "__n", *((F.col(c) - F.col("__s")[x]).alias(c) for c, x in (("__c0", "i"), ("__c1", "j"))), ((F.col("__s.i") == 0) & (F.col("__s.j") == 0)).alias("own"))
+    blocks = lambda of, n: of.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / VECTORS).alias(n))
+    part = lambda n: F.pmod(F.xxhash64("row.key"), F.col(n)).alias("part")
+    sizes = blocks(rows, "nl").withColumn("shares", F.least(F.lit(VECTOR_SHARES), "nl"))
+    left = rows.join(sizes, keys).groupBy(*keys, "shares", part("nl")).agg(F.collect_list("row").alias("l")).select(*keys, F.pmod("part", "shares").cast("int").alias("share"), "l")
+    right = around.join(blocks(around, "nr"), keys).groupBy(*keys, "own", part("nr")).agg(F.collect_list("row").alias("r"))
+    right = right.join(sizes, keys).select(*keys, "own", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("share"), "r")
+    tasks = df.sparkSession.sparkContext.defaultParallelism * 4
+    met = left.repartition(tasks, *keys, "share").join(right.repartition(tasks, *keys, "share").hint("shuffle_hash"), [*keys, "share"]).select("own", "l", "r")
+
+    def block(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        held = column.flatten()
+        names, v = held.field("key"), held.field("v")
+        return names, names.to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(names), -1)
+
+    def run(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                (a, ka, p), (b, kb, q) = (block(batch.column(c).slice(n, 1)) for c in ("l", "r"))
+                i, j, d = _close_vectors(p, q, box, half, most)
+                first, last = ka[i] < kb[j], ka[i] > kb[j]
+                if batch.column("own")[n].as_py():  # the pair comes the other way round too
+                    last = np.zeros(len(i), bool)
+                for some, x, at, y, to in ((first, a, i, b, j), (last, b, j, a, i)):
+                    if some.any():
+                        yield pa.RecordBatch.from_arrays([x.take(pa.array(at[some])), y.take(pa.array(to[some])), pa.array(d[some])], names=["a", "b", "distance"])
+
+    return met.mapInArrow(run, f"a {kind}, b {kind}, distance double")
+
+
 def radius_pairs(atoms: DataFrame, largest: float, factor: float = 1.0, radius: str = "radius", axes=XYZ, valid: Column | None = None) -> DataFrame:
     """Pairs of atoms closer than ``factor`` times the sum of their radii (each pair in both orders).
 

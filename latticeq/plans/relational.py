@@ -154,14 +154,8 @@ def neighbor_shell(spark, d):
 SELECT a, b, round(sqrt(d2), 6) AS distance FROM c WHERE sqrt(d2) <= 1.3""")
 def candidate_verify(spark, d):
     """Pairs in one box of three coordinates, then by the distance in all 64."""
-    e = table(spark, d, "embeddings")
-    box = e.select("vec_id", *(F.element_at("embedding", i + 1).cast("double").alias(a) for i, a in enumerate("xyz")))
-    pairs = spatial.range_join(box, box, 0.08, box=True, within=F.col("l_vec_id") < F.col("r_vec_id")).select(F.col("l_vec_id").alias("a"), F.col("r_vec_id").alias("b"))
-    # only identifiers go through the grid; the vectors come in for what is left
-    v, w = (e.select(F.col("vec_id").alias(n), F.col("embedding").cast("array<double>").alias(f"v{n}")) for n in "ab")
-    d2 = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
-    far = pairs.join(v, "a").join(w, "b").select("a", "b", F.sqrt(d2).alias("far"))
-    return far.filter("far <= 1.3").select("a", "b", F.round("far", 6).alias("distance"))
+    pairs = spatial.vector_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 3, 0.08, 1.3)
+    return pairs.select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 HIST = """h AS (SELECT l_returnflag, greatest(0, least(9, CAST(floor((l_quantity - 1) / ((51 - 1) / 10.0::DOUBLE)) AS BIGINT))) AS i, greatest(0, least(4, CAST(floor((l_discount - 0) / ((0.1::DOUBLE - 0) / 5)) AS BIGINT))) AS j, count(*) AS n FROM lineitem GROUP BY ALL),

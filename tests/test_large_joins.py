@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from latticeq.operators import grouped, interface, selection
+from latticeq.operators import grouped, interface, selection, spatial
 
 
 def test_unlike_windows(spark):
@@ -73,3 +73,18 @@ def test_greedy_clusters_measure_equal_points_once(spark, monkeypatch):
         free &= ~members
         number += 1
     assert cluster.max() == number - 1 and head.sum() == number
+
+
+def test_vector_pairs(spark, monkeypatch):
+    """Crowded cells in several blocks, negative cells, other lengths, nulls; no vector is joined to a pair."""
+    monkeypatch.setattr(spatial, "VECTORS", 16)
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(scale=0.1, size=(150, 5)), np.zeros((40, 5))]).astype(np.float32)
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(500, [0.0] * 4), (501, [0.0] * 4), (502, None), (503, [0.0, 0.0, 0.0, None, 0.0]), (504, [0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    out = spatial.vector_pairs(df, "id", "v", 3, 0.08, 0.25)
+    w = v.astype(float)
+    want = {(a, b) for a in range(190) for b in range(a + 1, 190) if (np.abs(w[a, :3] - w[b, :3]) <= 0.08).all() and np.sqrt(((w[a] - w[b]) ** 2).sum()) <= 0.25} | {(500, 501)}
+    got = [(r.a, r.b) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert all(abs(r.distance - np.sqrt(((w[r.a] - w[r.b]) ** 2).sum())) < 1e-12 for r in out.filter("a < 190").collect())
