@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,6 +156,61 @@ def set_similarity(members: DataFrame, key: str, member: str, least: int = 0, qu
     return shared.select("a", "b", "shared", F.when(F.greatest("na", "nb") < least, 0.0).otherwise(j).alias("jaccard"))
 
 
+#: Members in a task of ``similar_sets``, about, and pairs that it counts at once.
+GROUP_MEMBERS, PAIRS_AT_ONCE = 5_000_000, 4_000_000
+
+
+def similar_sets(members: DataFrame, key: str, member: str, share: float) -> DataFrame:
+    """``set_similarity`` of keys (longs) from ``share`` (above 0) on: a, b, shared, jaccard (a < b).
+
+    Members are dealt to groups. A pair of that similarity shares so many members that some group has its part of them, so
+    each task counts shared members of its own group and gives only such pairs on; these are compared as whole sets.
+    """
+    work = Workspace(members.sparkSession, "sets")
+    sets, names = _member_sets(members.filter(F.col(key).isNotNull()), key, member, work)
+    if names is not None:
+        return _bitmap_pairs(sets, key, 0, None, names, work, False, None).filter(F.col("jaccard") >= share)
+    sets = sets.filter("m IS NOT NULL")
+    entries = sets.count()
+    groups = max(min(8, entries // 100_000), -(-entries // GROUP_MEMBERS), 1)
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        held, k = np.unique(rows["k"].to_numpy(), return_inverse=True)
+        size = np.zeros(len(held), np.int64)
+        size[k] = rows["n"]
+        t = rows["t"].to_numpy()
+        order = np.lexsort((k, t))
+        k, t = k[order], t[order]
+        later = np.searchsorted(t, t, "right") - 1 - np.arange(len(t))
+        by = np.argsort(k, kind="stable")
+        # whole keys at a time, so that a pair is counted at once
+        ends = np.flatnonzero(np.append(np.diff(k[by]) != 0, True)) + 1
+        total = np.cumsum(later[by])
+        out, lo = [], 0
+        while lo < len(by):
+            full = np.searchsorted(total[ends - 1], (total[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")
+            hi = int(max(ends[full - 1] if full else 0, ends[np.searchsorted(ends, lo, "right")]))
+            at, many = by[lo:hi], later[by[lo:hi]]
+            other = np.repeat(at + 1 - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            met, times = np.unique(np.repeat(k[at], many) * len(held) + k[other], return_counts=True)
+            a, b = np.divmod(met, len(held))
+            enough = (times * groups >= share / (1 + share) * (size[a] + size[b]) - 1e-6) & (a != b)
+            out.append(np.stack([held[a[enough]], held[b[enough]]]))
+            lo = hi
+        a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": a, "b": b})
+
+    sized = sets.join(sets.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
+    rows = sized.select(F.col(key).cast("long").alias("k"), "n", F.xxhash64("m").alias("t")).withColumn("g", F.pmod("t", F.lit(groups)))
+    # more parts than groups, so that few groups share a task
+    pairs = work.table(rows.repartition(groups * 4, "g").groupBy("g").applyInPandas(meet, "a long, b long").distinct())
+    some = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
+    whole = work.table(sets.join(some, key, "left_semi").groupBy(key).agg(F.collect_list("m").alias("in")))
+    a, b = (whole.select(F.col(key).alias(x), F.col("in").alias(f"in_{x}")) for x in "ab")
+    shared = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("in_a").alias("na"), F.size("in_b").alias("nb"), F.size(F.array_intersect("in_a", "in_b")).cast("long").alias("shared"))
+    return shared.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard")).filter(F.col("jaccard") >= share)
+
+
 def set_matrix(members: DataFrame, key: str, member: str, least: int = 0, queries: Column | None = None, digits: int | None = None) -> DataFrame:
     """``similarity_matrix`` of ``set_similarity`` in one pass where the sets are bitmaps: a, b, jaccard."""
     work = Workspace(members.sparkSession, "sets")

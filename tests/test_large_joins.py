@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from latticeq.operators import grouped, interface, selection, spatial
+from latticeq.operators import counting, grouped, interface, selection, spatial
 
 
 def test_unlike_windows(spark):
@@ -88,3 +88,16 @@ def test_vector_pairs(spark, monkeypatch):
     got = [(r.a, r.b) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert all(abs(r.distance - np.sqrt(((w[r.a] - w[r.b]) ** 2).sum())) < 1e-12 for r in out.filter("a < 190").collect())
+
+
+def test_similar_sets(spark, monkeypatch):
+    """Members in several groups, pairs counted in several goes; those of ``set_similarity`` from the share on."""
+    monkeypatch.setattr(counting, "GROUP_MEMBERS", 900)
+    monkeypatch.setattr(counting, "PAIRS_AT_ONCE", 500)
+    monkeypatch.setattr(counting, "BITMAP_MEMBERS", 4)
+    rng = random.Random(9)
+    sets = {k: set(rng.sample(range(k // 10 * 60, k // 10 * 60 + 120), rng.randint(1, 60))) for k in range(120)}
+    df = spark.createDataFrame([(k, m) for k, s in sets.items() for m in s] + [(5, None), (None, 3)], "k long, m long")
+    got = {(r.a, r.b): (r.shared, r.jaccard) for r in counting.similar_sets(df, "k", "m", 0.25).collect()}
+    want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b}
+    assert got == {p: v for p, v in want.items() if v[1] >= 0.25} and len(got) > 20
