@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,54 +156,122 @@ def set_similarity(members: DataFrame, key: str, member: str, least: int = 0, qu
     return shared.select("a", "b", "shared", F.when(F.greatest("na", "nb") < least, 0.0).otherwise(j).alias("jaccard"))
 
 
-#: Members in a task of ``similar_sets``, about, and pairs that it counts at once.
-GROUP_MEMBERS, PAIRS_AT_ONCE = 5_000_000, 4_000_000
+#: Members in a group of ``similar_sets`` that it aims at (a task holds six times as many at most), and pairs that it counts at once.
+GROUP_MEMBERS, PAIRS_AT_ONCE = 1_000_000, 1_000_000
+#: Shared members that a similar pair has at least in some group; with fewer, too many others have them by chance.
+GROUP_SHARED = 6
+
+
+def _met_often(k: list, run: list, n: list, second: list, share: float, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of keys with enough shared members in one group, whose pieces (emptied here) come in the order of its members.
+
+    k: keys; run: numbers of members; n: sizes of the keys' whole sets; second: whether the key is in the second of two
+    blocks, whose keys meet those of the first alone.
+    """
+    held = np.unique(np.concatenate([np.unique(x) for x in k]))
+    size, late, rows, at = np.zeros(len(held), np.int64), np.zeros(len(held), bool), np.empty(sum(map(len, k)), np.int64), 0
+    for part in range(len(k)):
+        code = np.searchsorted(held, k[part])
+        size[code], late[code] = n[part], second[part]
+        rows[at : at + len(code)] = run[part].astype(np.int64) * len(held) + code
+        at += len(code)
+        k[part] = run[part] = n[part] = second[part] = None
+    if late.any():  # keys of the first block come first
+        order = np.argsort(late, kind="stable")
+        held, size, late, place = held[order], size[order], late[order], np.argsort(order)
+        rows += place[rows % len(held)] - rows % len(held)
+    rows.sort()
+    code = (rows % len(held)).astype(np.int32)
+    rows //= len(held)
+    ends = np.flatnonzero(np.append(np.diff(rows) != 0, True)) + 1
+    lengths = np.diff(ends, prepend=0)
+    del rows
+    first = np.arange(1, len(code) + 1, dtype=np.int32)  # of a row's partners, which are the others up to the end
+    if late.any():
+        first = np.repeat((ends - np.add.reduceat(late[code].astype(np.int64), ends - lengths)).astype(np.int32), lengths)
+        first[late[code]] = len(code)
+    many = np.maximum(np.repeat(ends.astype(np.int32), lengths) - first, 0)
+    by = np.argsort(code, kind="stable").astype(np.int32)
+    # whole keys at a time, so that a pair is counted at once
+    last = np.cumsum(np.bincount(code, minlength=len(held)))
+    total = np.cumsum(np.bincount(code, weights=many, minlength=len(held)).astype(np.int64))
+    out, lo = [np.empty((2, 0), held.dtype)], 0
+    while lo < len(held):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")))
+        at = by[last[lo - 1] if lo else 0 : last[hi - 1]]
+        times = many[at].astype(np.int64)
+        before = np.cumsum(times) - times
+        other = np.repeat(first[at] - before, times) + np.arange(times.sum())
+        met = np.repeat(code[at].astype(np.int64) * len(held), times) + code[other]
+        met.sort()
+        ends = np.flatnonzero(np.append(np.diff(met) != 0, True)[: len(met)])
+        times = np.diff(ends, prepend=-1)
+        a, b = np.divmod(met[ends], len(held))
+        enough = (times * groups >= share / (1 + share) * (size[a] + size[b]) - 1e-6) & (a != b)
+        x, y = held[a[enough]], held[b[enough]]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+        lo = hi
+    return tuple(np.concatenate(out, axis=1))
 
 
 def similar_sets(members: DataFrame, key: str, member: str, share: float) -> DataFrame:
     """``set_similarity`` of keys (longs) from ``share`` (above 0) on: a, b, shared, jaccard (a < b).
 
-    Members are dealt to groups. A pair of that similarity shares so many members that some group has its part of them, so
-    each task counts shared members of its own group and gives only such pairs on; these are compared as whole sets.
+    Members are dealt to groups, as many as leave a pair of that similarity some shared members in one of them: there it
+    shares its part of them at least, so each task counts shared members of its own group and gives only such pairs on; these
+    are compared as whole sets. What a task holds is bounded: where groups are larger, their keys are dealt to blocks, and
+    each two blocks meet in a task.
     """
     work = Workspace(members.sparkSession, "sets")
     sets, names = _member_sets(members.filter(F.col(key).isNotNull()), key, member, work)
     if names is not None:
         return _bitmap_pairs(sets, key, 0, None, names, work, False, None).filter(F.col("jaccard") >= share)
     sets = sets.filter("m IS NOT NULL")
-    entries = sets.count()
-    groups = max(min(8, entries // 100_000), -(-entries // GROUP_MEMBERS), 1)
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        held, k = np.unique(rows["k"].to_numpy(), return_inverse=True)
-        size = np.zeros(len(held), np.int64)
-        size[k] = rows["n"]
-        t = rows["t"].to_numpy()
-        order = np.lexsort((k, t))
-        k, t = k[order], t[order]
-        later = np.searchsorted(t, t, "right") - 1 - np.arange(len(t))
-        by = np.argsort(k, kind="stable")
-        # whole keys at a time, so that a pair is counted at once
-        ends = np.flatnonzero(np.append(np.diff(k[by]) != 0, True)) + 1
-        total = np.cumsum(later[by])
-        out, lo = [], 0
-        while lo < len(by):
-            full = np.searchsorted(total[ends - 1], (total[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")
-            hi = int(max(ends[full - 1] if full else 0, ends[np.searchsorted(ends, lo, "right")]))
-            at, many = by[lo:hi], later[by[lo:hi]]
-            other = np.repeat(at + 1 - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            met, times = np.unique(np.repeat(k[at], many) * len(held) + k[other], return_counts=True)
-            a, b = np.divmod(met, len(held))
-            enough = (times * groups >= share / (1 + share) * (size[a] + size[b]) - 1e-6) & (a != b)
-            out.append(np.stack([held[a[enough]], held[b[enough]]]))
-            lo = hi
-        a, b = np.concatenate(out, axis=1)
-        return pd.DataFrame({"a": a, "b": b})
-
-    sized = sets.join(sets.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
-    rows = sized.select(F.col(key).cast("long").alias("k"), "n", F.xxhash64("m").alias("t")).withColumn("g", F.pmod("t", F.lit(groups)))
-    # more parts than groups, so that few groups share a task
-    pairs = work.table(rows.repartition(groups * 4, "g").groupBy("g").applyInPandas(meet, "a long, b long").distinct())
+    sizes = work.table(sets.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n")))
+    entries, keys = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    most = int(share / (1 + share) * 2 * entries / keys / GROUP_SHARED)
+    groups = max(1, min(most, max(min(8, entries // 100_000), -(-entries // GROUP_MEMBERS))))
+    held = 6 * GROUP_MEMBERS
+    blocks = 1 if entries <= groups * held else -(-2 * entries // (groups * held))
+
+    def meet(batches):
+        k, run, n, second, task, last, number = [], [], [], [], None, None, 0
+        for batch in batches:
+            tag, *columns = (batch.column(c).to_numpy() for c in ("tag", "k", "n"))
+            cuts = np.flatnonzero(np.diff(tag >> 40)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tag)]):
+                if lo == hi:
+                    continue
+                if k and tag[lo] >> 40 != task:
+                    yield from pairs_of(k, run, n, second)
+                    k, run, n, second, last, number = [], [], [], [], None, 0
+                some = tag[lo:hi] >> 1
+                runs = number + np.cumsum(np.diff(some, prepend=some[0] if last is None else last) != 0)
+                task, last, number = tag[lo] >> 40, some[-1], int(runs[-1])
+                k.append(columns[0][lo:hi].copy())
+                n.append(columns[1][lo:hi].copy())
+                run.append(runs.astype(np.int32))
+                second.append((tag[lo:hi] & 1).astype(bool))
+        if k:
+            yield from pairs_of(k, run, n, second)
+
+    def pairs_of(*pieces):
+        a, b = _met_often(*pieces, share, groups)
+        for lo in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (a, b)], ["a", "b"])
+
+    # a row's tag: its task's number, 39 bits of its member's hash (members that have them in common only add to pairs) and whether its key is in the second block
+    rows = sets.join(sizes, key).select(F.col(key).cast("long").alias("k"), "n", F.xxhash64("m").alias("t")).withColumn("x", F.pmod(F.shiftrightunsigned("t", 40), F.lit(groups)))
+    second = F.lit(0)
+    if blocks > 1:
+        own = F.pmod(F.xxhash64("k", F.lit("block")), F.lit(blocks))
+        rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        rows = rows.withColumn("x", (F.col("x") * blocks + F.least("own", "with")) * blocks + F.greatest("own", "with"))
+        second = (F.col("own") > F.col("with")).cast("long")
+    tag = F.shiftleft(F.col("x").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("t").bitwiseAND((1 << 39) - 1), 1)).bitwiseOR(second)
+    # more parts than tasks, so that few share a part
+    dealt = rows.select("x", tag.alias("tag"), "k", "n").repartition(groups * blocks * (blocks + 1) * 2, "x").sortWithinPartitions("tag")
+    pairs = work.table(dealt.select("tag", "k", "n").mapInArrow(meet, "a long, b long").distinct())
     some = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
     whole = work.table(sets.join(some, key, "left_semi").groupBy(key).agg(F.collect_list("m").alias("in")))
     a, b = (whole.select(F.col(key).alias(x), F.col("in").alias(f"in_{x}")) for x in "ab")

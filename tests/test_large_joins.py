@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -101,3 +102,32 @@ def test_similar_sets(spark, monkeypatch):
     got = {(r.a, r.b): (r.shared, r.jaccard) for r in counting.similar_sets(df, "k", "m", 0.25).collect()}
     want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b}
     assert got == {p: v for p, v in want.items() if v[1] >= 0.25} and len(got) > 20
+
+def test_similar_sets_by_blocks_of_keys(spark, monkeypatch):
+    """Groups larger than a task may hold: blocks of keys meet in tasks, none of which holds more, and no pair is lost."""
+    monkeypatch.setattr(counting, "BITMAP_MEMBERS", 4)
+    rng = random.Random(10)
+    sets = {k: set(rng.sample(range(k // 10 * 60, k // 10 * 60 + 120), rng.randint(1, 60))) for k in range(-60, 60)}
+    df = spark.createDataFrame([(k, m) for k, s in sets.items() for m in s], "k long, m long")
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {p: v for p, v in want.items() if v >= 0.25}
+    for shared in (2, 6, 1000):
+        monkeypatch.setattr(counting, "GROUP_MEMBERS", 100)
+        monkeypatch.setattr(counting, "PAIRS_AT_ONCE", 300)
+        monkeypatch.setattr(counting, "GROUP_SHARED", shared)
+        out = counting.similar_sets(df, "k", "m", 0.25)
+        assert {(r.a, r.b): r.jaccard for r in out.collect()} == want and len(want) > 20
+
+
+def test_a_task_holds_few_members():
+    """What the counting of a group's pairs takes, beside the pieces that it is given and empties, stays below 50 bytes a member."""
+    rng = np.random.default_rng(11)
+    n = 1_000_000
+    run = np.sort(rng.integers(0, n // 10, n)).astype(np.int32)
+    key = rng.integers(0, 10_000, n)
+    pieces = [np.array_split(x, 10) for x in (key, run, np.full(n, 100, np.int32), np.zeros(n, bool))]
+    tracemalloc.start()
+    a, b = counting._met_often(*pieces, 0.25, 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * n + 60 * counting.PAIRS_AT_ONCE and all(x is None for p in pieces for x in p) and len(a) == len(b)
