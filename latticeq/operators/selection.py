@@ -81,12 +81,22 @@ def merge_last_wins(parts: list[DataFrame], key: str) -> DataFrame:
     return merge_first_wins(parts[::-1], key)
 
 
+#: Keys of either side that meet in a task of ``cross_pairs``, about, and in a block of the second.
+PART, BLOCK = 4_000, 256
+
+
 def cross_pairs(a: DataFrame, b: DataFrame, key: str, symmetric: bool = False) -> DataFrame:
-    """Ordered pairs of keys: all of a with others of a (symmetric), or a with b and b with a."""
+    """Ordered pairs of keys: all of a with others of a (symmetric), or a with b and b with a.
+
+    The keys lie in few files, their pairs are many: both sides are dealt out and each two parts meet in a task. There each
+    key of one comes with a block of the other in the same order, so that columns of pairs are written in little space.
+    """
     x, y = a.select(F.col(key).alias("first")), (a if symmetric else b).select(F.col(key).alias("second"))
-    # the keys lie in few files, their pairs are many: one side is dealt out to all cores
-    x = x.repartition(a.sparkSession.sparkContext.defaultParallelism * 4)
-    pairs = x.crossJoin(y).filter("first <> second")
+    seconds = max(1, -(-y.count() // PART))
+    firsts = max(-(-x.count() // PART), -(-a.sparkSession.sparkContext.defaultParallelism * 4 // seconds))
+    blocks = y.repartition(seconds).withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)).groupBy("block").agg(F.collect_list("second").alias("seconds"))
+    met = blocks.select("seconds").repartition(seconds).hint("shuffle_replicate_nl").crossJoin(x.repartition(firsts))
+    pairs = met.select("first", F.explode("seconds").alias("second")).filter("first <> second")
     return pairs if symmetric else pairs.unionAll(pairs.select("second", "first"))
 
 

@@ -131,3 +131,21 @@ def test_a_task_holds_few_members():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 50 * n + 60 * counting.PAIRS_AT_ONCE and all(x is None for p in pieces for x in p) and len(a) == len(b)
+
+
+def test_cross_pairs_are_written_in_little_space(spark, tmp_path):
+    """Many keys on a side: all pairs, repeated and null keys too, in columns of far less than a byte a pair."""
+    a, b = spark.range(40, numPartitions=1), spark.range(100, 60_100, numPartitions=1)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if neither side were small
+    try:
+        selection.cross_pairs(a, b, "id").write.parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    back = spark.read.parquet(str(tmp_path / "pairs"))
+    assert back.count() == back.distinct().count() == 2 * 40 * 60_000 and back.filter("(first < 40) = (second < 40)").isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 2 * 40 * 60_000
+    keys = [*range(600), 3, 3, None]
+    got = selection.cross_pairs(spark.createDataFrame([(k,) for k in keys], "id long"), None, "id", symmetric=True)
+    known = keys[:-1]
+    assert sorted(map(tuple, got.collect())) == sorted((x, y) for x in known for y in known if x != y)
